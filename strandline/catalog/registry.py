@@ -13,9 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 MODULES = (
-    "transforms",
-    "windows",
-    "aggregates",
+    "crosscorr",
 )
 
 DIGITS = 6

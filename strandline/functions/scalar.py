@@ -60,21 +60,29 @@ def window_weights(windows, scheme: str) -> dict[int, float]:
     return {n: v / total for n, v in raw.items()}
 
 
-def gauss_jordan(matrix: Column, p: int) -> Column:
-    """Reduce an augmented p x m matrix (array of rows) so that its left block is I.
+def literal_array(values) -> Column:
+    """array<double> literal, parsed once instead of one call per element."""
+    return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in values) + ")")
 
-    The matrices are normal equations of at most a handful of regressors, so the
-    data-sized work (sums of products) has already been done by Spark
-    aggregates.  No pivoting is needed for positive definite input; a singular
-    matrix gives nulls because division is null-safe.
+
+def eliminate(matrix: Column, p: int) -> Column:
+    """Struct (m, logdet): an augmented p x q matrix reduced so that its left block is I.
+
+    The matrices are normal equations of a handful of regressors; the data-sized
+    work (sums of products) has been done by Spark aggregates before.  Positive
+    definite input needs no pivoting; a singular matrix gives nulls because
+    division is null-safe.
     """
-    def eliminate(m: Column, k: Column) -> Column:
-        pivot_row = F.transform(F.element_at(m, k), lambda v: F.try_divide(v, F.element_at(F.element_at(m, k), k)))
-        return F.transform(
-            m,
-            lambda row, i: F.when(i + 1 == k, pivot_row).otherwise(
-                F.zip_with(row, pivot_row, lambda a, b: a - b * F.element_at(row, k))
-            ),
+
+    def step(acc: Column, k: Column) -> Column:
+        row_k = F.element_at(acc["m"], k)
+        pivot = F.element_at(row_k, k)
+        scaled = F.transform(row_k, lambda v: F.try_divide(v, pivot))
+        reduced = F.transform(
+            acc["m"],
+            lambda row, i: F.when(i + 1 == k, scaled).otherwise(F.zip_with(row, scaled, lambda a, b: a - b * F.element_at(row, k))),
         )
+        return F.struct(reduced.alias("m"), (acc["logdet"] + F.log(F.when(pivot > 0, pivot))).alias("logdet"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(p)), matrix, eliminate)
+    start = F.struct(matrix.alias("m"), F.lit(0.0).alias("logdet"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(p)), start, step)

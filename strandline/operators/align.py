@@ -155,3 +155,13 @@ def pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]], col: str = "value
 def all_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
     names = sorted(names)
     return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+
+
+def bounded_broadcast(df: DataFrame, limit: int = 50_000) -> DataFrame:
+    """Broadcast a reduced side if it has at most ``limit`` rows, else leave the join to the planner.
+
+    The side is persisted (it spills to disk), counted once, and reused.  Beyond
+    the limit the join shuffles and AQE splits skewed keys.
+    """
+    kept = df.persist()
+    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
