@@ -13,7 +13,13 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 MODULES = (
+    "sources_joins",
+    "transforms",
+    "windows",
+    "aggregates",
     "crosscorr",
+    "regressions",
+    "analogues",
 )
 
 DIGITS = 6

@@ -65,6 +65,11 @@ def literal_array(values) -> Column:
     return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in values) + ")")
 
 
+def weighted_sum(array_col: str, weights) -> Column:
+    """Sum of array elements times literal weights, written out so that it compiles to plain arithmetic."""
+    return F.expr(" + ".join(f"{array_col}[{i}] * {float(v)!r}D" for i, v in enumerate(weights)))
+
+
 def eliminate(matrix: Column, p: int) -> Column:
     """Struct (m, logdet): an augmented p x q matrix reduced so that its left block is I.
 

@@ -126,23 +126,16 @@ def ar_orders(df: DataFrame, col: str, max_order: int, keys: Sequence[str] = KEY
     w = ordered(keys)
     lags = [f"_lag{k}" for k in range(1, max_order + 1)]
     base = df.select(*keys, "ts", F.col(col).alias("_y"), *[F.lag(col, k).over(w).alias(f"_lag{k}") for k in range(1, max_order + 1)])
-    m = base.groupBy(*keys).agg(*_moments("_y", lags, None))
-    parts = []
-    for p in range(1, max_order + 1):
-        fit = _solve(m, p)
-        n, s2 = F.col("n"), div(F.col("rss"), F.col("n"))
-        loglik = -0.5 * n * (math.log(2 * math.pi) + F.log(s2) + 1.0)
-        parts.append(
-            fit.filter(F.col("n") >= 4 * p).select(
-                *keys, F.lit(p).alias("order"), "n", "intercept", "coef", "sigma",
-                (2.0 * (p + 1) - 2.0 * loglik).alias("aic"), (F.log(n) * (p + 1) - 2.0 * loglik).alias("bic"),
-                (2.0 * F.log(F.log(n)) * (p + 1) - 2.0 * loglik).alias("hqic"), (n * F.log(s2) + p * F.log(n)).alias("mdl"),
-            )
-        )
-    out = parts[0]
-    for q in parts[1:]:
-        out = out.unionByName(q)
-    return out
+    m = base.groupBy(*keys).agg(*_moments("_y", lags, None)).withColumn("order", F.explode(F.sequence(F.lit(1), F.lit(max_order))))
+    m = m.withColumn("_keep", F.array(*[F.col("order") > i for i in range(max_order)]))
+    fit = _solve(m, max_order, keep="_keep")
+    n, s2, p = F.col("n"), div(F.col("rss"), F.col("n")), F.col("order")
+    loglik = -0.5 * n * (math.log(2 * math.pi) + F.log(s2) + 1.0)
+    return fit.filter((n >= 4 * p) & F.col("rss").isNotNull()).select(
+        *keys, "order", "n", "intercept", F.slice("coef", F.lit(1), p).alias("coef"), "sigma",
+        (2.0 * (p + 1) - 2.0 * loglik).alias("aic"), (F.log(n) * (p + 1) - 2.0 * loglik).alias("bic"),
+        (2.0 * F.log(F.log(n)) * (p + 1) - 2.0 * loglik).alias("hqic"), (n * F.log(s2) + p * F.log(n)).alias("mdl"),
+    )
 
 
 def best_order(table: DataFrame, criterion: str, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -335,14 +328,12 @@ def trend_cycle(df: DataFrame, col: str, max_degree: int, criterion: str = "bic"
     base = time_basis(df.filter(F.col(col) > 0), max_degree, keys).withColumn("_ln", F.log(col))
     names = [f"_t{d}" for d in range(1, max_degree + 1)]
     base = base.select("*", *[F.col("basis")[d].alias(f"_t{d}") for d in range(1, max_degree + 1)])
-    m = base.groupBy(*keys).agg(*_moments("_ln", names, None))
-    fits = None
-    for d in range(1, max_degree + 1):
-        f = _solve(m, d)
-        n = F.col("n")
-        one = f.select(*keys, F.lit(d).alias("degree"), "intercept", "coef", (n * F.log(F.col("rss") / n) + 2.0 * (d + 1)).alias("aic"),
-                       (n * F.log(F.col("rss") / n) + F.log(n) * (d + 1)).alias("bic"))
-        fits = one if fits is None else fits.unionByName(one)
+    m = base.groupBy(*keys).agg(*_moments("_ln", names, None)).withColumn("degree", F.explode(F.sequence(F.lit(1), F.lit(max_degree))))
+    m = m.withColumn("_keep", F.array(*[F.col("degree") > i for i in range(max_degree)]))
+    n, d = F.col("n"), F.col("degree")
+    fits = _solve(m, max_degree, keep="_keep").select(
+        *keys, "degree", "intercept", "coef", (n * F.log(F.col("rss") / n) + 2.0 * (d + 1)).alias("aic"), (n * F.log(F.col("rss") / n) + F.log(n) * (d + 1)).alias("bic")
+    )
     best = fits.groupBy(*keys).agg(F.min_by("degree", F.round("aic", 9)).alias("_da"), F.min_by("degree", F.round("bic", 9)).alias("_db"))
     want = {"aic": F.col("_da"), "bic": F.col("_db"), "median": F.floor((F.col("_da") + F.col("_db")) / 2)}[criterion]
     chosen = fits.join(best, list(keys)).filter(F.col("degree") == want).select(*keys, "degree", "intercept", "coef")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from strandline.frames import KEYS, ordered, trailing, whole
-from strandline.functions.scalar import div, literal_array
+from strandline.functions.scalar import div, literal_array, weighted_sum
 
 TAU = 2.0 * math.pi
 
@@ -77,12 +77,10 @@ def coherence(df: DataFrame, length: int = 36, y: str = "y", x: str = "x", keys:
     return a.select(*keys, "k", (F.col("k") / length).alias("frequency"), div(F.col("_c") ** 2 + F.col("_q") ** 2, F.col("_y") * F.col("_x")).alias("coherence"))
 
 
-def _dft(values: Column, n: int, k: int) -> tuple[Column, Column]:
-    """Real and imaginary part of one frequency of a window's array of n values."""
-    cos = literal_array(math.cos(TAU * ((k * t) % n) / n) for t in range(n))
-    sin = literal_array(-math.sin(TAU * ((k * t) % n) / n) for t in range(n))
-    dot = lambda w: F.aggregate(F.zip_with(values, w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return dot(cos), dot(sin)
+def _dft(name: str, n: int, k: int) -> tuple[Column, Column]:
+    """Real and imaginary part of one frequency of the window array in column ``name``."""
+    angles = [TAU * ((k * t) % n) / n for t in range(n)]
+    return weighted_sum(name, (math.cos(a) for a in angles)), weighted_sum(name, (-math.sin(a) for a in angles))
 
 
 def fractional_order(df: DataFrame, price: str, n: int, grid: Sequence[float], keys=KEYS, out: str = "order") -> DataFrame:
@@ -95,18 +93,19 @@ def fractional_order(df: DataFrame, price: str, n: int, grid: Sequence[float], k
     # fixed values: 4 sin^2(pi f), scaling 2/n of the amplitude
     g = [4.0 * math.sin(math.pi * k / n) ** 2 for k in range(m)]
     base = df.withColumn("_a", F.when(F.count(x).over(w) == n, F.collect_list(x).over(w)))
-    base = base.withColumn("_p", F.array(*[(2.0 / n) * F.sqrt(re * re + im * im) for re, im in (_dft(F.col("_a"), n, k) for k in range(m))]))
+    parts = [F.struct(re.alias("re"), im.alias("im")) for re, im in (_dft("_a", n, k) for k in range(m))]
+    base = base.withColumn("_f", F.array(*parts))
+    base = base.withColumn("_p", F.transform("_f", lambda z: (2.0 / n) * F.sqrt(z["re"] * z["re"] + z["im"] * z["im"])))
     slope = sum(math.log(v) for v in g[1:])
 
     def loss(d: float) -> Column:
-        weights = literal_array((v**d) / m for v in g)
-        s = F.aggregate(F.zip_with(F.col("_p"), weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        s = weighted_sum("_p", ((v**d) / m for v in g))
         return m * F.log(s) + d * slope + m
 
     losses = base.withColumn("_l", F.array(*[loss(float(d)) for d in grid]))
     at = F.array_position(F.col("_l"), F.array_min("_l")).cast("int")
     picked = F.get(literal_array(grid), at - 1)
-    return losses.withColumn(out, F.when(F.col("_a").isNotNull(), picked)).drop("_a", "_p", "_l")
+    return losses.withColumn(out, F.when(F.col("_a").isNotNull(), picked)).drop("_a", "_f", "_p", "_l")
 
 
 def wiener_last(df: DataFrame, col: str, n: int, keys=KEYS, out: str = "filtered") -> DataFrame:
@@ -120,7 +119,7 @@ def wiener_last(df: DataFrame, col: str, n: int, keys=KEYS, out: str = "filtered
     x, w = F.col(col), trailing(n, keys)
     base = trend(df, col, n, keys).withColumn("_a", F.when(F.count(x).over(w) == n, F.collect_list(x).over(w)))
     half = n // 2
-    base = base.withColumn("_f", F.array(*[F.struct(re.alias("re"), im.alias("im")) for re, im in (_dft(F.col("_a"), n, k) for k in range(half + 1))]))
+    base = base.withColumn("_f", F.array(*[F.struct(re.alias("re"), im.alias("im")) for re, im in (_dft("_a", n, k) for k in range(half + 1))]))
     total = F.lit(0.0)
     for k in range(half + 1):
         re, im = F.col("_f")[k]["re"], F.col("_f")[k]["im"]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from strandline.frames import KEYS, expanding, full_only, ordered, trailing
-from strandline.functions.scalar import corr_from, div, literal_array, window_weights
+from strandline.functions.scalar import corr_from, div, weighted_sum, window_weights
 
 _SIMPLE = {
     "mean": F.avg,
@@ -97,21 +97,19 @@ def equity(df: DataFrame, ret: str = "ret", keys=KEYS, order: str = "ts") -> Dat
 def power_weighted_mean(df: DataFrame, col: str, n: int, alpha: float, keys=KEYS, out: str = "weighted_mean") -> DataFrame:
     """Rolling mean with weights 1^alpha .. n^alpha, newest heaviest."""
     w, x = trailing(n, keys), F.col(col)
-    values = F.collect_list(x).over(w)
-    weights = literal_array(float(i) ** alpha for i in range(1, n + 1))
     total = sum(float(i) ** alpha for i in range(1, n + 1))
-    dot = F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return df.withColumn(out, full_only(dot / total, x, w, n))
+    dot = weighted_sum("_a", (float(i) ** alpha for i in range(1, n + 1)))
+    base = df.withColumn("_a", full_only(F.collect_list(x).over(w), x, w, n))
+    return base.withColumn(out, dot / total).drop("_a")
 
 
 def finite_memory_mean(df: DataFrame, col: str, n: int, decay: float, keys=KEYS, out: str = "memory_mean") -> DataFrame:
     """Exponentially weighted mean over the last n values, newest weight 1."""
     w, x = trailing(n, keys), F.col(col)
-    values = F.collect_list(x).over(w)
-    weights = literal_array(decay ** (n - i) for i in range(1, n + 1))
     total = sum(decay ** (n - i) for i in range(1, n + 1))
-    dot = F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return df.withColumn(out, full_only(dot / total, x, w, n))
+    dot = weighted_sum("_a", (decay ** (n - i) for i in range(1, n + 1)))
+    base = df.withColumn("_a", full_only(F.collect_list(x).over(w), x, w, n))
+    return base.withColumn(out, dot / total).drop("_a")
 
 
 def multi_window_mean(df: DataFrame, col: str, windows: Sequence[int], scheme: str, keys=KEYS, out: str = "mean") -> DataFrame:
