@@ -83,7 +83,7 @@ from k join pr b on b.pair = k.pair and b.rn = k.rn - k.lag + 1 left join pr n o
 def _(spark, path):
     from strandline.frames import ordered
 
-    p = cc.rolling_best_lag(week_pairs(spark, path), 26, range(1, 7)).filter("best_lag is not null")
+    p = cc.rolling_best_lag(week_pairs(spark, path), 26, range(1, 7), complete_only=True)
     p = p.withColumn("information", cc.information_from_corr(F.col("best_rho")))
     nxt = F.lead("y").over(ordered(("pair",)))
     return p.withColumn("strategy", nxt * F.signum(F.col("best_rho") * F.col("driver"))).drop("y", "x")
@@ -195,8 +195,8 @@ d as (select p.*, unnest({GRID!r}::double[]) as d from p),
 l as (select series_id, ts, d, 12 * ln(avg(case when k = 0 then (case when d = 0 then p else 0 end) else pow(g, d) * p end)) + d * sum(case when k > 0 then ln(g) else 0 end) + 12 as loss from d group by 1, 2, 3)""",
     body='select series_id, ts, round(arg_min(d, loss), 6) as "order" from l group by 1, 2'))
 def _(spark, path):
-    p = sp.fractional_order(panels.ship_weekly(spark, path), "value", 24, GRID)
-    return p.filter('`order` is not null').select("series_id", "ts", "order")
+    p = sp.fractional_order(panels.ship_weekly(spark, path), "value", 24, GRID, complete_only=True)
+    return p.select("series_id", "ts", "order")
 
 
 @query("G13_wiener_filter", q(WEEKLY, rets("weekly"), """
@@ -207,8 +207,8 @@ s as (select series_id, ts, k, sum(v * cos(2 * pi() * ((k * t) % 16) / 16)) as r
 h as (select s.*, greatest((re * re + im * im) / 16, 1e-10) as pw, noise from s join nz using (series_id, ts))""", body=f"""
 select series_id, ts, {r("sum(pw / (pw + noise) * (re * cos(2 * pi() * ((k * 15) % 16) / 16) - im * sin(2 * pi() * ((k * 15) % 16) / 16))) / 16", "filtered", 8)} from h group by 1, 2"""), digits=8)
 def _(spark, path):
-    p = sp.wiener_last(weekly(spark, path), "ret", 16)
-    return p.filter("filtered is not null").select("series_id", "ts", "filtered")
+    p = sp.wiener_last(weekly(spark, path), "ret", 16, complete_only=True)
+    return p.select("series_id", "ts", "filtered")
 
 
 @query("G14_exponential_distance", q(WEEKLY, rets("weekly"), """

@@ -135,14 +135,14 @@ def _(spark, path):
 
 @query("H8_two_equation_system")
 def _(spark, path):
-    return rg.two_equation_system(weekly(spark, path), "ret").filter("forecast is not null").drop("value", "volume")
+    return rg.two_equation_system(weekly(spark, path), "ret").drop("value", "volume")
 
 
 @query("H9_basis_regression")
 def _(spark, path):
     p = tr.lag_basis(weekly(spark, path).dropna(subset=["ret"]), "ret", [1], 2).withColumn("one", F.lit(1.0))
-    b = rg.basis_regression(p, "ret", ["one", "t1_lag1", "t2_lag1"], 52, [0.01, 1.0], [0.005, 0.02])
-    return b.filter("mean is not null").select("series_id", "ts", "mean", "deviation", "prior", "noise", "evidence")
+    b = rg.basis_regression(p, "ret", ["one", "t1_lag1", "t2_lag1"], 52, [0.01, 1.0], [0.005, 0.02], complete_only=True)
+    return b.select("series_id", "ts", "mean", "deviation", "prior", "noise", "evidence")
 
 
 @query("H10_elastic_net")

@@ -55,7 +55,7 @@ def information_from_corr(rho: Column) -> Column:
     return 1.0 - F.sqrt(F.greatest(F.lit(0.0), 1.0 - rho * rho))
 
 
-def rolling_best_lag(df: DataFrame, n: int, lags: Sequence[int], y: str = "y", x: str = "x", keys: Sequence[str] = ("pair",), by: str = "abs") -> DataFrame:
+def rolling_best_lag(df: DataFrame, n: int, lags: Sequence[int], y: str = "y", x: str = "x", keys: Sequence[str] = ("pair",), by: str = "abs", complete_only: bool = False) -> DataFrame:
     """Per row, the lag with the best correlation over the last n rows and the driver to use next.
 
     Lagged pairs must both lie in the window, so lag k has n - k pairs.  ``driver``
@@ -67,13 +67,15 @@ def rolling_best_lag(df: DataFrame, n: int, lags: Sequence[int], y: str = "y", x
     base = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull())
     base = base.select("*", *[F.lag(x, k).over(w).alias(f"_x{k}") for k in lags], F.count("*").over(trailing(n, keys)).alias("_n"))
     cors = [corr_from(F.col(y), F.col(f"_x{k}"), trailing(n - k, keys)) for k in lags]
-    base = base.withColumn("_c", F.when(F.col("_n") == n, F.array(*cors)))
+    drivers = F.array(*[F.lag(x, k - 1).over(w) if k > 1 else F.col(x) for k in lags])
+    base = base.withColumn("_c", F.when(F.col("_n") == n, F.array(*cors))).withColumn("_d", drivers)
+    if complete_only:
+        base = base.filter(F.col("_n") == n)
     score = {"abs": lambda c: F.abs(c), "max": lambda c: c, "min": lambda c: -c, "least": lambda c: -F.abs(c)}[by]
     scores = F.transform("_c", score)
     base = base.withColumn("_i", F.array_position(scores, F.array_max(scores)).cast("int"))
-    drivers = F.array(*[F.lag(x, k - 1).over(w) if k > 1 else F.col(x) for k in lags])
     known = F.col("_i") > 0
-    return base.withColumn("_d", drivers).select(
+    return base.select(
         *df.columns,
         F.when(known, F.get(F.array(*[F.lit(int(k)) for k in lags]), F.col("_i") - 1)).alias("best_lag"),
         F.when(known, F.get("_c", F.col("_i") - 1)).alias("best_rho"),

@@ -244,7 +244,7 @@ def rolling_ols_keep(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[st
     return fit.select(*df.columns, F.first("coef").over(first).alias("coef"), F.first("intercept").over(first).alias("intercept"))
 
 
-def basis_regression(df: DataFrame, y: str, features: Sequence[str], n: int, priors: Sequence[float], noises: Sequence[float], keys: Sequence[str] = KEYS) -> DataFrame:
+def basis_regression(df: DataFrame, y: str, features: Sequence[str], n: int, priors: Sequence[float], noises: Sequence[float], keys: Sequence[str] = KEYS, complete_only: bool = False) -> DataFrame:
     """Bayesian linear regression on given features over rolling windows, predictive mean and deviation.
 
     Equals a Gaussian process with a linear kernel on the features.  Prior and
@@ -263,6 +263,8 @@ def basis_regression(df: DataFrame, y: str, features: Sequence[str], n: int, pri
         sums += [F.sum(v(features[i]) * v(features[j])).over(w).alias(f"_a{i}_{j}") for j in range(i, q)]
     base = df.select("*", *sums)
     base = base.withColumn("_ok", (F.col("_n") == n) & ok)
+    if complete_only:
+        base = base.filter("_ok")
     options = []
     for s2 in priors:
         for g2 in noises:

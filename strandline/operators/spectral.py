@@ -83,7 +83,7 @@ def _dft(name: str, n: int, k: int) -> tuple[Column, Column]:
     return weighted_sum(name, (math.cos(a) for a in angles)), weighted_sum(name, (-math.sin(a) for a in angles))
 
 
-def fractional_order(df: DataFrame, price: str, n: int, grid: Sequence[float], keys=KEYS, out: str = "order") -> DataFrame:
+def fractional_order(df: DataFrame, price: str, n: int, grid: Sequence[float], keys=KEYS, out: str = "order", complete_only: bool = False) -> DataFrame:
     """Order d in the grid with the smallest Whittle objective over each window of n prices.
 
     The objective only shifts when the path is scaled, so prices stand for wealth.
@@ -93,6 +93,8 @@ def fractional_order(df: DataFrame, price: str, n: int, grid: Sequence[float], k
     # fixed values: 4 sin^2(pi f), scaling 2/n of the amplitude
     g = [4.0 * math.sin(math.pi * k / n) ** 2 for k in range(m)]
     base = df.withColumn("_a", F.when(F.count(x).over(w) == n, F.collect_list(x).over(w)))
+    if complete_only:  # here, where the test is cheap: a later filter would repeat the search in its predicate
+        base = base.filter(F.col("_a").isNotNull())
     parts = [F.struct(re.alias("re"), im.alias("im")) for re, im in (_dft("_a", n, k) for k in range(m))]
     base = base.withColumn("_f", F.array(*parts))
     base = base.withColumn("_p", F.transform("_f", lambda z: (2.0 / n) * F.sqrt(z["re"] * z["re"] + z["im"] * z["im"])))
@@ -108,7 +110,7 @@ def fractional_order(df: DataFrame, price: str, n: int, grid: Sequence[float], k
     return losses.withColumn(out, F.when(F.col("_a").isNotNull(), picked)).drop("_a", "_f", "_p", "_l")
 
 
-def wiener_last(df: DataFrame, col: str, n: int, keys=KEYS, out: str = "filtered") -> DataFrame:
+def wiener_last(df: DataFrame, col: str, n: int, keys=KEYS, out: str = "filtered", complete_only: bool = False) -> DataFrame:
     """Last value of the trailing window after the filter S / (S + noise).
 
     S is the window's spectrum over n, noise the residual variance about its own
@@ -118,6 +120,8 @@ def wiener_last(df: DataFrame, col: str, n: int, keys=KEYS, out: str = "filtered
 
     x, w = F.col(col), trailing(n, keys)
     base = trend(df, col, n, keys).withColumn("_a", F.when(F.count(x).over(w) == n, F.collect_list(x).over(w)))
+    if complete_only:
+        base = base.filter(F.col("_a").isNotNull())
     half = n // 2
     base = base.withColumn("_f", F.array(*[F.struct(re.alias("re"), im.alias("im")) for re, im in (_dft("_a", n, k) for k in range(half + 1))]))
     total = F.lit(0.0)
