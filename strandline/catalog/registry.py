@@ -13,13 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 MODULES = (
-    "sources_joins",
-    "transforms",
-    "windows",
-    "aggregates",
-    "crosscorr",
-    "regressions",
-    "analogues",
+    "strategies",
 )
 
 DIGITS = 6
