@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 MODULES = (
-    "strategies",
+    "recursions",
 )
 
 DIGITS = 6

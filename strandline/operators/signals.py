@@ -7,6 +7,7 @@ have been evaluated on one sort of the panel.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -279,7 +280,7 @@ def belief_states(df: DataFrame, n: int, gamma: float = 1.0, limits: tuple[float
     e = F.col("evidence")
     odds = F.when((e > 0) & (e < 1), F.log(e / (1.0 - e))).otherwise(0.0)
     ws = expanding((*keys, "state"))
-    base = base.withColumn("_o", F.sum(odds).over(ws) + F.lit(prior / (1.0 - prior)).cast("double") * 0.0 + F.log(F.lit(prior / (1.0 - prior))))
+    base = base.withColumn("_o", F.sum(odds).over(ws) + math.log(prior / (1.0 - prior)))
     p = F.when(e == 0, 0.0).when(e == 1, 1.0).otherwise(1.0 / (1.0 + F.exp(-F.col("_o"))))
     base = base.withColumn("belief", p)
     q = 1.0 - F.col("belief")
