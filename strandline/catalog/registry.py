@@ -13,7 +13,17 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 MODULES = (
+    "sources_joins",
+    "transforms",
+    "windows",
+    "aggregates",
+    "crosscorr",
+    "regressions",
+    "analogues",
+    "strategies",
     "recursions",
+    "sweeps",
+    "live",
 )
 
 DIGITS = 6
