@@ -133,7 +133,7 @@ def _(spark, path):
     t = panels.event_ticks(spark, path)
     left = t.filter("series_id = 'purchase'").withColumn("series_id", F.lit("site"))
     right = t.filter("series_id = 'view'").withColumn("series_id", F.lit("site")).drop("event_id")
-    return al.asof(left, right, lambda ts: F.to_date(ts)).drop("series_id")
+    return al.asof(left, right).drop("series_id")
 
 
 @query("B7_dimension_lookup", """
@@ -217,4 +217,4 @@ def _(spark, path):
 select event_id, row_number() over (partition by event_type order by ts) as rn from events""")
 def _(spark, path):
     t = panels.event_ticks(spark, path)
-    return sg.number_rows(t, F.to_date("ts")).select("event_id", "rn")
+    return sg.number_rows(t).select("event_id", "rn")

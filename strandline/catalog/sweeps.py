@@ -21,14 +21,7 @@ NS = list(range(2, 22))
 
 
 def rule_rows(spark, path, windows=NS, delays=(1, 2)):
-    """Rolling-mean sign rule for windows x delays, as rows over common dates."""
-    from strandline.frames import stack_rows, trailing
-
-    x = F.col("ret")
-    wide = weekly(spark, path).filter("ret is not null")
-    wide = wide.select("series_id", "ts", "ret", *[F.signum(win.stat("mean", x, trailing(n, delay=d), n)).alias(f"s_{n}_{d}") for n in windows for d in delays])
-    ready = F.col(f"s_{max(windows)}_{max(delays)}").isNotNull()
-    return stack_rows(wide.filter(ready), ["series_id", "ts", "ret"], [{"n": n, "delay": d, "strategy": x * F.col(f"s_{n}_{d}")} for n in windows for d in delays])
+    return win.sign_rule_rows(weekly(spark, path), windows, delays)
 
 
 def rule_sql(windows, delays):

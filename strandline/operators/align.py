@@ -66,17 +66,24 @@ def trailing_values(left: DataFrame, right: DataFrame, days: int, n: int, keys=K
     return left.select(*keys, "ts").join(picks, [*keys, "ts"], "left")
 
 
-def asof(left: DataFrame, right: DataFrame, bucket, keys=KEYS, col: str = "value", order: str = "ts") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys=KEYS, col: str = "value", order: str = "ts", bucket=None) -> DataFrame:
     """Last right value at or before each left row.
 
-    ``bucket(ts)`` is a coarse time bucket.  Left and right rows of one bucket are
+    Rows are cut into time buckets (``bucket(ts)``, or buckets of similar size from
+    a quantile sketch of both sides).  Left and right rows of one bucket are
     ordered together; the last right row of every bucket is carried forward over
     the bucket totals.  No task ever sees a whole series.
     """
     empty = F.lit(None).cast(right.select(F.struct(F.col(order).alias("t"), F.col(col).cast("double").alias("v"))).schema[0].dataType)
     a = left.withColumn("_side", F.lit(1)).withColumn("_r", empty)
     b = right.select(*keys, F.col(order), F.lit(0).alias("_side"), F.struct(F.col(order).alias("t"), F.col(col).cast("double").alias("v")).alias("_r"))
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_b", bucket(F.col(order)))
+    both = a.unionByName(b, allowMissingColumns=True)
+    if bucket is not None:
+        both = both.withColumn("_b", bucket(F.col(order)))
+    else:
+        from strandline.operators.quantiles import balanced_buckets
+
+        both = balanced_buckets(both, order, keys)
     totals = both.groupBy(*keys, "_b").agg(F.max("_r").alias("_last"))
     prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, "_b", F.last("_last", ignorenulls=True).over(prior).alias("_carry"))

@@ -216,11 +216,12 @@ def diebold_mariano(df: DataFrame, loss_a: Column, loss_b: Column, keys=KEYS, or
 
 
 def replication_summary(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
+    """Mean, deviation, median and outer quantiles per group of any size."""
+    from strandline.operators.quantiles import exact_quantiles
+
     m = F.col(metric)
-    return df.groupBy(*keys).agg(
-        F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"), F.percentile(m, F.lit(0.5)).alias("median"),
-        F.percentile(m, F.lit(0.05)).alias("q05"), F.percentile(m, F.lit(0.95)).alias("q95"),
-    )
+    moments = df.groupBy(*keys).agg(F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"))
+    return moments.join(exact_quantiles(df, metric, {"median": 0.5, "q05": 0.05, "q95": 0.95}, keys), list(keys))
 
 
 def ensemble_summary(df: DataFrame, keys: Sequence[str], ret: str, sharpe: str, drawdown: str, bins: int = 20) -> DataFrame:
@@ -247,8 +248,10 @@ def modal(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Counts in equal-width bins over each group's own range; empty bins have no row."""
     x = F.col(col)
+    from strandline.operators.align import bounded_broadcast
+
     rng = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    j = df.filter(x.isNotNull()).join(rng, list(keys)) if keys else df.filter(x.isNotNull()).crossJoin(rng)
+    j = df.filter(x.isNotNull()).join(bounded_broadcast(rng), list(keys))
     b = F.least(F.coalesce(F.floor(div((x - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(bins // 2)), F.lit(bins - 1))
     return j.groupBy(*keys, b.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min("_lo").alias("low"), F.max("_hi").alias("high"))
 

@@ -17,17 +17,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from strandline.frames import KEYS, SEG_KEYS  # noqa: F401
+from strandline.operators.quantiles import balanced_buckets
 
 
 
-def number_rows(df: DataFrame, bucket: Column, keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts", bucket: Column | None = None) -> DataFrame:
     """Add ``rn``: position in the series, without ordering a whole series in one task.
 
-    ``bucket`` is a coarse time bucket, monotone in ts (a day of ticks, say).
-    Counts per bucket are a partial aggregate; only these counts are ordered per
-    series.  The rows themselves are joined and numbered by (series, bucket).
+    Rows are cut into time buckets: a column monotone in ts, or by default buckets
+    of similar size from a quantile sketch.  Counts per bucket are a partial
+    aggregate and only they are ordered per series; the rows are numbered by
+    (series, bucket), the partitioning of the join that brings the offset.
     """
-    b = df.withColumn("_b", bucket)
+    b = df.withColumn("_b", bucket) if bucket is not None else balanced_buckets(df, ts, keys)
     counts = b.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_off"))

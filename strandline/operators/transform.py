@@ -146,6 +146,8 @@ def lag_basis(df: DataFrame, col: str, lags: Sequence[int], degree: int, keys=KE
 
 def standardise_by_training(df: DataFrame, col: str, is_train: Column, keys=KEYS, how: str = "zscore") -> DataFrame:
     """Scale with moments of the training rows only, so test rows leak nothing."""
+    from strandline.operators.align import bounded_broadcast
+
     t = F.when(is_train, F.col(col))
     if how == "zscore":
         stats = df.groupBy(*keys).agg(F.avg(t).alias("_a"), F.stddev_samp(t).alias("_b"))
@@ -155,7 +157,7 @@ def standardise_by_training(df: DataFrame, col: str, is_train: Column, keys=KEYS
         scaled = div(F.col(col) - F.col("_a"), F.col("_b"))
     else:
         raise ValueError(f"unknown scaling {how!r}")
-    return df.join(stats, list(keys)).withColumn("scaled", scaled).drop("_a", "_b")
+    return df.join(bounded_broadcast(stats), list(keys)).withColumn("scaled", scaled).drop("_a", "_b")
 
 
 def pack_bits(bits: Sequence[Column]) -> Column:
