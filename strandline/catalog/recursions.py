@@ -109,7 +109,25 @@ def _signals(spark, path):
     return p.withColumn("signal", F.when(F.abs("mean") < 0.002, 0.0).otherwise(F.signum("mean"))).dropna(subset=["ret"])
 
 
-@query("J21_position_machine")
+MACHINE = f"""
+s as (select x.series_id, x.ts, x.i, x.value, x.ret, case when {full("avg(ret)", "ret", 6)} is null then 0 when abs({full("avg(ret)", "ret", 6)}) < 0.002 then 0 else sign({full("avg(ret)", "ret", 6)})::int end as want from x),
+g(stop, take) as (values (0.02::double, 0.04::double), (0.02::double, 0.1::double), (0.05::double, 0.04::double), (0.05::double, 0.1::double)),
+e as (select series_id, stop, take, i0 as i, null::date as ts, 0 as pos, 0.0::double as entry, 0.0::double as size, 10000.0::double as cap, '' as action, 0.0::double as pnl, 0.0::double as fee from (select distinct series_id, 0::bigint as i0 from s), g
+ union all
+ select e.series_id, e.stop, e.take, s.i, s.ts, o.npos, case when o.opened then s.value when o.npos = 0 then 0 else e.entry end, case when o.opened then (e.cap + p.pnl) * 0.5 when o.npos = 0 then 0 else e.size end,
+  e.cap + p.pnl - o.fee, o.action, p.pnl, o.fee
+ from e join s on s.series_id = e.series_id and s.i = e.i + 1,
+  lateral (select case when e.pos = 1 then s.value / e.entry - 1 when e.pos = -1 then e.entry / s.value - 1 end as gain,
+    coalesce((e.pos = 1 and s.value <= e.entry * (1 - e.stop)) or (e.pos = -1 and s.value >= e.entry * (1 + e.stop)), false) as lost,
+    coalesce((e.pos = 1 and s.value >= e.entry * (1 + e.take)) or (e.pos = -1 and s.value <= e.entry * (1 - e.take)), false) as won) w,
+  lateral (select case when e.pos = 0 then 0.0 when w.lost or w.won then e.size * w.gain else e.size * s.ret * e.pos end as pnl, case when w.lost or w.won then 0 else e.pos end as held) p,
+  lateral (select (s.want <> 0 and p.held <> s.want) as opened, s.want as npos,
+    case when p.held = 0 and s.want = 1 then 'BUY' when p.held = 0 and s.want = -1 then 'SELL' when p.held <> 0 and s.want = 0 then 'FLAT' when p.held <> 0 and s.want <> p.held then 'REVERSE'
+         when w.lost then 'STOP_LOSS_' || case when e.pos = 1 then 'LONG' else 'SHORT' end when w.won then 'TAKE_PROFIT_' || case when e.pos = 1 then 'LONG' else 'SHORT' end else 'HOLD' end as action,
+    (case when w.lost or w.won then e.size * 0.0001 else 0 end + case when p.held <> 0 and s.want <> p.held then e.size * 0.0001 else 0 end + case when s.want <> 0 and p.held <> s.want then (e.cap + p.pnl) * 0.5 * 0.0001 else 0 end) as fee) o)"""
+
+
+@query("J21_position_machine", q(WEEKLY, rets("weekly"), X, MACHINE.strip(), body=f"select series_id, stop, take, ts, pos as position, action, {r('pnl', 'pnl')}, {r('fee', 'cost')}, {r('cap', 'capital')} from e where i > 0", recursive=True))
 def _(spark, path):
     p = explode_rows(_signals(spark, path).select("series_id", "ts", "value", "ret", "signal"), grid(stop=[0.02, 0.05], take=[0.04, 0.1]))
     return rc.position_machine(p, "value", "ret", "signal", keys=("series_id", "stop", "take"))

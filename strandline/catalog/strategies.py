@@ -181,7 +181,21 @@ def _(spark, path):
     return sg.binary_code(sg.six_attributes(weekly(spark, path))).select("series_id", "ts", "code")
 
 
-@query("J15_block_learning")
+J15W = (3, 5, 8)
+J15 = "x as (select * from rets where ret is not null),\nq as (select *, " + ", ".join(
+    f"{full('avg(ret)', 'ret', n, 1)} as m{n}, {full('quantile_cont(ret, 0.5)', 'ret', n, 1)} as d{n}" for n in J15W) + """ from x),
+s as (select *, (row_number() over (partition by series_id order by ts) - 1) // 6 as block, """ + ", ".join(f"sign(case when d{n} = 0 then m{n} else m{n} / d{n} end) as s{n}" for n in J15W) + """ from q where m3 is not null and m5 is not null and m8 is not null),
+a as (select *, """ + ", ".join(
+    f"coalesce(sum((sign(ret) - s{n} = 2)::int) over b, 0) as np{n}, coalesce(sum((sign(ret) - s{n} = -2)::int) over b, 0) as nm{n}, coalesce(product(1 + abs(ret) * (sign(ret) - s{n} = 2)::int) over b, 1) as lp{n}, coalesce(product(1 + abs(ret) * (sign(ret) - s{n} = -2)::int) over b, 1) as lm{n}" for n in J15W) + """,
+  row_number() over (partition by series_id order by ts) as k from s window b as (partition by series_id, block order by ts rows between unbounded preceding and 1 preceding)),
+t as (select series_id, ts, block, ret, k, """ + ", ".join([
+    " + ".join(f"pow(2.0, pow(2.0, -np{n}) / lp{n} + pow(2.0, -nm{n}) / lm{n}) * s{n}" for n in J15W) + " as w1",
+    " + ".join(f"pow(2.0, -np{n} - nm{n}) * s{n}" for n in J15W) + " as w2",
+    " + ".join(f"pow(2.0, -lp{n} - lm{n}) * s{n}" for n in J15W) + " as w3"]) + " from a)"
+
+
+@query("J15_block_learning", q(WEEKLY, rets("weekly"), J15, body=f"""
+select series_id, ts, block, {r("case when k > 1 then ret * sign(round(w1, 12)) end", "by_both")}, {r("case when k > 1 then ret * sign(round(w2, 12)) end", "by_errors")}, {r("case when k > 1 then ret * sign(round(w3, 12)) end", "by_losses")} from t"""))
 def _(spark, path):
     return sg.block_learning(weekly(spark, path), (3, 5, 8)).select("series_id", "ts", "block", "by_both", "by_errors", "by_losses")
 
@@ -211,7 +225,16 @@ def _(spark, path):
     return ev.select("event_id", state.alias("state"))
 
 
-@query("J24_anomaly_and_breaker")
+J24 = f"""
+x as (select a.series_id, a.ts, b.ret, min(b.ret) over g as lo, max(b.ret) over g as hi, count(b.ret) over g as k from rets a join rets b on a.series_id = b.series_id and b.rn between a.rn - 29 and a.rn window g as (partition by a.series_id, a.ts)),
+c as (select series_id, ts, least(floor((ret - lo) * 10 / (hi - lo)), 9) as bin, count(*) as n from x where k = 30 group by 1, 2, 3),
+h as (select series_id, ts, -sum(n / 30.0 * ln(n / 30.0)) as h from c group by 1, 2),
+e as (select rets.*, h, 1 - h / ln(10) as i, product(1 + coalesce(ret, 0)) over {B} as w, {full("kurtosis(ret)", "ret", 30)} as ku from rets left join h using (series_id, ts)),
+f as (select *, w / max(w) over {B} - 1 as dd, (i - avg(i) over {B}) / nullif(stddev_pop(i) over {B}, 0) as z from e)"""
+
+
+@query("J24_anomaly_and_breaker", q(WEEKLY, rets("weekly"), J24.strip(), body=f"""
+select series_id, ts, {r("h", "entropy")}, {r("i", "information")}, {r("z", "information_z")}, coalesce(abs(z) > 2, false) as anomaly, coalesce(h > 1.5 and -dd > 0.1 and ku > 0, false) as stop from f"""))
 def _(spark, path):
     p = sg.anomaly_and_breaker(weekly(spark, path), 30, z=2.0, drawdown_limit=0.1, kurtosis_limit=0.0)
     return p.select("series_id", "ts", "entropy", "information", "information_z", "anomaly", "stop")
