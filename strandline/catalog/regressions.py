@@ -161,9 +161,13 @@ def _direction(spark, path):
 
 @query("H11_forest_classifier")
 def _(spark, path):
-    p, names = _direction(spark, path)
-    out = ml.forest_classifier(p, "label", ["quarter"], names, F.col("ts") < F.lit("1998-06-01").cast("date"), trees=20)
-    return out.select("series_id", "ts", "label", "predicted", "probability")
+    from strandline.operators import signals as sg
+    from strandline.operators.sweep import split_share
+
+    coded = sg.code_strategy(sg.binary_code(sg.six_attributes(weekly(spark, path))))
+    p = coded.withColumn("label", (F.lead("ret").over(ordered()) > 0).cast("double")).withColumn("state", F.col("code").cast("string"))
+    out = ml.forest_classifier(split_share(p, 0.5), "label", ["state"], ["action", "confidence"], F.col("part") == "train", trees=50)
+    return out.select("series_id", "ts", "code", "label", "predicted", "probability")
 
 
 @query("H12_network_classifier")

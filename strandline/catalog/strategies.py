@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.catalog.crosscorr import weekly
 from strandline.catalog.registry import query
+from strandline.functions.codes import CODE_ACTIONS
 from strandline.catalog.sqlparts import DAILY, WEEKLY, full, q, r, rets
 from strandline.operators import align as al
 from strandline.operators import signals as sg
@@ -167,7 +168,7 @@ def _(spark, path):
     return sg.wealth_rotation(p, "n", "st")
 
 
-@query("J13_binary_code", q(WEEKLY, rets("weekly"), f"""
+J13 = [WEEKLY, rets("weekly"), f"""
 k as (select series_id, ts, ret, value, count(ret) over w as n, avg(ret) over w as m, avg(ret * ret) over w as m2, avg(ret ** 3) over w as m3, avg(ret ** 4) over w as m4, product(1 + ret) over w - 1 as mo, stddev_samp(ret) over w as sd,
       value / max(value) over w - 1 as d from rets window w as (partition by series_id order by ts rows between 19 preceding and current row)),
 f as (select *, abs(min(d) over (partition by series_id order by ts rows between 19 preceding and current row)) as dd, case when n = 20 then (m3 - 3 * m * m2 + 2 * m ** 3) / pow(m2 - m * m, 1.5) end as sk,
@@ -175,12 +176,26 @@ f as (select *, abs(min(d) over (partition by series_id order by ts rows between
 g as (select series_id, ts, lag(case when n = 20 then mo end) over {B} as mo, lag(case when n = 20 then sd end) over {B} as vo, lag(sk) over {B} as sk, lag(ku) over {B} as ku, lag(dd) over {B} as dd, case when n = 20 then m end as mu from f),
 h as (select *, lag(mu - vo * vo) over {B} as ut from g),
 c as (select * from h where mo is not null and vo is not null and sk is not null and ku is not null and ut is not null and dd is not null),
-e as (select *, quantile_cont(mo, 0.5) over {B} as q0, quantile_cont(vo, 0.5) over {B} as q1, quantile_cont(sk, 0.5) over {B} as q2, quantile_cont(ku, 0.5) over {B} as q3, quantile_cont(ut, 0.5) over {B} as q4, quantile_cont(dd, 0.5) over {B} as q5 from c)""", body="""
-select series_id, ts, 1 + (mo > q0)::int + 2 * (vo > q1)::int + 4 * (sk > q2)::int + 8 * (ku > q3)::int + 16 * (ut > q4)::int + 32 * (dd < q5)::int as code from e"""))
+e as (select *, quantile_cont(mo, 0.5) over {B} as q0, quantile_cont(vo, 0.5) over {B} as q1, quantile_cont(sk, 0.5) over {B} as q2, quantile_cont(ku, 0.5) over {B} as q3, quantile_cont(ut, 0.5) over {B} as q4, quantile_cont(dd, 0.5) over {B} as q5 from c)"""]
+J13_CODE = "1 + (mo > q0)::int + 2 * (vo > q1)::int + 4 * (sk > q2)::int + 8 * (ku > q3)::int + 16 * (ut > q4)::int + 32 * (dd < q5)::int"
+
+
+@query("J13_binary_code", q(*J13, body=f"select series_id, ts, {J13_CODE} as code from e"))
 def _(spark, path):
     return sg.binary_code(sg.six_attributes(weekly(spark, path))).select("series_id", "ts", "code")
 
 
+ACTIONS = "t(code, action, confidence) as (values " + ", ".join(f"({k}, {a}::double, {c}::double)" for k, (a, c) in CODE_ACTIONS.items()) + ")"
+
+
+@query("J13_code_strategy", q(*J13, f"coded as (select *, {J13_CODE} as code from e)", ACTIONS, body=f"""
+select d.series_id, d.ts, d.code, action, confidence, {r("x.ret * sign(action)", "strategy")} from coded d join t on t.code = d.code join rets x on x.series_id = d.series_id and x.ts = d.ts"""))
+def _(spark, path):
+    coded = sg.binary_code(sg.six_attributes(weekly(spark, path)))
+    return sg.code_strategy(coded).select("series_id", "ts", "code", "action", "confidence", "strategy")
+
+
+
 J15W = (3, 5, 8)
 J15 = "x as (select * from rets where ret is not null),\nq as (select *, " + ", ".join(
     f"{full('avg(ret)', 'ret', n, 1)} as m{n}, {full('quantile_cont(ret, 0.5)', 'ret', n, 1)} as d{n}" for n in J15W) + """ from x),

@@ -8,10 +8,16 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.storagelevel import StorageLevel
 
 SEED = 17
 
 
+def _reused(df: DataFrame) -> DataFrame:
+    """Estimators pass over their rows many times: keep them, spilling to disk."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def lag_features(df: DataFrame, col: str, lags: Sequence[int], keys: Sequence[str] = ("series_id",)) -> tuple[DataFrame, list[str]]:
     from strandline.frames import ordered
 
@@ -26,7 +32,7 @@ def elastic_net(df: DataFrame, label: str, features: Sequence[str], is_train: Co
     from pyspark.ml.regression import LinearRegression
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    rows = df.dropna(subset=[label, *features])
+    rows = _reused(df.dropna(subset=[label, *features]))
     stages = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows)
     lr = LinearRegression(featuresCol="_x", labelCol=label, predictionCol="forecast", standardization=True)
     train = stages.filter(is_train)
@@ -50,7 +56,7 @@ def forest_classifier(df: DataFrame, label: str, categorical: Sequence[str], num
     """Random forest on coded states and numbers; class and chance of class one on test rows."""
     from pyspark.ml.classification import RandomForestClassifier
 
-    rows = df.dropna(subset=[label, *categorical, *numeric])
+    rows = _reused(df.dropna(subset=[label, *categorical, *numeric]))
     rf = RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, seed=SEED, predictionCol="predicted", probabilityCol="_p", rawPredictionCol="_raw")
     model = Pipeline(stages=[*_class_pipeline(categorical, numeric, label), rf]).fit(rows.filter(is_train))
     out = model.transform(rows.filter(~is_train))
@@ -61,7 +67,7 @@ def network_classifier(df: DataFrame, label: str, features: Sequence[str], is_tr
     """Multilayer perceptron on numeric features; class and chance of class one on test rows."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
-    rows = df.dropna(subset=[label, *features])
+    rows = _reused(df.dropna(subset=[label, *features]))
     mlp = MultilayerPerceptronClassifier(
         featuresCol="_x", labelCol=label, layers=[len(features), *hidden, 2], maxIter=iterations, seed=SEED, predictionCol="predicted", probabilityCol="_p", rawPredictionCol="_raw"
     )
@@ -74,7 +80,7 @@ def principal_components(df: DataFrame, array_col: str, k: int) -> DataFrame:
     """Loadings per component with the share of variance it explains.  Signs are fixed so that the largest loading is positive."""
     from pyspark.ml.feature import PCA
 
-    model = PCA(k=k, inputCol="_x", outputCol="_y").fit(df.select(array_to_vector(F.col(array_col)).alias("_x")))
+    model = PCA(k=k, inputCol="_x", outputCol="_y").fit(_reused(df.select(array_to_vector(F.col(array_col)).alias("_x"))))
     pc, ev = model.pc.toArray(), model.explainedVariance.toArray()
     spark = df.sparkSession
     rows = []
@@ -99,7 +105,7 @@ def mixture_regimes(df: DataFrame, features: Sequence[str], k: int = 2) -> DataF
     """Posterior probability of each component, ordered by the mean of the first feature."""
     from pyspark.ml.clustering import GaussianMixture
 
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.dropna(subset=list(features)))
+    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(_reused(df.dropna(subset=list(features))))
     model = GaussianMixture(featuresCol="_x", k=k, seed=SEED, predictionCol="_c", probabilityCol="_p", maxIter=50).fit(rows)
     order = sorted(range(k), key=lambda i: float(model.gaussians[i].mean[0]))
     out = model.transform(rows)
@@ -110,7 +116,7 @@ def mixture_regimes(df: DataFrame, features: Sequence[str], k: int = 2) -> DataF
 def two_means(df: DataFrame, features: Sequence[str], k: int = 2) -> DataFrame:
     from pyspark.ml.clustering import KMeans
 
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.dropna(subset=list(features)))
+    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(_reused(df.dropna(subset=list(features))))
     model = KMeans(featuresCol="_x", k=k, seed=SEED, predictionCol="_c").fit(rows)
     order = sorted(range(k), key=lambda i: float(model.clusterCenters()[i][0]))
     label = F.create_map(*[F.lit(x) for j, i in enumerate(order) for x in (i, j)])

@@ -261,6 +261,20 @@ def binary_code(df: DataFrame, bits: Sequence[str] = CODE_BITS, below: Sequence[
     return base.withColumn("code", pack_bits(flags)).select(*df.columns, "code")
 
 
+def code_strategy(df: DataFrame, ret: str = "ret", extra_delay: int = 0, by_sign: bool = True, reverse: bool = False, keys=KEYS) -> DataFrame:
+    """Action and confidence of each row's code, and the return times that action (or its sign).
+
+    The attributes behind the code are already lagged; ``extra_delay`` lags the action again.
+    """
+    from strandline.functions.codes import CODE_DEFAULTS, CODE_TABLE
+    from strandline.operators.align import lookup
+
+    base = lookup(df, "code", CODE_TABLE, CODE_DEFAULTS)
+    a = F.lag("action", extra_delay).over(ordered(keys)) if extra_delay else F.col("action")
+    position = (F.signum(a) if by_sign else a) * (-1.0 if reverse else 1.0)
+    return base.withColumn("strategy", F.col(ret) * position)
+
+
 def belief_states(df: DataFrame, n: int, gamma: float = 1.0, limits: tuple[float, float, float] = (0.0, 0.0, 0.0), entropy_limit: float = 0.9, trade_limit: float = 0.5, prior: float = 0.5, ret: str = "ret", keys=KEYS) -> DataFrame:
     """Bayesian belief per market state, with a signal gated by its entropy.
 
