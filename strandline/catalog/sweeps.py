@@ -72,7 +72,11 @@ def _(spark, path):
     return sw.walk_forward(rule_rows(spark, path, WN), 104, 26, 26, ["n", "delay"])
 
 
-@query("K4_walk_forward_hundred", None)
+WFS = WF.replace("product(1 + strategy) filter (part = 'train') - 1 as tr", "avg(strategy) filter (part = 'train') / nullif(stddev_pop(strategy) filter (part = 'train'), 0) as tr").replace(
+    "product(1 + strategy) filter (part = 'test') - 1 as te", "avg(strategy) filter (part = 'test') / nullif(stddev_pop(strategy) filter (part = 'test'), 0) as te")
+
+
+@query("K4_walk_forward_hundred", q(WEEKLY, rets("weekly"), X, rule_sql(list(range(2, 52)), (1, 2)), WFS.strip(), body=f"select series_id, fold::int as fold, n, delay, {r('tr', 'train_score')}, {r('te', 'test_score')} from b"))
 def _(spark, path):
     return sw.walk_forward(rule_rows(spark, path, list(range(2, 52)), (1, 2)), 104, 26, 26, ["n", "delay"], metric="sharpe")
 

@@ -22,10 +22,15 @@ def _drawdown(df: DataFrame, ret: str, keys, order: str) -> DataFrame:
     return base.withColumn("_dd", div(F.col("_w"), F.max("_w").over(w)) - 1.0)
 
 
-def performance_annual(df: DataFrame, periods: float, ret: str = "ret", keys=KEYS, order: str = "ts", target: float = 0.0) -> DataFrame:
-    """Mean, deviation, Sharpe, Sortino over all rows, total return and maximum drawdown."""
+def performance_annual(df: DataFrame, periods: float, ret: str = "ret", keys=KEYS, order: str = "ts", target: float = 0.0, benchmark: str | None = None) -> DataFrame:
+    """Mean, deviation, Sharpe, Sortino over all rows, total return and maximum drawdown.
+
+    With ``benchmark`` (a return column) its total return over the same rows and the
+    excess return are added in the same pass.
+    """
     r = F.col(ret)
     short = F.greatest(F.lit(target) - r, F.lit(0.0))
+    hold = [(F.product(1.0 + F.col(benchmark)) - 1.0).alias("hold_return")] if benchmark else []
     agg = _drawdown(df, ret, keys, order).groupBy(*keys).agg(
         (F.avg(r) * periods).alias("mean"),
         (F.stddev_samp(r) * periods**0.5).alias("std"),
@@ -33,12 +38,14 @@ def performance_annual(df: DataFrame, periods: float, ret: str = "ret", keys=KEY
         (F.product(1.0 + r) - 1.0).alias("total_return"),
         F.min("_dd").alias("max_drawdown"),
         F.count(r).alias("periods"),
+        *hold,
     )
+    extra = ["hold_return", (F.col("total_return") - F.col("hold_return")).alias("excess_return")] if benchmark else []
     return agg.select(
         *keys, "periods", "mean", "std",
         div(F.col("mean"), F.col("std")).alias("sharpe"),
         div(F.col("mean"), F.col("_down")).alias("sortino"),
-        "total_return", "max_drawdown",
+        "total_return", "max_drawdown", *extra,
     )
 
 

@@ -17,10 +17,8 @@ def rolling_mean_verdict(spark: SparkSession, path: str, n: int = 5) -> DataFram
     bars = panels.returns(panels.daily_events(spark, path))
     signal = window.rolling(bars, "ret", n, ["mean"])
     trades = signals.follow_sign(signal, "mean").filter(F.col("strategy").isNotNull())
-    perf = evaluate.performance_annual(trades, 252, "strategy")
-    hold = evaluate.excess_return(trades)
-    both = perf.join(hold, ["series_id"])
-    return both.select(
-        "series_id", "periods", "sharpe", "strategy_return", "hold_return", "excess_return", "max_drawdown",
+    perf = evaluate.performance_annual(trades, 252, "strategy", benchmark="ret")
+    return perf.select(
+        "series_id", "periods", "sharpe", F.col("total_return").alias("strategy_return"), "hold_return", "excess_return", "max_drawdown",
         (F.col("excess_return") > 0).alias("beats_holding"),
     )

@@ -192,7 +192,7 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 
 
 SIGNALS = {
-    "osborne": lambda p: signals.bubble(p, (3, 5), {"v": "variance"}),
+    "bubble": lambda p: signals.bubble(p, (3, 5), {"v": "variance"}),
     "abc": lambda p: signals.abc_pattern(p, 2, 3, 4),
     "auto": lambda p: signals.automatic_window(p, (2, 3, 5)),
     "belief": lambda p: signals.belief_states(p, 5),
