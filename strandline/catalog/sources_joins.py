@@ -66,7 +66,7 @@ def _joined(how):
     return q(MONTHLY, WEEKLY, f"""
 a as (select ts, avg(value) as a from monthly group by ts),
 b as (select cast(date_trunc('month', ts) as date) as ts, avg(value) as b from weekly where ts < date '2000-01-01' group by 1)""",
-             body=f"select coalesce(a.ts, b.ts) as ts, round(a, 6) as a, round(b, 6) as b from a {how} join b on a.ts = b.ts")
+             body=f"select coalesce(a.ts, b.ts) as ts, round(a, 3) as a, round(b, 3) as b from a {how} join b on a.ts = b.ts")
 
 
 def _sides(spark, path):
@@ -76,17 +76,17 @@ def _sides(spark, path):
     return a, b
 
 
-@query("B1_outer_alignment", _joined("full"))
+@query("B1_outer_alignment", _joined("full"), digits=3)
 def _(spark, path):
     return al.align(*_sides(spark, path), "full")
 
 
-@query("B2_inner_alignment", _joined("inner"))
+@query("B2_inner_alignment", _joined("inner"), digits=3)
 def _(spark, path):
     return al.align(*_sides(spark, path), "inner")
 
 
-@query("B3_left_alignment", _joined("left"))
+@query("B3_left_alignment", _joined("left"), digits=3)
 def _(spark, path):
     return al.align(*_sides(spark, path), "left")
 

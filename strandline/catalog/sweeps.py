@@ -143,7 +143,8 @@ z as (select x.*, k, c.n, a, b, case when c.n = 2 then ({full("sum((ret >= 0)::i
 f as (select *, case when sm is not null then case when (sm + a) / (a + b + n) >= 0.5 then 1.0 else -1.0 end end as f from z),
 p as (select *, lag(f) over (partition by series_id, k order by i) as p from f),
 w as (select *, product(case when p is not null then 1 + ret end) over v / product(1 + ret * p) over v as w from p window v as (partition by series_id, k order by i)),
-s as (select series_id, ts, i, any_value(ret) as ret, arg_min(k, (round(coalesce(w, 1), 12), k)) as bk, min(round(coalesce(w, 1), 12)) as bw from w group by 1, 2, 3),
+v as (select *, coalesce(w, 1) as v, pow(10.0, ceil(log10(greatest(abs(coalesce(w, 1)), 1e-300)))) as mag from w),
+s as (select series_id, ts, i, any_value(ret) as ret, arg_min(k, (round(v / mag, 10) * mag, k)) as bk, min(round(v, 12)) as bw from v group by 1, 2, 3),
 e as (select s.*, first_value(case when bw < 1 then bk end) over (partition by series_id, (i - 1) // 4 order by i) as hk from s),
 g as (select e.*, c.n, c.a, c.b, coalesce(f.f, 1.0) as sig from e left join c on c.k = e.hk left join f on f.series_id = e.series_id and f.i = e.i and f.k = e.hk)"""
 

@@ -267,7 +267,7 @@ def _(spark, path):
 
 
 @query("D18_period_label", q(MONTHLY, body="""
-select year(ts) || '-Q' || quarter(ts) as period, count(*) as n, round(sum(value), 6) as total from monthly group by 1"""))
+select year(ts) || '-Q' || quarter(ts) as period, count(*) as n, round(sum(value), 3) as total from monthly group by 1"""), digits=3)
 def _(spark, path):
     m = panels.orders_monthly(spark, path)
     return m.groupBy(tr.period_label(F.col("ts")).alias("period")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))

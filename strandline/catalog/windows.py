@@ -20,8 +20,8 @@ def weekly(spark, path):
 
 
 @query("E1_rolling_statistics", q(WEEKLY, body="select series_id, ts, " + ", ".join(
-    r(full(f"{f}(value)", "value", 12), n) for f, n in [("avg", "mean"), ("sum", "sum"), ("stddev_samp", "std"), ("var_samp", "var"), ("min", "min"), ("max", "max")])
-    + ", count(value) over (partition by series_id order by ts rows between 11 preceding and current row) as count from weekly"), digits=6)
+    r(full(f"{f}(value)", "value", 12), n, 3) for f, n in [("avg", "mean"), ("sum", "sum"), ("stddev_samp", "std"), ("var_samp", "var"), ("min", "min"), ("max", "max")])
+    + ", count(value) over (partition by series_id order by ts rows between 11 preceding and current row) as count from weekly"), digits=3)
 def _(spark, path):
     p = win.rolling(panels.ship_weekly(spark, path), "value", 12, ["mean", "sum", "std", "var", "min", "max", "count"])
     return p.drop("value", "volume")
@@ -256,7 +256,7 @@ def _(spark, path):
 
 
 @query("E25_centred_mean", q(MONTHLY, body=f"""
-select series_id, ts, {r("avg(value) over (partition by series_id order by ts rows between 6 preceding and 5 following)", "centred_mean")} from monthly"""))
+select series_id, ts, {r("avg(value) over (partition by series_id order by ts rows between 6 preceding and 5 following)", "centred_mean", 3)} from monthly"""), digits=3)
 def _(spark, path):
     return win.centred_mean(panels.orders_monthly(spark, path), "value", 12).select("series_id", "ts", "centred_mean")
 
