@@ -20,15 +20,14 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def place(df: DataFrame, x: Column, splits: DataFrame, keys: Sequence[str], buckets: int, out: str = "_b") -> DataFrame:
-    """Add the number of cut points (array ``_s`` of ``splits``) at or below x."""
+    """Join the cut points (array ``_s``) and add the number of them at or below x."""
     kept = bounded_broadcast(splits, limit=max(1, BROADCAST_BYTES // (8 * buckets)))
-    placed = df.join(kept, list(keys)).withColumn("_x", x).withColumn(out, F.lit(0))
-    step = 1 << (buckets - 1).bit_length() - 1
-    while step:  # binary search, one projection per halving
-        probe = F.get("_s", F.col(out) + (step - 1))
-        placed = placed.withColumn(out, F.col(out) + F.when(probe <= F.col("_x"), step).otherwise(0))
-        step >>= 1
-    return placed.drop("_s", "_x")
+    steps = [1 << i for i in range((buckets - 1).bit_length() - 1, -1, -1)]
+    # binary search as one expression: a chain of projections would be inlined into itself
+    search = F.aggregate(
+        F.array(*[F.lit(v) for v in steps]), F.lit(0), lambda at, w: at + F.when(F.get("_s", at + w - 1) <= F.col("_x"), w).otherwise(0)
+    )
+    return df.withColumn("_x", x).join(kept, list(keys)).withColumn(out, search)
 
 
 def cut_points(x: str, buckets: int) -> Column:
@@ -36,21 +35,35 @@ def cut_points(x: str, buckets: int) -> Column:
     return F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10 * buckets)
 
 
-def balanced_buckets(df: DataFrame, ts: str, keys: Sequence[str], buckets: int = 512, out: str = "_b") -> DataFrame:
-    """Time buckets of similar size per key, monotone in ts, however rows crowd together.
+def _time_number(df: DataFrame, ts: str) -> Column:
+    """A long that grows with the time column; local timestamps are read without a time zone."""
+    kind, t = dict(df.dtypes)[ts], F.col(ts)
+    if kind == "timestamp_ntz":
+        day = F.unix_date(F.to_date(t)).cast("long") * 86_400_000_000
+        return day + F.hour(t).cast("long") * 3_600_000_000 + F.minute(t).cast("long") * 60_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    if kind == "timestamp":
+        return F.unix_micros(t)
+    if kind == "date":
+        return F.unix_date(t).cast("long")
+    return t.cast("long")
+
+
+def balanced_buckets(df: DataFrame, ts: str, keys: Sequence[str], buckets: int = 512, rows: int = 100_000, out: str = "_b") -> DataFrame:
+    """Time buckets of at most about ``rows`` rows per key, monotone in ts, however rows crowd together.
 
-    Only the balance depends on the sketch; any monotone buckets give right results.
+    A quantile sketch cuts every key into ``buckets`` parts of equal size, and each
+    part into as many equal spans of time as its size asks for.  Only the balance
+    depends on the sketch: any monotone buckets give right results.
     """
-    kind = dict(df.dtypes)[ts]
-    if kind.startswith("timestamp"):
-        micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    elif kind == "date":
-        micros = F.unix_date(F.col(ts)).cast("long")
-    else:
-        micros = F.col(ts)
-    marked = df.withColumn("_u", micros)
-    splits = marked.groupBy(*keys).agg(cut_points("_u", buckets).alias("_s"))
-    return place(marked, F.col("_u"), splits, keys, buckets, out).drop("_u")
+    marked = df.withColumn("_u", _time_number(df, ts))
+    splits = marked.groupBy(*keys).agg(cut_points("_u", buckets).alias("_s"), F.count("*").alias("_n"), F.min("_u").alias("_lo"), F.max("_u").alias("_hi"))
+    p = place(marked, F.col("_u"), splits, keys, buckets, "_part")
+    lo = F.coalesce(F.get("_s", F.col("_part") - 1), F.col("_lo"))
+    hi = F.coalesce(F.get("_s", F.col("_part")), F.col("_hi"))
+    spans = F.ceil(F.col("_n") / F.lit(float(buckets * rows)))
+    share = (F.col("_u") - lo).cast("double") / (F.greatest(hi - lo, F.lit(0)) + 1)
+    span = F.least(F.floor(share * spans), spans - 1)
+    return p.withColumn(out, F.col("_part").cast("long") * F.lit(1 << 32) + span).drop("_u", "_s", "_n", "_lo", "_hi", "_x", "_part")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], keys: Sequence[str], buckets: int = 512) -> DataFrame:
@@ -58,7 +71,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], keys: Sequ
     keys = list(keys)
     counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
     splits = counts.groupBy(*keys).agg(cut_points("_x", buckets).alias("_s"), F.sum("_c").alias("_n"))
-    placed = place(counts.withColumnRenamed("_x", "_v"), F.col("_v"), splits, keys, buckets).withColumnRenamed("_v", "_x")
+    placed = place(counts.withColumnRenamed("_x", "_v"), F.col("_v"), splits, keys, buckets).drop("_s", "_x").withColumnRenamed("_v", "_x")
     sums = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_cb"), F.max("_n").alias("_n"))
     before = F.coalesce(F.sum("_cb").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("_off", before)

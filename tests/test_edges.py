@@ -111,6 +111,22 @@ def test_segments_change_nothing(panel, rows):
         assert r["s"] == total
 
 
+@pytest.mark.parametrize("buckets,rows", [(4, 5), (64, 100_000), (2, 1)])
+def test_buckets_are_monotone_and_small(spark, buckets, rows):
+    from strandline.operators.quantiles import balanced_buckets
+
+    crowded = [1000 + i // 50 for i in range(300)] + list(range(0, 100_000, 997))
+    df = spark.createDataFrame([("k", t * 1000 + i % 50) for i, t in enumerate(crowded)], "series_id string, ts long")
+    out = sorted((r["ts"], r["_b"]) for r in balanced_buckets(df, "ts", ["series_id"], buckets, rows).collect())
+    assert [b for _, b in out] == sorted(b for _, b in out)
+    sizes = {}
+    for _, b in out:
+        sizes[b] = sizes.get(b, 0) + 1
+    assert max(sizes.values()) <= max(len(out) / buckets * 2, 8)
+    numbered = segment.number_rows(df)
+    assert [r["rn"] for r in numbered.orderBy("ts").collect()] == list(range(1, len(out) + 1))
+
+
 def test_asof_takes_the_last_value_at_or_before(spark):
     left = spark.createDataFrame([("a", t) for t in (0, 5, 10, 99)], "series_id string, ts long")
     right = spark.createDataFrame([("a", 1, 1.0), ("a", 5, 2.0), ("a", 7, 3.0)], "series_id string, ts long, value double")
