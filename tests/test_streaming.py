@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,11 @@ T0 = dt.datetime(2024, 1, 1)
 
 def write(folder, name, rows):
     """One JSON file per trigger: (series, minute, value)."""
-    (folder / name).write_text("\n".join(json.dumps({"series_id": s, "ts": (T0 + dt.timedelta(minutes=m)).isoformat(), "value": float(v), "event_id": i}) for i, (s, m, v) in enumerate(rows)))
+    f = folder / name
+    f.write_text("\n".join(json.dumps({"series_id": s, "ts": (T0 + dt.timedelta(minutes=m)).isoformat(), "value": float(v), "event_id": i}) for i, (s, m, v) in enumerate(rows)))
+    # the file source reads in order of modification time: make that the order of names
+    stamp = 1_700_000_000 + 10 * int(name.split(".")[0])
+    os.utime(f, (stamp, stamp))
 
 
 def source(spark, folder):
