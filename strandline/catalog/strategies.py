@@ -244,7 +244,7 @@ J24 = f"""
 x as (select a.series_id, a.ts, b.ret, min(b.ret) over g as lo, max(b.ret) over g as hi, count(b.ret) over g as k from rets a join rets b on a.series_id = b.series_id and b.rn between a.rn - 29 and a.rn window g as (partition by a.series_id, a.ts)),
 c as (select series_id, ts, least(floor((ret - lo) * 10 / (hi - lo)), 9) as bin, count(*) as n from x where k = 30 group by 1, 2, 3),
 h as (select series_id, ts, -sum(n / 30.0 * ln(n / 30.0)) as h from c group by 1, 2),
-e as (select rets.*, h, 1 - h / ln(10) as i, product(1 + coalesce(ret, 0)) over {B} as w, {full("kurtosis(ret)", "ret", 30)} as ku from rets left join h using (series_id, ts)),
+e as (select rets.*, h, round(1 - h / ln(10), 9) as i, product(1 + coalesce(ret, 0)) over {B} as w, {full("kurtosis(ret)", "ret", 30)} as ku from rets left join h using (series_id, ts)),
 f as (select *, w / max(w) over {B} - 1 as dd, (i - avg(i) over {B}) / nullif(stddev_pop(i) over {B}, 0) as z from e)"""
 
 

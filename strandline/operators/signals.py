@@ -327,7 +327,8 @@ def anomaly_and_breaker(df: DataFrame, n: int, bins: int = 10, z: float = 3.0, e
     from strandline.operators.window import equity, histogram_entropy, rolling_shape
 
     base = equity(rolling_shape(histogram_entropy(df, ret, n, bins, keys), ret, n, keys), ret, keys)
-    w, i = expanding(keys), F.col("information")
+    # equal histograms must give equal information, or a deviation of 1e-17 makes a score of one
+    w, i = expanding(keys), F.round("information", 9)
     score = div(i - F.avg(i).over(w), F.stddev_pop(i).over(w))
     stop = (F.col("entropy") > entropy_limit) & (-F.col("drawdown") > drawdown_limit) & (F.col("sample_kurt") > kurtosis_limit)
     return base.select(
