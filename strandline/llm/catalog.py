@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import secrets
+from strandline.llm import packing, secrets
 from strandline.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,13 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(found)
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
 }
 
