@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import packing, secrets
+from strandline.llm import packing, secrets, shards
 from strandline.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,14 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    corpus = shards.write_corpus(documents)
+    return shards.read_corpus(spark, corpus, shards.keys_of(documents), keep_ids=False).drop("ids")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_token_shards": op2_token_shards,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,
 }
