@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import packing, secrets, shards
+from strandline.llm import jaccard, packing, secrets, shards
 from strandline.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,12 @@ def op2_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.read_corpus(spark, corpus, shards.keys_of(documents), keep_ids=False).drop("ids")
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.linked(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_shards": op2_token_shards,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op3_secret_scan": op3_secret_scan,

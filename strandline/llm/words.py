@@ -68,7 +68,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     starts = np.flatnonzero(full & ~before)
     last = np.zeros_like(full)
     last[:-1] = full[1:]
-    last[np.maximum(offsets[1:] - 1, 0)] = False
+    last[offsets[1:][np.diff(offsets) > 0] - 1] = False
     ends = np.flatnonzero(full & ~last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
