@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import jaccard, packing, secrets, shards
+from strandline.llm import jaccard, langid, packing, secrets, shards
 from strandline.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,12 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.linked(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op5_language_id": op5_language_id,
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_shards": op2_token_shards,
     "op4_best_fit_packing": op4_best_fit_packing,
