@@ -2,12 +2,18 @@
 
 The tokenizer splits at white space before anything else and never joins across it, so the
 ids of a text are the ids of its white-space separated chunks in order. Texts repeat their
-chunks; each worker keeps the ids of the chunks it has met, in a table of bounded size.
+chunks; each worker keeps the ids of the chunks it has met, in a table of bounded size. New
+chunks of plain letters and signs are cut into the tokenizer's own units, which repeat even
+more, and only new units go to the library's model; any other chunk goes through the whole
+tokenizer.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +23,21 @@ from strandline.llm.words import slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 KNOWN = 400_000
+#: Printable ASCII but ' and <, which start contractions and special tokens, and Latin-1 letters.
+PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def _byte_signs() -> list[str]:
+    """The sign that byte-level tokenizers write for each byte: itself if printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+# fixed value: the cutting rule that UNIT restates for plain chunks
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIGNS = _byte_signs()
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,10 +63,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), known
+        self.plain = self._is_plain(path)
+        self.units: dict[str, list[int]] = {}
         self._forget()
 
+    @staticmethod
+    def _is_plain(path: str) -> bool:
+        """Whether the file's own rules are those that PLAIN and UNIT restate."""
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        normal = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+        cut = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        return normal == ["NFC", "Replace", "Lowercase"] and [c.get("type") for c in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"].get("Regex") == RULE
+
+    def _unit(self, unit: str) -> list[int]:
+        ids = self.units.get(unit)
+        if ids is None:
+            written = unit if unit.isascii() else "".join(SIGNS[b] for b in unit.encode())
+            ids = self.units[unit] = [t.id for t in self.tokenizer.model.tokenize(written)]
+        return ids
+
+    def _ids_of(self, chunks: list[bytes]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        for chunk in (c.decode("utf-8", "replace") for c in chunks):
+            if self.plain and PLAIN.fullmatch(chunk):
+                units = UNIT.findall(chunk.lower())
+                out.append(self._unit(units[0]) if len(units) == 1 else [i for u in units for i in self._unit(u)])
+            else:
+                out.append(None)
+        rest = [k for k, x in enumerate(out) if x is None]
+        found = self.tokenizer.encode_batch_fast([chunks[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False)
+        for k, e in zip(rest, found, strict=True):
+            out[k] = e.ids
+        return out
+
     def _forget(self) -> None:
         self.numbers = _Numbers()
+        if len(self.units) > self.known:
+            self.units = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
@@ -54,7 +109,7 @@ class Encoder:
         fresh, self.numbers.fresh = self.numbers.fresh, []
         if not fresh:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)]
+        found = self._ids_of(fresh)
         size = np.fromiter(map(len, found), np.int64, len(found))
         total, n = int(size.sum()), len(self.numbers)
         while self.used + total > len(self.flat):
@@ -66,6 +121,7 @@ class Encoder:
         self.size[n - len(fresh) : n] = size
         self.first[n - len(fresh) : n] = self.used + np.cumsum(size) - size
         self.used += total
+        gc.freeze()  # the kept ids are many small lists that the collector need not visit again
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of a run of texts end to end, their offsets); a null text is empty."""
