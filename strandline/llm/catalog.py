@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import jaccard, langid, packing, secrets, shards
+from strandline.llm import jaccard, langid, packing, quality, secrets, shards, toxicity
 from strandline.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,17 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op9_quality": op9_quality,
+    "op7_toxicity": op7_toxicity,
     "op5_language_id": op5_language_id,
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_shards": op2_token_shards,

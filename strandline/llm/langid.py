@@ -13,10 +13,11 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from strandline.llm.linear import calibrated, fit, sigmoid
+from strandline.llm.samples import held_out
 from strandline.llm.words import slices
 
 #: Labelled rows of each language that the models are fitted on: a bound, not a share.
@@ -147,11 +148,6 @@ def train(texts: pa.Array, langs: list[str]) -> Model:
     return Model(families, languages, {name: k for k, (name, _, _) in enumerate(tasks)}, weights, bias, slope, offset)
 
 
-def held_out() -> Column:
-    """Documents never learned from: crc32 of the doc_id as text is divisible by 5, or no doc_id."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
-
-
 def labelled_sample(documents: DataFrame, rows: int = SAMPLE) -> tuple[pa.Array, list[str]]:
     """About ``rows`` labelled texts of each language (all, if fewer), chosen by hash."""
     d = documents.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text", "cast(lang as string) as lang")
