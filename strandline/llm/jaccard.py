@@ -9,9 +9,10 @@ Documents with the same set are one class; the join works on classes.
    equal in both sets: its hash is a key. A passage that many documents share makes no common
    key unless it fills a whole part. Empty parts give no key; a set with too many empty parts
    for this argument also uses its smallest shingles as keys (any two such sets share one).
-3. **Links.** Within a key every set is compared with the smallest set id, then connected
-   components are taken. Only keys whose sets are still in several components go on: their
-   sets form blocks, and pairs of blocks are compared by bitmaps.
+3. **Links.** The smallest set of a key is its hub. Every set is compared with the hubs that
+   it shares most keys with, then connected components are taken. Only keys whose sets are
+   still in several components go on: small ones as pairs, large ones in blocks, pairs of
+   blocks being compared by bitmaps. All pairs across components are covered.
 4. **Comparing.** A pair's bitmaps (one bit a shingle, by hash) bound the overlap from above:
    a bit that only one has is a shingle that the other lacks. Pairs that the bound leaves are
    settled by intersecting the sorted arrays of shingles.
@@ -26,12 +27,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from strandline.llm.components import components
 from strandline.llm.store import texts, written
 from strandline.llm.words import mix, shingles
 
+#: Hubs (smallest set of a key) that a set is compared with first: those of most of its keys.
+HUBS = 3
+#: Sets of a key up to which its pairs are listed; a key with more is compared by blocks.
+LISTED = 8
 #: Sets of one key compared in one task; a key with more is cut into blocks.
 BLOCK = 1024
 #: Bits of a bitmap: the power of two from the set's size on, within these bounds.
@@ -200,7 +205,11 @@ def _open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     held = buckets.select("key", "set_id").join(roots.select(F.col("v").alias("set_id"), "root"), "set_id", "left")
     held = held.select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
     open_keys = held.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1")
-    held = held.join(open_keys.select("key", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks")), "key")
+    held = written(held.join(open_keys.select("key", "size"), "key"), "open")
+    few = held.where(F.col("size") <= LISTED)
+    left, right = (few.select("key", F.col("set_id").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
+    listed = left.join(right, "key").where("a < b and a_root <> b_root").select("a", "b")
+    held = held.where(F.col("size") > LISTED).withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)"))
     held = held.withColumn("block", F.expr("pmod(xxhash64(set_id), blocks)").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = held.select("key", "set_id", "root", "block", other).select(
@@ -208,7 +217,7 @@ def _open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     )
     dealt = dealt.join(sets.select("set_id", "n", "bits"), "set_id")
     found = dealt.groupBy("key", "i", "j").applyInArrow(lambda key, rows: _tile_pairs(key, rows, percent), "a long, b long")
-    return found.distinct()
+    return listed.union(found).distinct()
 
 
 def linked(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -231,7 +240,9 @@ def linked(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     first = wanted.join(summary.groupBy("set_id").agg(F.min("doc_id").alias("first")), "set_id")
     named = d.join(first, F.col("doc_id").eqNullSafe(F.col("first"))).select("set_id", "text").mapInArrow(partial(_sets, width=width), "set_id long, n long, bits binary, members binary")
     sets = written(named, "sets")
-    stars = buckets.where("hub <> set_id").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
+    shared = buckets.where("hub <> set_id").groupBy("hub", "set_id").agg(F.count("*").alias("n"))
+    most = Window.partitionBy("set_id").orderBy(F.desc("n"), "hub")
+    stars = written(shared.withColumn("k", F.row_number().over(most)).where(F.col("k") <= HUBS).select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "stars")
     links = written(_compare(stars, sets, percent), "links")
     roots = components(links)
     rest = written(_compare(_open_pairs(buckets, roots, sets, percent).join(stars, ["a", "b"], "left_anti"), sets, percent), "links")

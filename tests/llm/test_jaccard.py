@@ -70,6 +70,8 @@ def near_copies(seed, n=160):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_against_all_pairs(documents, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "LISTED", 2 * seed)
+    monkeypatch.setattr(jaccard, "HUBS", seed)
     rows = near_copies(seed)
     assert result(jaccard.linked(documents(rows))) == brute(rows)
 
