@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import jaccard, langid, packing, quality, secrets, shards, toxicity
+from strandline.llm import jaccard, langid, packing, quality, secrets, shards, toxicity, vectors
 from strandline.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,12 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op9_quality": op9_quality,
     "op7_toxicity": op7_toxicity,
     "op5_language_id": op5_language_id,
