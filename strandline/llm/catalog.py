@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import jaccard, kdtree, langid, packing, quality, secrets, shards, toxicity, vectors
+from strandline.llm import jaccard, kdtree, langid, packing, pieces, quality, secrets, shards, toxicity, vectors
 from strandline.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,12 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return kdtree.top_k(table(spark, folder, "embeddings"))
 
 
+def op8_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.sample_checked(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op8_piece_sampling": op8_piece_sampling,
     "op10_exact_top_k": op10_exact_top_k,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op9_quality": op9_quality,
