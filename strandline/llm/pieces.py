@@ -28,7 +28,7 @@ from strandline.llm.words import BASE, INVERSE, mix, slices
 MODEL = "piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 8
 #: Distinct units whose lattices a worker keeps.
-KNOWN = 150_000
+KNOWN = 200_000
 BLANK = "▁"
 UNIT = re.compile(rb" +[^ ]*")
 LITERAL = 0x110000
@@ -75,13 +75,19 @@ class Vocabulary:
                 self.names[name] = i
                 self.bytes.append(name.replace(BLANK, " ").encode())
         # every beginning of a piece by hash, with the piece's id if it is one
-        table: dict[int, int] = {}
-        for name, i in self.names.items():
-            for k in range(1, len(name) + 1):
-                h = int(_hash_of(name[:k]))
-                table[h] = i if k == len(name) else table.get(h, -1)
-        self.hash = np.array(sorted(table), np.uint64)
-        self.id_of = np.array([table[int(h)] for h in self.hash], np.int64)
+        names = list(self.names)
+        sizes = np.array([len(x) for x in names], np.int64)
+        begin, number = np.cumsum(sizes) - sizes, np.array([self.names[x] for x in names], np.int64)
+        total, down = _prefix_sums(_code_points("".join(names)))
+        hashed, ids = [], []
+        for k in range(1, int(sizes.max(initial=0)) + 1):
+            at = begin[sizes >= k]
+            hashed.append(mix((total[at + k] - total[at]) * down[at] + np.uint64(k)))
+            ids.append(np.where(sizes[sizes >= k] == k, number[sizes >= k], -1))
+        hashed, ids = np.concatenate(hashed), np.concatenate(ids)
+        order = np.lexsort((-ids, hashed))
+        self.hash, first = np.unique(hashed[order], return_index=True)
+        self.id_of = ids[order][first]
         self.may = np.zeros(1 << 22, bool)
         self.may[(self.hash & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         self.longest = max(map(len, self.names), default=0)
@@ -103,11 +109,6 @@ def _prefix_sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, np.cumprod(down, dtype=np.uint64)
 
 
-def _hash_of(text: str) -> np.uint64:
-    total, _ = _prefix_sums(_code_points(text))
-    return mix(total[-1:] + np.uint64(len(text)))[0]
-
-
 class Sampler:
     """Lattices of the units met so far, with the conditional probabilities for sampling."""
 
@@ -121,7 +122,7 @@ class Sampler:
         self.total = np.zeros(1024)
         self.first = np.zeros(1 << 14, np.int64)
         self.nodes = self.edges = 0
-        self.chance, self.before, self.piece = np.zeros(1 << 16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.chance, self.before, self.piece = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         # pieces from the size of the vocabulary on stand for the bytes of a sign that has no piece
         self.spelled: dict[int, int] = {}
         self.spelling: list[list[int]] = []
@@ -185,7 +186,7 @@ class Sampler:
         # nodes of unit k: begin[k] + k ... begin[k] + k + sizes[k]
         unit = np.repeat(np.arange(len(units)), sizes)
         s, e, place = s + unit[s], e + unit[s], e - begin[unit[s]]
-        order = np.lexsort((piece, e, place))
+        order = np.argsort(place * (int(e.max()) + 1) + e, kind="stable")
         s, e, piece, weight, place = (x[order] for x in (s, e, piece, weight, place))
         count = int(sizes.sum()) + len(units)
         score = np.zeros(count)
