@@ -114,7 +114,7 @@ def _name(h: np.ndarray) -> int:
 
 
 def _summaries(parts: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_shingles, set_id, keys); keys only with the first copy that this task meets."""
+    """(doc_id, text_hash, n_shingles, set_id, keys); keys only with the first copy that this task meets."""
     tiles, seen = Tiles(percent), set()
     for part in parts:
         sizes, names, lengths, flat = [], [], [], []
@@ -130,7 +130,7 @@ def _summaries(parts: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
         values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
         keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-        yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), keys], names=["doc_id", "n_shingles", "set_id", "keys"])
+        yield pa.record_batch([part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), keys], names=["doc_id", "text_hash", "n_shingles", "set_id", "keys"])
 
 
 def _sets(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -229,9 +229,17 @@ def linked(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     texts have no shingle and reach only themselves. Repeated doc_ids are rows of their own;
     a null doc_id is linked by its text but never names a component unless it is alone.
     """
+    return groups(documents, width, percent).select("doc_id", "n_shingles", "set_id", "component_id")
+
+
+def groups(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """``linked`` with text_hash (which text of a repeated doc_id) and root (the group's smallest set id)."""
     d = texts(documents)
     summary = written(
-        d.mapInArrow(partial(_summaries, width=width, percent=percent), "doc_id long, n_shingles long, set_id long, keys array<long>"), "summary"
+        d.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+            partial(_summaries, width=width, percent=percent), "doc_id long, text_hash long, n_shingles long, set_id long, keys array<long>"
+        ),
+        "summary",
     )
     exploded = summary.select("set_id", F.explode("keys").alias("key"))
     buckets = exploded.selectExpr("key", "set_id", "min(set_id) over (partition by key) as hub", "max(set_id) over (partition by key) as top")
@@ -252,8 +260,27 @@ def linked(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
 
 def _named(summary: DataFrame, roots: DataFrame) -> DataFrame:
     """Components by smallest doc_id: of the set's root, then of its documents."""
-    rows = summary.select("doc_id", "n_shingles", "set_id").join(roots.select(F.col("v").alias("set_id"), "root"), "set_id", "left")
+    rows = summary.select("doc_id", "text_hash", "n_shingles", "set_id").join(roots.select(F.col("v").alias("set_id"), "root"), "set_id", "left")
     rows = rows.withColumn("root", F.coalesce("root", "set_id"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(least, "root", "left")
-    return rows.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "text_hash", "n_shingles", "set_id", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``documents`` that stay when of each group of linked documents one does.
+
+    It is the one with the smallest doc_id (a null is the largest), then the smallest text
+    hash. Rows without a shingle are groups of their own. All columns are kept as they are.
+    """
+    rows = groups(documents, width, percent)
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"))).alias("x")
+    stay = rows.where("root is not null").groupBy("root").agg(first).select("x.*", F.lit(True).alias("chosen"))
+    bare = rows.where("root is null").select(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"), F.lit(False).alias("chosen"))
+    stay = stay.union(bare.distinct())
+    d = documents.select(F.struct("*").alias("row")).withColumn("id", F.expr("cast(row.doc_id as bigint)"))
+    d = d.select("row", F.isnull("id").alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), F.xxhash64(F.col("row.text").cast("string")).alias("hash"))
+    kept = d.join(stay, ["no_id", "id", "hash"])
+    # equal rows of one doc_id are one group as well
+    same = F.row_number().over(Window.partitionBy("no_id", "id", "hash").orderBy("chosen"))
+    return kept.withColumn("same", same).where("same = 1 or not chosen").select("row.*")

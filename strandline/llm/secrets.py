@@ -140,3 +140,22 @@ def masked(text, found):
     import pandas as pd
 
     return pd.Series([mask(t, [(f["kind"], f["start"], f["end"]) for f in x]) for t, x in zip(text, found, strict=True)], dtype=object)
+
+
+def redacted(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """``documents`` with every secret in ``text`` masked and ``n_chars``, if there, counted anew.
+
+    All rows and columns are kept; rows without a secret are unchanged.
+    """
+    fresh = written(scan_unseen(documents, ledger), "ledger")
+    known = fresh if ledger is None else ledger.where(F.col("rules") == RULES).select(fresh.columns).union(fresh)
+    found = known.where(F.size("found") > 0).select("blob", "found")
+    d = documents.select(F.struct("*").alias("row"))
+    d = d.withColumn("blob", F.sha2(F.encode(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "UTF-8"), 256)).join(found, "blob", "left")
+    text = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(masked(F.col("row.text"), F.coalesce("found", F.array().cast(FOUND))))
+    d = d.withColumn("masked", text)
+    columns = []
+    for c in documents.columns:
+        new = {"text": F.col("masked"), "n_chars": F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.char_length("masked"))}.get(c)
+        columns.append(F.col(f"row.`{c}`").alias(c) if new is None else new.cast(documents.schema[c].dataType).alias(c))
+    return d.select(*columns)
