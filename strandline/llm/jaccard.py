@@ -12,7 +12,9 @@ Documents with the same set are one class; the join works on classes.
 3. **Links.** The smallest set of a key is its hub. Every set is compared with the hubs that
    it shares most keys with, then connected components are taken. Only keys whose sets are
    still in several components go on: small ones as pairs, large ones in blocks, pairs of
-   blocks being compared by bitmaps. All pairs across components are covered.
+   blocks being compared by bitmaps. In a first round a set offers only its likeliest partners
+   in a block; most groups grow together on these. The second round covers all pairs that are
+   still across components.
 4. **Comparing.** A pair's bitmaps (one bit a shingle, by hash) bound the overlap from above:
    a bit that only one has is a shingle that the other lacks. Pairs that the bound leaves are
    settled by intersecting the sorted arrays of shingles.
@@ -39,8 +41,10 @@ HUBS = 3
 LISTED = 8
 #: Sets of one key compared in one task; a key with more is cut into blocks.
 BLOCK = 1024
-#: Bits of a bitmap: the power of two from the set's size on, within these bounds.
-BITS = (64, 8192)
+#: Bits of a bitmap: the power of two from four times the set's size on, within these bounds.
+BITS = (64, 1 << 16)
+#: Likeliest partners that a set offers in each block before all its pairs are compared.
+LIKELIEST = 2
 
 
 class Tiles:
@@ -86,7 +90,7 @@ class Tiles:
 
 def bitmap(h: np.ndarray) -> np.ndarray:
     """One bit per shingle hash, in a power of two of bits that follows from the set's size."""
-    width = min(max(BITS[0], 1 << (len(h) - 1).bit_length()), BITS[1])
+    width = min(max(BITS[0], 1 << (4 * len(h) - 1).bit_length()), BITS[1])
     bits = np.zeros(width, np.uint8)
     bits[(h & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -178,8 +182,11 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(partial(_exact, percent=percent), "a long, b long")
 
 
-def _tile_pairs(key, rows: pa.Table, percent: int) -> pa.Table:
-    """Pairs of different components from one pair of blocks that the bitmaps do not rule out."""
+def _tile_pairs(key, rows: pa.Table, percent: int, likeliest: int | None) -> pa.Table:
+    """Pairs of different components from one pair of blocks that the bitmaps do not rule out.
+
+    With ``likeliest`` only so many for each set: those of the largest bounds.
+    """
     rows = rows.sort_by("set_id")
     ids, root, n, side = (rows.column(c).to_numpy() for c in ("set_id", "root", "n", "side"))
     same = key[1].as_py() == key[2].as_py()
@@ -191,8 +198,20 @@ def _tile_pairs(key, rows: pa.Table, percent: int) -> pa.Table:
     step = max(1, (1 << 22) // (8 * words * max(1, len(right))))
     for k in range(0, len(left), step):
         some = left[k : k + step]
-        fit = similar(most_common(bits[some, None], n[some, None], bits[None, right], n[None, right]), n[some, None], n[None, right], percent)
+        bound = most_common(bits[some, None], n[some, None], bits[None, right], n[None, right])
+        fit = similar(bound, n[some, None], n[None, right], percent)
         fit &= (root[some, None] != root[None, right]) & ((some[:, None] < right[None]) if same else True)
+        if likeliest is not None:
+            bound = np.where(fit, bound, -1)
+            fit = np.zeros_like(fit)
+            for axis in (0, 1):
+                if bound.shape[axis] > likeliest:
+                    best = np.argpartition(-bound, likeliest - 1, axis=axis)
+                    best = np.take(best, range(likeliest), axis=axis)
+                    np.put_along_axis(fit, best, True, axis=axis)
+                else:
+                    fit[:] = True
+            fit &= bound >= 0
         i, j = np.nonzero(fit)
         a.append(ids[some[i]])
         b.append(ids[right[j]])
@@ -200,7 +219,7 @@ def _tile_pairs(key, rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, likeliest: int | None) -> DataFrame:
     """Possible links between components that share a key."""
     held = buckets.select("key", "set_id").join(roots.select(F.col("v").alias("set_id"), "root"), "set_id", "left")
     held = held.select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
@@ -216,7 +235,7 @@ def _open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent:
         "key", "set_id", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side")
     )
     dealt = dealt.join(sets.select("set_id", "n", "bits"), "set_id")
-    found = dealt.groupBy("key", "i", "j").applyInArrow(lambda key, rows: _tile_pairs(key, rows, percent), "a long, b long")
+    found = dealt.groupBy("key", "i", "j").applyInArrow(lambda key, rows: _tile_pairs(key, rows, percent, likeliest), "a long, b long")
     return listed.union(found).distinct()
 
 
@@ -251,10 +270,13 @@ def groups(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     shared = buckets.where("hub <> set_id").groupBy("hub", "set_id").agg(F.count("*").alias("n"))
     most = Window.partitionBy("set_id").orderBy(F.desc("n"), "hub")
     stars = written(shared.withColumn("k", F.row_number().over(most)).where(F.col("k") <= HUBS).select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "stars")
-    links = written(_compare(stars, sets, percent), "links")
+    links, tested = written(_compare(stars, sets, percent), "links"), stars
+    for likeliest in (LIKELIEST, None):
+        pairs = _open_pairs(buckets, components(links), sets, percent, likeliest)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(written(_compare(pairs, sets, percent), "links"))
+        tested = tested.union(pairs)
     roots = components(links)
-    rest = written(_compare(_open_pairs(buckets, roots, sets, percent).join(stars, ["a", "b"], "left_anti"), sets, percent), "links")
-    roots = components(links.union(rest))
     return _named(summary, roots)
 
 
