@@ -12,11 +12,6 @@ def div(a, b) -> Column:
     return F.try_divide(a.cast("double") if isinstance(a, Column) else F.lit(float(a)), b)
 
 
-def rnd(c, digits: int = 6) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits)
-
-
 def corr_from(x: Column, y: Column, over=None) -> Column:
     """Pearson correlation over pairs with both values; null when either is constant."""
     both = x.isNotNull() & y.isNotNull()
@@ -50,6 +45,15 @@ def iterated_log(n: int) -> int:
     return count
 
 
+def iterated_log_of(n: Column) -> Column:
+    """``iterated_log`` of a column, for any number: a ladder on where the count steps up.
+
+    The count is 1 up to e^2, as the logarithm rounds down to 1 there, and 2 up to e^8, as it
+    rounds down to 7; the next step lies beyond the range of a double.
+    """
+    return F.when(n <= 1, 0).when(n < math.exp(2), 1).when(n < math.exp(8), 2).when(n.isNotNull(), 3)
+
+
 def window_weights(windows, scheme: str) -> dict[int, float]:
     """Weights by window length n, summing to one: equal, 2^-n or 2^-log*(n)."""
     exponent = {"equal": lambda n: 0, "complexity": lambda n: n, "prior": iterated_log}

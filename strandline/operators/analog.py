@@ -130,7 +130,7 @@ def peak_path(df: DataFrame, col: str, width: int, h: int, k: int, first_point_o
     Candidate windows end before the last window starts and have h values after them.
     """
     base = _followers(df, col, width, h, keys)
-    base = base.withColumn("_back", F.count("*").over(ordered(keys).rowsBetween(0, Window.unboundedFollowing)))
+    base = base.withColumn("_back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts"))))
     last = base.filter(F.col("_back") == width).select(*keys, F.col("pattern").alias("_q"))
     ok = (F.size("path") == h) & (F.col("_back") >= 2 * width)
     peak = F.forall(F.slice("pattern", 2, width - 1), lambda v: v < F.get("pattern", F.lit(0)))

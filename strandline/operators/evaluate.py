@@ -7,6 +7,7 @@ drawdown, is computed with the equity curve.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -199,15 +200,16 @@ def rolling_precision(df: DataFrame, n: int, keys: Sequence[str], actual="actual
     return base.withColumn("precision", F.when(ok, 1.0 / F.sqrt(1000.0 * ratio + 1.0))).drop("_ea", "_ef")
 
 
-def diebold_mariano(df: DataFrame, loss_a: Column, loss_b: Column, keys=KEYS, order: str = "ts", max_lag: int = 24) -> DataFrame:
+def diebold_mariano(df: DataFrame, loss_a: Column, loss_b: Column, keys=KEYS, order: str = "ts") -> DataFrame:
     """Test that two loss series have equal means, with Bartlett-weighted autocovariances.
 
-    The bandwidth is floor(4 (n/100)^(2/9)) of each group.  ``max_lag`` columns are
-    prepared (24 serves groups of up to 380,000 rows); a group that needs more
-    gets a null statistic, so raise it rather than read a truncated sum.
+    The bandwidth is floor(4 (n/100)^(2/9)) of each group; the number of lag columns follows
+    from the largest group, which is counted first (one row reaches the driver).
     """
     w = ordered(keys, order)
     base = df.withColumn("_d", loss_a - loss_b).filter(F.col("_d").isNotNull())
+    longest = base.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    max_lag = max(1, math.floor(4.0 * (longest / 100.0) ** (2.0 / 9.0)))
     base = base.select("*", *[F.lag("_d", j).over(w).alias(f"_l{j}") for j in range(1, max_lag + 1)])
     s = base.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("_d").alias("mean_difference"), F.var_samp("_d").alias("_s0"),
@@ -217,7 +219,7 @@ def diebold_mariano(df: DataFrame, loss_a: Column, loss_b: Column, keys=KEYS, or
     var = F.col("_s0")
     for j in range(1, max_lag + 1):
         var = var + F.when(bw >= j, 2.0 * (1.0 - F.lit(float(j)) / (bw + 1.0)) * F.coalesce(F.col(f"_s{j}"), F.lit(0.0))).otherwise(0.0)
-    stat = F.when((var > 0) & (bw <= max_lag), div(F.col("mean_difference"), F.sqrt(var / F.col("n"))))
+    stat = F.when(var > 0, div(F.col("mean_difference"), F.sqrt(var / F.col("n"))))
     s = s.withColumn("bandwidth", bw.cast("int")).withColumn("statistic", stat)
     return s.select(*keys, "n", "bandwidth", "mean_difference", "statistic", (2.0 * (1.0 - norm_cdf(F.abs("statistic")))).alias("p_value"))
 

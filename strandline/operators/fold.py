@@ -27,14 +27,15 @@ def _runs(keys: pd.DataFrame) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(keys)]))
 
 
-def ordered_fold(df: DataFrame, make: Callable[[dict], object], inputs: Sequence[str], outputs: str, keys: Sequence[str] = ("series_id",), order: str = "ts", keep: Sequence[str] = ()) -> DataFrame:
+def ordered_fold(df: DataFrame, make: Callable[[dict], object], inputs: Sequence[str], outputs: str, keys: Sequence[str] = ("series_id",), order: str = "ts", keep: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
     """Run ``make(key).row(*inputs) -> tuple`` over every key in time order.
 
     ``outputs`` is a DDL list of the tuple's columns; a row whose step returns
-    None is not emitted.  Result columns: keys, order, ``keep``, outputs.
+    None is not emitted.  Rows of one time follow the ``tie`` columns.  Result columns:
+    keys, order, ``keep``, outputs.
     """
-    cols = list(dict.fromkeys([*keys, order, *inputs, *keep]))
-    src = df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, order)
+    cols = list(dict.fromkeys([*keys, order, *inputs, *keep, *tie]))
+    src = df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, order, *tie)
     kept = [*keys, order, *[k for k in keep if k not in keys]]
     fields = src.schema
     schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in kept) + ", " + outputs
@@ -57,9 +58,9 @@ def ordered_fold(df: DataFrame, make: Callable[[dict], object], inputs: Sequence
                     if result is not None:
                         out.append(result)
                         index.append(i)
-            made = pdf[kept].iloc[index].reset_index(drop=True)
-            values = pd.DataFrame(out, columns=names) if out else pd.DataFrame({n: [] for n in names})
-            yield pd.concat([made, values], axis=1)
+            if out:
+                made = pdf[kept].iloc[index].reset_index(drop=True)
+                yield made.assign(**pd.DataFrame(out, columns=names))
 
     return src.mapInPandas(run, schema)
 

@@ -52,7 +52,9 @@ def portfolio_risk(df: DataFrame, weights: dict[str, float], ret: str = "ret") -
 def attribution(df: DataFrame, ret: str = "ret", weight: str = "w") -> DataFrame:
     """Summed weight times return per asset, and its share of the portfolio's sum."""
     a = df.groupBy("series_id").agg(F.sum(F.col(weight) * F.col(ret)).alias("contribution"))
-    return a.withColumn("share", div(F.col("contribution"), F.sum("contribution").over(Window.partitionBy())))
+    whole = a.agg(F.sum("contribution").alias("_all")).withColumn("_one", F.lit(1))  # one row
+    shares = a.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one")
+    return shares.select("series_id", "contribution", div(F.col("contribution"), F.col("_all")).alias("share"))
 
 
 def stress(weights: DataFrame, scenarios: dict[str, dict[str, float]], weight: str = "w") -> DataFrame:

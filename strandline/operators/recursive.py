@@ -395,21 +395,25 @@ class AdaptiveMean:
     def __init__(self, n: int, gamma: float):
         self.n, self.gamma, self.i = n, gamma, 0
         self.x: list[float] = []
-        self.hits: list[list[float]] = [[], []]  # error indicators: rolling, expanding
+        self.hits: list[float] = []  # error indicators of the rolling form
         self.sum = 0.0
-
-    def _forecast(self, values: list[float], hits: list[float], mean: float) -> float:
-        if len(hits) < len(values):  # rows before the first forecast have no error: count as no hit
-            hits = [0.0] * (len(values) - len(hits)) + hits
-        share = sum(hits) / len(hits)
-        u = [h - share for h in hits]
-        v = sum(d * d for d in u)
-        c = sum((a - mean) * b for a, b in zip(values, u))
-        if v == 0 or c == 0:
+        # expanding form: hits so far, sum of the values that were hits, last hit
+        self.count, self.hit_sum, self.last = 0.0, 0.0, 0.0
+
+    def _forecast(self, m: int, total: float, hits: float, hit_sum: float, last: float) -> float:
+        """From m values and their sum, the number of hits, the sum of values at hits, the last hit.
+
+        Hits are 0 or 1 (0 before the first forecast), so these sums hold all that the slope of
+        the values on the hits needs.
+        """
+        mean, share = total / m, hits / m
+        v = hits * (1.0 - share)
+        c = hit_sum - share * total
+        if v <= 0 or c == 0:
             return mean
         factor = self.gamma ** math.log(self.i) if c > 0 else (1.0 / self.gamma) ** math.log(self.i)
         # the slope is taken positive, so its sign adds nothing
-        return mean + factor * 2.0 * abs(c) / v * u[-1]
+        return mean + factor * 2.0 * abs(c) / v * (last - share)
 
     def row(self, y):
         if missing(y):
@@ -419,13 +423,18 @@ class AdaptiveMean:
             roll = self.x[-self.n :]
             m_roll, m_exp = sum(roll) / self.n, self.sum / self.i
             if self.i > self.n + 2:
-                f_roll = self._forecast(roll, self.hits[0][-self.n :], m_roll)
-                f_exp = self._forecast(self.x, self.hits[1], m_exp)
+                own = ([0.0] * self.n + self.hits)[-self.n :]
+                f_roll = self._forecast(self.n, sum(roll), sum(own), sum(a * b for a, b in zip(roll, own)), own[-1])
+                f_exp = self._forecast(self.i, self.sum, self.count, self.hit_sum, self.last)
             else:
                 f_roll, f_exp = m_roll, m_exp
-            for store, f in zip(self.hits, (f_roll, f_exp)):
-                store.append(1.0 if y - f > 0 else 0.0)
+            recent(self.hits, self.n - 1)
+            self.hits.append(1.0 if y - f_roll > 0 else 0.0)
+            self.last = 1.0 if y - f_exp > 0 else 0.0
+            self.count += self.last
+            self.hit_sum += self.last * y
             out = (m_roll, f_roll, m_exp, f_exp)
+        recent(self.x, self.n - 1)
         self.x.append(float(y))
         self.sum += y
         self.i += 1
@@ -433,7 +442,7 @@ class AdaptiveMean:
 
 
 def adaptive_mean(df: DataFrame, col: str, n: int, keys=("series_id", "gamma")) -> DataFrame:
-    """State grows with the series (the expanding form needs all past values); one double per bar."""
+    """Running sums carry the expanding form, so the state is one window long for any series."""
     out = "mean_rolling double, adaptive_rolling double, mean_expanding double, adaptive_expanding double"
     return ordered_fold(df, lambda k: AdaptiveMean(n, float(k["gamma"])), [col], out, keys)
 
@@ -474,25 +483,33 @@ def neighbour_signal(df: DataFrame, ret: str, keys=("series_id",), **params) ->
 class AdaptiveWeights:
     """Combine model forecasts with weights moved toward models that did better over the last rows."""
 
-    def __init__(self, models: int, rate: float = 0.1, window: int = 20):
+    def __init__(self, models: int, rate: float = 0.1, window: int = 20, binary: bool = False, threshold: float = 0.0):
         self.w = np.full(models, 1.0 / models)
+        self.binary, self.threshold = binary, threshold
         self.rate, self.window = rate, window
         self.own: list[float] = []
         self.each: list[np.ndarray] = []
 
     def row(self, actual, forecasts):
-        if missing(actual) or forecasts is None or any(missing(f) for f in forecasts):
+        if missing(actual) or forecasts is None or all(missing(f) for f in forecasts):
             return None
-        f = np.array(forecasts, dtype=float)
-        total = float(self.w.sum())
-        combined = float(self.w @ f / total) if total > 0 else float(f.mean())
+        f = np.array([np.nan if missing(x) else x for x in forecasts], dtype=float)
+        there = np.isfinite(f)
+        total = float(self.w[there].sum())
+        combined = float(self.w[there] @ f[there] / total) if total > 0 else float(f[there].mean())
+        if self.binary:
+            combined = 1.0 if combined >= self.threshold else -1.0
         used = self.w.tolist()
         recent(self.own, self.window - 1)
         recent(self.each, self.window - 1)
-        self.own.append((actual - combined) ** 2)
-        self.each.append((actual - f) ** 2)
+        self.own.append(float(combined != actual) if self.binary else (actual - combined) ** 2)
+        self.each.append(np.where(there, (actual - f) ** 2, np.nan))
         if len(self.own) >= 2:
-            errors = np.mean(self.each, axis=0)
+            each = np.array(self.each)
+            seen = np.isfinite(each).sum(axis=0)
+            errors = np.nansum(each, axis=0) / np.maximum(seen, 1)
+            # a model without any forecast in the window is taken as average
+            errors = np.where(seen > 0, errors, errors[seen > 0].mean())
             good = 1.0 / (1.0 + errors / (float(errors.mean()) + 1e-10))
             step = self.rate * (1.0 - math.exp(-float(np.mean(self.own))))
             new = self.w + step * (good - good.mean())
@@ -505,7 +522,12 @@ WEIGHTS = "combined double, weights array<double>"
 
 
 def adaptive_weights(df: DataFrame, actual: str, forecasts: str, models: int, keys=("series_id",), **params) -> DataFrame:
-    """``forecasts`` is an array column with one forecast per model for the row's actual value."""
+    """``forecasts`` is an array column with one forecast per model for the row's actual value.
+
+    Missing forecasts are left out of the combination; a row without any is dropped.  In
+    ``binary`` form the combination becomes 1 from ``threshold`` on, else -1, for actual values
+    of 1 and -1.
+    """
     return ordered_fold(df, lambda k: AdaptiveWeights(models, **params), [actual, forecasts], WEIGHTS, keys)
 
 

@@ -59,14 +59,9 @@ def upsample_ffill(df: DataFrame, step: str = "interval 1 month", col: str = "va
     return filled.withColumn("filled", F.col("ts") != F.col("_src")).drop("_src")
 
 
-def forward_fill(df: DataFrame, col: str, keys=KEYS) -> DataFrame:
-    w = ordered(keys).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(col, F.last(col, ignorenulls=True).over(w))
-
-
 def crop(df: DataFrame, start, end) -> DataFrame:
-    """Inclusive date range on the raw column, so the filter reaches the scan."""
-    return df.filter(F.col("ts").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """Inclusive date range on the raw column, so the filter reaches the scan; the last day counts whole."""
+    return df.filter((F.col("ts") >= F.lit(start).cast("date")) & (F.col("ts") < F.date_add(F.lit(end).cast("date"), 1)))
 
 
 def outlier_cut(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
@@ -96,12 +91,14 @@ def blank_and_interpolate(df: DataFrame, col: str, threshold: float, keys=KEYS)
     kept = F.when(F.abs(F.col("_z")) <= threshold, F.col(col))
     base = base.withColumn("_x", F.when(F.col("_z").isNull(), F.col(col)).otherwise(kept))
     at = F.when(F.col("_x").isNotNull(), F.col("_rn"))
-    back, fore = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    # the rows from here on, as a running frame of the reversed order: one pass instead of one per row
+    fore = Window.partitionBy(*keys).orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     base = (
         base.withColumn("_x0", F.last("_x", ignorenulls=True).over(back))
-        .withColumn("_x1", F.first("_x", ignorenulls=True).over(fore))
+        .withColumn("_x1", F.last("_x", ignorenulls=True).over(fore))
         .withColumn("_n0", F.last(at, ignorenulls=True).over(back))
-        .withColumn("_n1", F.first(at, ignorenulls=True).over(fore))
+        .withColumn("_n1", F.last(at, ignorenulls=True).over(fore))
     )
     line = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * div(F.col("_rn") - F.col("_n0"), F.col("_n1") - F.col("_n0"))
     smooth = F.when(F.col("_x").isNotNull(), F.col("_x")).otherwise(F.coalesce(line, F.col("_x0")))
@@ -121,9 +118,3 @@ def top_k(df: DataFrame, keys: Sequence[str], by: str, k: int, tie: str) -> Data
 def every_nth(df: DataFrame, n: int, keys=KEYS, offset: int = 0) -> DataFrame:
     rn = F.row_number().over(ordered(keys)) - 1
     return df.withColumn("_rn", rn).filter(F.col("_rn") % n == offset).drop("_rn")
-
-
-def rolling_zscore(df: DataFrame, col: str, n: int, keys=KEYS) -> DataFrame:
-    w = trailing(n, keys)
-    z = div(F.col(col) - F.avg(col).over(w), F.stddev_samp(col).over(w))
-    return df.withColumn("zscore", F.when(F.count(col).over(w) == n, z))

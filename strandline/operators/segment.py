@@ -21,9 +21,13 @@ from strandline.operators.quantiles import balanced_buckets
 
 
 
-def number_rows(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts", bucket: Column | None = None) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts", bucket: Column | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """Add ``rn``: position in the series, without ordering a whole series in one task.
 
+    Rows of one time are numbered by the ``tie`` columns.  Name them where times repeat:
+    numbers may be computed more than once (in two branches of a plan, or again after a
+    lost task) and must then agree.
+
     Rows are cut into time buckets: a column monotone in ts, or by default buckets
     of similar size from a quantile sketch.  Counts per bucket are a partial
     aggregate and only they are ordered per series; the rows are numbered by
@@ -34,20 +38,19 @@ def number_rows(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts", bucke
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_off"))
     joined = b.join(offsets.hint("shuffle_hash"), [*keys, "_b"])
-    w = Window.partitionBy(*keys, "_b").orderBy(ts)
+    w = Window.partitionBy(*keys, "_b").orderBy(ts, *tie)
     return joined.withColumn("rn", F.col("_off") + F.row_number().over(w)).drop("_b", "_off")
 
 
 def segmented(df: DataFrame, before: int, rows: int = 100_000, rn: str = "rn") -> DataFrame:
     """Add ``seg`` and ``halo``; each segment starts with the ``before`` rows that precede it.
 
+    A halo may be longer than a segment: a row is copied to every segment that it reaches.
+
     Window operators run with keys ``SEG_KEYS`` and ``drop_halo`` removes the copies.
     """
-    if before > rows:
-        raise ValueError("the halo must not be longer than a segment")
     own = F.floor((F.col(rn) - 1) / rows)
-    tail = (F.col(rn) - 1) % rows >= rows - before
-    segs = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))
+    segs = F.sequence(own, F.floor((F.col(rn) - 1 + before) / rows))
     out = df.withColumn("_own", own).withColumn("seg", F.explode(segs))
     return out.withColumn("halo", F.col("seg") != F.col("_own")).drop("_own")
 

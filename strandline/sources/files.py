@@ -38,7 +38,7 @@ def ingest(df: DataFrame, start=None, end=None, names: Sequence[str] | None = No
     if start is not None:
         df = df.filter(F.col("ts") >= F.lit(start).cast("date"))
     if end is not None:
-        df = df.filter(F.col("ts") <= F.lit(end).cast("date"))
+        df = df.filter(F.col("ts") < F.date_add(F.lit(end).cast("date"), 1))  # the last day whole
     rules = {
         "none": lambda d: d.withColumn("changed", F.col(col)),
         "pct_change": lambda d: tr.pct_change(d, col, out="changed"),

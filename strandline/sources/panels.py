@@ -19,9 +19,12 @@ def exact_sum(c: Column) -> Column:
     """Sum of a two-decimal amount, exact and independent of row order.
 
     Cents are added as longs (fast in generated code); a bar whose sum leaves the
-    range of a long raises an error instead of wrapping round.
+    range of a long raises an error instead of wrapping round, and so does an amount
+    with a fraction of a cent: nothing is cut off unseen.
     """
-    return F.sum(F.rint(c * 100).cast("long")) / F.lit(100.0)
+    cents = F.rint(c * 100)
+    whole = F.abs(c * 100 - cents) <= F.lit(1e-6) * F.greatest(F.lit(1.0), F.abs(cents) * 1e-6)
+    return F.sum(F.when(whole | c.isNull(), cents.cast("long")).otherwise(F.raise_error(F.lit("amount with more than two decimals")).cast("long"))) / F.lit(100.0)
 
 
 def event_ticks(spark: SparkSession, path: str) -> DataFrame:
