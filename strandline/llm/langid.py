@@ -153,7 +153,8 @@ def labelled_sample(documents: DataFrame, rows: int = SAMPLE) -> tuple[pa.Array,
     d = documents.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text", "cast(lang as string) as lang")
     d = d.where(~held_out()).where("text is not null and lang is not null")
     counts = d.groupBy("lang").agg(F.count("*").alias("n"))
-    chosen = d.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(rows * (1 << 30)) / F.col("n"))
+    # a row for each language: small enough to send to every task, so no text is shuffled
+    chosen = d.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(rows * (1 << 30)) / F.col("n"))
     got = chosen.select("lang", "text").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
     return got.column("text").combine_chunks().cast(pa.large_string()), got.column("lang").to_pylist()
 
