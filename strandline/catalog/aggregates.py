@@ -37,6 +37,12 @@ def _(spark, path):
     return ev.performance_annual(supplier(spark, path), 12)
 
 
+@query("F1_value_at_risk", q(SUPPLIER, rets("supplier_m"), body=f"""
+select series_id, {r("quantile_cont(ret, 0.05)", "var_95")}, {r("quantile_cont(ret, 0.01)", "var_99")} from rets where ret is not null group by 1"""))
+def _(spark, path):
+    return ev.value_at_risk(supplier(spark, path))
+
+
 @query("F2_performance_trading", q(SUPPLIER, rets("supplier_m"), EQ.strip(), """
 a as (select series_id, count(*) as n, avg(ret) as mu, stddev_pop(ret) as sd, stddev_pop(case when ret < 0 then ret end) as nsd,
       product(1 + ret) - 1 as tr, min(dd) as mdd, count(*) filter (ret <> 0) as nt, count(*) filter (ret > 0) as np,

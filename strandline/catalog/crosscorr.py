@@ -60,6 +60,13 @@ def _(spark, path):
     return cc.best_lag(t)
 
 
+@query("E6_pair_correlations", q(WEEKLY, rets("weekly"), pairs_sql("rets"), body="""
+select pair, ts, case when count(*) over w = 15 then round(corr(y, x) over w, 6) + 0.0 end as corr
+from pr window w as (partition by pair order by ts rows between 14 preceding and current row)"""))
+def _(spark, path):
+    return win.rolling_corr(week_pairs(spark, path).dropna(subset=["y", "x"]), "y", "x", 15, keys=("pair",)).select("pair", "ts", "corr")
+
+
 STARTS = ["1995-01-01", "1996-01-01", "1997-01-01", "1998-01-01"]
 
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from strandline.frames import KEYS, expanding, ordered, trailing
 from strandline.functions.scalar import corr_from, div, norm_cdf
+from strandline.operators.quantiles import exact_quantiles
 
 
 def _drawdown(df: DataFrame, ret: str, keys, order: str) -> DataFrame:
@@ -315,3 +316,8 @@ def normal_fit(df: DataFrame, col: str, keys=KEYS) -> DataFrame:
     return s.withColumn("loglik", F.when(F.col("sigma") > 0, ll)).withColumn("aic", 4.0 - 2.0 * F.col("loglik")).withColumn(
         "bic", 2.0 * F.log("n") - 2.0 * F.col("loglik")
     )
+
+
+def value_at_risk(df: DataFrame, ret: str = "ret", levels: Sequence[int] = (95, 99), keys=KEYS) -> DataFrame:
+    """The (100 - level) percent quantile of the returns, a column for each level; exact for any length."""
+    return exact_quantiles(df, ret, {f"var_{k}": (100 - k) / 100 for k in levels}, keys)
