@@ -22,7 +22,7 @@ from strandline.llm.tokens import documents_ids, public_path
 CAPACITY = 2048
 END = 0
 #: Pieces ranked by one window group; a length with more is ranked in several.
-RANKED = 50_000
+RANKED = 1_000
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -104,14 +104,14 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``cut`` must be a written table with long columns ``length`` (1 to ``capacity``) and ``salt``
     (any spreading numbers): it is read three times. Only the histogram, of at most ``capacity``
-    rows, reaches the driver. A length with many pieces is ranked in groups by salt, so that no
-    window group grows with the table.
+    rows, reaches the driver and is sent back. A length with many pieces is ranked in groups by
+    salt, so that no window group grows with the table.
     """
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = spark.createDataFrame(plan(histogram, capacity), "length long, r0 long, r1 long, first long, each long, place long")
-    groups = max(1, -(-max(histogram.values(), default=0) // RANKED))
-    ranked = cut.withColumn("part", F.pmod("salt", F.lit(groups)))
+    groups = spark.createDataFrame([(n, -(-k // RANKED)) for n, k in histogram.items()], "length long, groups long")
+    ranked = cut.join(F.broadcast(groups), "length").withColumn("part", F.pmod("salt", "groups")).drop("groups")
     sizes = ranked.groupBy("length", "part").agg(F.count("*").alias("size"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
