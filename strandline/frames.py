@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,8 +12,8 @@ from pyspark.sql.window import Window, WindowSpec
 KEYS: tuple[str, ...] = ("series_id",)
 SEG_KEYS: tuple[str, ...] = ("series_id", "seg")
 
-#: A literal list longer than this is a data set: load it as a table and join it.
-MAX_LITERAL_ROWS = 10_000
+#: A grid with more rows goes into the plan as one text literal that each task parses.
+LITERAL_ROWS = 500
 
 
 def ordered(keys: Sequence[str] = KEYS, order: str = "ts") -> WindowSpec:
@@ -42,23 +44,44 @@ def full_only(expr: Column, x: Column, w: WindowSpec, n: int) -> Column:
     return F.when(F.count(x).over(w) == n, expr)
 
 
+def _json_schema(rows: list[dict], fields: list[str]) -> str | None:
+    """Type of the rows as JSON, as literals would have it; None if a value has no JSON form."""
+    kinds = []
+    for f in fields:
+        values = [r[f] for r in rows]
+        types = {type(v) for v in values}
+        if types <= {int, float}:
+            if not all(math.isfinite(v) for v in values):
+                return None
+            small = types == {int} and all(-(1 << 31) <= v < 1 << 31 for v in values)
+            kinds.append(f"`{f}` {'int' if small else 'bigint' if types == {int} else 'double'}")
+        elif types == {str}:
+            kinds.append(f"`{f}` string")
+        else:
+            return None
+    return f"array<struct<{', '.join(k.replace(' ', ': ', 1) for k in kinds)}>>"
+
+
 def explode_rows(df: DataFrame, rows: Iterable[dict], name: str = "_p") -> DataFrame:
     """Repeat ``df`` once per literal row and add the row's fields as columns.
 
     A parameter grid is known on the driver when the plan is written, so it goes
-    into the plan as an array literal: no join and no broadcast.
+    into the plan as an array literal, a large one as JSON text: no join, no broadcast
+    and no limit to its rows.
     """
     rows = list(rows)
     if not rows:
         raise ValueError("the parameter grid is empty")
-    if len(rows) > MAX_LITERAL_ROWS:
-        raise ValueError(f"{len(rows)} literal rows; load grids above {MAX_LITERAL_ROWS} as a table")
     fields = list(rows[0])
     clash = set(fields) & set(df.columns)
     if clash:
         raise ValueError(f"columns already present: {sorted(clash)}")
-    structs = [F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in rows]
-    out = df.withColumn(name, F.explode(F.array(*structs)))
+    schema = _json_schema(rows, fields) if len(rows) > LITERAL_ROWS else None
+    if schema is not None:
+        grid = F.from_json(F.lit(json.dumps(rows)), schema)
+    else:
+        grid = F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in rows])
+    out = df.withColumn(name, F.explode(grid))
     return out.select(*df.columns, *[F.col(f"{name}.{f}").alias(f) for f in fields])
 
 

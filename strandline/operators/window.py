@@ -287,15 +287,16 @@ def centred_mean(df: DataFrame, col: str, n: int, keys=KEYS, out: str = "centred
     return df.withColumn(out, F.avg(col).over(w))
 
 
-def flag_spans(df: DataFrame, flag: str, keys=KEYS) -> DataFrame:
+def flag_spans(df: DataFrame, flag: str, keys=KEYS, open_start: bool = False) -> DataFrame:
     """(start, end) of every run of ones; an open run ends at the last row of the series.
 
     ``start`` is the first flagged row after an unflagged one, ``end`` the first
     unflagged row after it.  A run that is already open on the first row has no
-    observed start and is not reported.
+    observed start and is reported only with ``open_start``, from that row on.
     """
     w = ordered(keys)
-    base = df.withColumn("_c", F.col(flag) - F.lag(flag).over(w)).withColumn("_last", F.max("ts").over(Window.partitionBy(*keys)))
+    before = F.lag(flag, 1, 0).over(w) if open_start else F.lag(flag).over(w)
+    base = df.withColumn("_c", F.col(flag) - before).withColumn("_last", F.max("ts").over(Window.partitionBy(*keys)))
     edges = base.filter(F.col("_c") != 0)
     nxt = F.lead("ts").over(w)
     return (

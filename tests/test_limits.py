@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.frames import explode_rows
 from strandline.functions.scalar import iterated_log, iterated_log_of
-from strandline.operators import evaluate as ev, recursive as rc, resample as rs, segment as sgm, window as win
+from strandline.operators import evaluate as ev, recursive as rc, resample as rs, segment as sgm, sweep, window as win
 from strandline.sources import files, panels
 from tests.conftest import column
 
@@ -111,3 +112,20 @@ def test_expanding_adaptive_mean_is_the_plain_one(panel):
         want.append(f)
     p = panel({"a": x}).withColumn("gamma", F.lit(gamma))
     assert column(rc.adaptive_mean(p, "value", n), "adaptive_expanding") == pytest.approx(want, abs=1e-9)
+
+
+def test_large_grids_give_the_rows_that_literals_give(spark, monkeypatch):
+    one = spark.range(2)
+    grid = sweep.grid(n=range(120), share=[0.1, 1 / 3, 2e-9], name=["a", "it's \"b\""])
+    small = explode_rows(one, grid[:400])
+    monkeypatch.setattr("strandline.frames.LITERAL_ROWS", 100)
+    large = explode_rows(one, grid[:400])
+    assert large.dtypes == small.dtypes and sorted(large.collect()) == sorted(small.collect())
+    assert explode_rows(one, sweep.grid(n=range(300), d=range(100))).count() == 60_000
+
+
+def test_spans_that_are_open_on_the_first_row(panel):
+    p = panel({"a": [1, 1, 0, 1, 0]})
+    assert win.flag_spans(p, "value").count() == 1
+    got = [(r["start"].day, r["end"].day) for r in win.flag_spans(p, "value", open_start=True).collect()]
+    assert sorted(got) == [(1, 3), (4, 5)]
