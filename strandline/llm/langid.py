@@ -108,7 +108,7 @@ class Model:
         """Language and probability of each text; ``und`` and 0 without a letter or a model."""
         p = sigmoid(margins(texts, self.weights, self.bias) * self.slope + self.offset)
         out, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+        letters = np.fromiter((any(map(str.isalpha, t.as_py() or "")) for t in texts), bool, len(texts))
         if not self.families or not len(texts):
             return list(out), score
         chance = np.stack([p[:, self.columns[f, ""]] if (f, "") in self.columns else np.ones(len(p)) for f in self.families], 1) + 1e-12

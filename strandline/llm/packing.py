@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandline.llm.store import texts, written
-from strandline.llm.tokens import documents_ids, public_path
+from strandline.llm.tokens import documents_ids, public_path, release
 
 CAPACITY = 2048
 END = 0
@@ -86,6 +86,7 @@ def _cut(parts: Iterator[pa.RecordBatch], path: str, capacity: int, end: int, ke
                     rows[name].append(x)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.record_batch([pa.array(x, t) for x, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
+    release(path)
 
 
 def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, keep_ids: bool = True) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.llm.store import texts
-from strandline.llm.tokens import documents_ids, public_path
+from strandline.llm.tokens import documents_ids, public_path, release
 from strandline.llm.words import mix
 from strandline.session import shared_dir
 
@@ -114,6 +114,7 @@ def _write(parts: Iterator[pa.RecordBatch], folder: str, path: str, end: int, ki
             yield pa.record_batch(columns, names=["doc_id", "nth", "shard", "file", "place", "n_tokens"])
     if out is not None:
         out.close()
+    release(path)
 
 
 PLACES = "doc_id long, nth long, shard int, file string, place long, n_tokens long"

@@ -10,10 +10,10 @@ tokenizer.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from strandline.llm.words import slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-KNOWN = 400_000
+KNOWN = 300_000
 #: Printable ASCII but ' and <, which start contractions and special tokens, and Latin-1 letters.
 PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -64,8 +64,7 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), known
         self.plain = self._is_plain(path)
-        self.units: dict[str, list[int]] = {}
-        self._forget()
+        self.forget()
 
     @staticmethod
     def _is_plain(path: str) -> bool:
@@ -76,31 +75,31 @@ class Encoder:
         cut = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
         return normal == ["NFC", "Replace", "Lowercase"] and [c.get("type") for c in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"].get("Regex") == RULE
 
-    def _unit(self, unit: str) -> list[int]:
+    def _unit(self, unit: str) -> bytes:
+        """Ids as packed integers: a tenth of the memory of a list."""
         ids = self.units.get(unit)
         if ids is None:
             written = unit if unit.isascii() else "".join(SIGNS[b] for b in unit.encode())
-            ids = self.units[unit] = [t.id for t in self.tokenizer.model.tokenize(written)]
+            ids = self.units[unit] = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
         return ids
 
-    def _ids_of(self, chunks: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = []
+    def _ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        out: list[bytes | None] = []
         for chunk in (c.decode("utf-8", "replace") for c in chunks):
             if self.plain and PLAIN.fullmatch(chunk):
                 units = UNIT.findall(chunk.lower())
-                out.append(self._unit(units[0]) if len(units) == 1 else [i for u in units for i in self._unit(u)])
+                out.append(self._unit(units[0]) if len(units) == 1 else b"".join(map(self._unit, units)))
             else:
                 out.append(None)
         rest = [k for k, x in enumerate(out) if x is None]
         found = self.tokenizer.encode_batch_fast([chunks[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False)
         for k, e in zip(rest, found, strict=True):
-            out[k] = e.ids
+            out[k] = array("I", e.ids).tobytes()
         return out
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.numbers = _Numbers()
-        if len(self.units) > self.known:
-            self.units = {}
+        self.units: dict[str, bytes] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
@@ -110,24 +109,23 @@ class Encoder:
         if not fresh:
             return
         found = self._ids_of(fresh)
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         total, n = int(size.sum()), len(self.numbers)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(found), np.uint32)
         self.size[n - len(fresh) : n] = size
         self.first[n - len(fresh) : n] = self.used + np.cumsum(size) - size
         self.used += total
-        gc.freeze()  # the kept ids are many small lists that the collector need not visit again
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of a run of texts end to end, their offsets); a null text is empty."""
         for row, data, offsets in slices(texts):
-            if len(self.numbers) > self.known:
-                self._forget()
+            if len(self.numbers) + len(self.units) > 2 * self.known:
+                self.forget()
             raw = data.tobytes()
             cuts = offsets.tolist()
             chunks: list[bytes] = []
@@ -155,6 +153,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def release(path: str) -> None:
+    """Forget the chunks of a finished task: an idle worker keeps no memory that others need."""
+    if path in _ENCODERS:
+        _ENCODERS[path].forget()
+
+
 def documents_ids(texts: pa.Array, path: str, end: int) -> Iterator[np.ndarray]:
     """The ids of each text, then the end id."""
     for _, ids, offsets in encoder(path).encode(texts):
