@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.store import written
@@ -19,7 +21,33 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = around.where("w > v").select(F.col("w").alias("a"), F.col("least").alias("b"))
     else:
         out = around.select(F.col("w").alias("a"), F.col("least").alias("b")).union(around.select(F.col("v").alias("a"), F.col("least").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex hangs on one other that hangs on none: only a yes or no reaches the driver."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select(F.col("b"), F.lit(0), F.lit(1)))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
+def stars(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Links (a, b), a > b, that connect the same vertices as ``links``, drawn towards the smallest.
+
+    Without ``rounds`` every component ends as one star round its smallest vertex; after a
+    number of rounds it may still be several that are linked.
+    """
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for k in itertools.count(1):
+        edges = written(_star(_star(edges, True), False).distinct(), "edges")
+        if k == rounds or rounds is None and _settled(edges):
+            return edges
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """(v, root) from ``stars``: vertices of one root are connected."""
+    reached = edges.select(F.col("a").alias("v"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")))
+    return reached.groupBy("v").agg(F.min("root").alias("root"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,15 +55,6 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has long columns ``a`` and ``b`` in either direction; loops, repeated links and
     nulls do not matter. Vertices without a link to another vertex are not returned; an empty
-    table gives an empty result. Each round is written to the shared folder; only one count
-    and one checksum reach the driver.
+    table gives an empty result. Each round is written to the shared folder.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = written(edges, "edges"), None
-    while True:
-        edges = written(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b"))).distinct()
+    return roots(stars(links))

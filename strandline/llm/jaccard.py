@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandline.llm.components import components
+from strandline.llm.components import roots, stars
 from strandline.llm.store import texts, written
 from strandline.llm.words import mix, shingles
 
@@ -219,9 +219,9 @@ def _tile_pairs(key, rows: pa.Table, percent: int, likeliest: int | None) -> pa.
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, likeliest: int | None) -> DataFrame:
+def _open_pairs(buckets: DataFrame, reached: DataFrame, sets: DataFrame, percent: int, likeliest: int | None) -> DataFrame:
     """Possible links between components that share a key."""
-    held = buckets.select("key", "set_id").join(roots.select(F.col("v").alias("set_id"), "root"), "set_id", "left")
+    held = buckets.select("key", "set_id").join(reached.select(F.col("v").alias("set_id"), "root"), "set_id", "left")
     held = held.select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
     open_keys = held.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1")
     held = written(held.join(open_keys.select("key", "size"), "key"), "open")
@@ -269,20 +269,21 @@ def groups(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     sets = written(named, "sets")
     shared = buckets.where("hub <> set_id").groupBy("hub", "set_id").agg(F.count("*").alias("n"))
     most = Window.partitionBy("set_id").orderBy(F.desc("n"), "hub")
-    stars = written(shared.withColumn("k", F.row_number().over(most)).where(F.col("k") <= HUBS).select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "stars")
-    links, tested = written(_compare(stars, sets, percent), "links"), stars
+    hubs = written(shared.withColumn("k", F.row_number().over(most)).where(F.col("k") <= HUBS).select(F.col("hub").alias("a"), F.col("set_id").alias("b")), "hubs")
+    links, tested = stars(written(_compare(hubs, sets, percent), "links"), 2), hubs
     for likeliest in (LIKELIEST, None):
-        pairs = _open_pairs(buckets, components(links), sets, percent, likeliest)
+        # connected so far, for certain: enough to leave out pairs
+        pairs = _open_pairs(buckets, roots(links), sets, percent, likeliest)
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = links.union(written(_compare(pairs, sets, percent), "links"))
+        links = stars(links, None if likeliest is None else 2)
         tested = tested.union(pairs)
-    roots = components(links)
-    return _named(summary, roots)
+    return _named(summary, roots(links))
 
 
-def _named(summary: DataFrame, roots: DataFrame) -> DataFrame:
+def _named(summary: DataFrame, reached: DataFrame) -> DataFrame:
     """Components by smallest doc_id: of the set's root, then of its documents."""
-    rows = summary.select("doc_id", "text_hash", "n_shingles", "set_id").join(roots.select(F.col("v").alias("set_id"), "root"), "set_id", "left")
+    rows = summary.select("doc_id", "text_hash", "n_shingles", "set_id").join(reached.select(F.col("v").alias("set_id"), "root"), "set_id", "left")
     rows = rows.withColumn("root", F.coalesce("root", "set_id"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(least, "root", "left")
