@@ -21,7 +21,7 @@ from strandline.llm.samples import held_out
 from strandline.llm.words import slices
 
 #: Labelled rows of each language that the models are fitted on: a bound, not a share.
-SAMPLE = 500
+SAMPLE = 250
 PAIRS, TRIPLES = 4096, 8192
 SIZE = PAIRS + TRIPLES
 UNKNOWN = "und"

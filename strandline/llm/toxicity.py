@@ -22,7 +22,7 @@ from strandline.llm.samples import by_label, class_weights, held_out
 from strandline.llm.words import LOWER, hashes, mix, slices, spans
 
 #: Labelled rows for each combination of labels, folds, and most features of a category.
-SAMPLE = 2000
+SAMPLE = 1200
 FOLDS = 4
 FEATURES = 600
 #: Least likelihood ratio statistic of a feature (one degree of freedom), and least documents.
