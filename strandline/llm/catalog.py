@@ -29,7 +29,11 @@ def op2_token_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.linked(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op1_ngram_jaccard_links(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.linked(table(spark, folder, "documents")).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,3 +80,7 @@ ORACLES: dict[str, str] = {
     "op6_embedding_near_dedup": oracles.NEAR_VECTORS,
     "op10_exact_top_k": oracles.TOP_K,
 }
+
+#: Further results of the operators above, each with its SQL.
+FURTHER: dict[str, Query] = {"op1_ngram_jaccard_links": op1_ngram_jaccard_links}
+FURTHER_ORACLES: dict[str, str] = {"op1_ngram_jaccard_links": oracles.JACCARD_LINKS}

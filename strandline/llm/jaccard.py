@@ -19,7 +19,12 @@ Documents with the same set are one class; the join works on classes.
    a bit that only one has is a shingle that the other lacks. Pairs that the bound leaves are
    settled by intersecting the sorted arrays of shingles.
 
-No step emits all pairs of a group of copies: pairs that are already connected are never made.
+5. **Counting.** Similar sets lie in one component, so ``linked`` compares all sets of a component
+   that differ little enough in size, blocks against blocks, and counts their links where they
+   are compared. ``groups`` leaves this out: for components alone, pairs that are already
+   connected need no look.
+
+No step emits all pairs of a group of copies: what leaves a task of step 5 is a number per set.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ HUBS = 3
 LISTED = 8
 #: Sets of one key compared in one task; a key with more is cut into blocks.
 BLOCK = 1024
+#: Sets of one component, and shingles of them, whose links are counted in one task with as many others.
+COUNTED, SHINGLES = 128, 1 << 20
 #: Bits of a bitmap: the power of two from four times the set's size on, within these bounds.
 BITS = (64, 1 << 16)
 #: Likeliest partners that a set offers in each block before all its pairs are compared.
@@ -239,20 +246,69 @@ def _open_pairs(buckets: DataFrame, reached: DataFrame, sets: DataFrame, percent
     return listed.union(found).distinct()
 
 
+def _counts(key, rows: pa.Table, percent: int) -> pa.Table:
+    """(set_id, links) from two blocks of one component, or inside one: similar sets, copies counted."""
+    rows = rows.sort_by([("side", "ascending"), ("n", "ascending"), ("set_id", "ascending")])
+    ids = rows.column("set_id").to_numpy()
+    rows = rows.take(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))))  # a set may have several equal rows
+    ids, n, copies, side = (rows.column(c).to_numpy() for c in ("set_id", "n", "copies", "side"))
+    same, half = key[1].as_py() == key[2].as_py(), int((side == 0).sum())
+    flat = np.unique(np.frombuffer(b"".join(rows.column("members").to_pylist()), np.uint64), return_inverse=True)[1]
+    starts = np.concatenate(([0], np.cumsum(n)))
+    held, links = np.zeros(len(flat), np.int32), np.zeros(len(ids), np.int64)
+    for k in range(half):
+        first = k + 1 if same else half
+        i = first + int(np.searchsorted(n[first:], -(-percent * n[k] // 100)))
+        j = first + int(np.searchsorted(n[first:], 100 * n[k] // percent, "right"))
+        if i >= j:
+            continue
+        own = flat[starts[k] : starts[k + 1]]
+        held[own] = 1
+        common = np.add.reduceat(held[flat[starts[i] : starts[j]]], starts[i:j] - starts[i])
+        held[own] = 0
+        near = similar(common.astype(np.int64), n[k], n[i:j], percent)
+        links[k] += copies[i:j][near].sum()
+        links[i:j][near] += copies[k]
+    return pa.table({"set_id": ids, "links": links}).filter(pa.array(links > 0))
+
+
+def _link_counts(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(set_id, links): documents with another, similar set. ``classes``: (set_id, root, n, copies)."""
+    sizes = classes.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    blocks = F.expr(f"cast(ceil(greatest(size / {COUNTED}, shingles / {SHINGLES})) as int)").alias("blocks")
+    held = classes.drop("n").join(sizes.select("root", blocks), "root").withColumn("block", F.expr("cast(pmod(xxhash64(set_id), blocks) as int)"))
+    dealt = held.join(sets.select("set_id", "n", "members"), "set_id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("root", "set_id", "copies", "n", "members", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.expr("if(block <= other, 0, 1)").alias("side"))
+    found = dealt.groupBy("root", "i", "j").applyInArrow(lambda key, rows: _counts(key, rows, percent), "set_id long, links long")
+    return found.groupBy("set_id").agg(F.sum("links").alias("links"))
+
+
 def linked(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id): one row per row of ``documents``.
+    """(doc_id, n_shingles, set_id, n_links, component_id): one row per row of ``documents``.
 
     Two documents are linked when 100 * |intersection| >= ``percent`` * |union| of their sets of
     ``width``-word shingles (lower-cased A-Z, words between white space; a shorter text is one
-    shingle). ``component_id`` is the smallest doc_id that links reach. Null, empty and blank
-    texts have no shingle and reach only themselves. Repeated doc_ids are rows of their own;
-    a null doc_id is linked by its text but never names a component unless it is alone.
+    shingle). ``n_links`` is the number of other rows that a row is linked with, copies included;
+    ``component_id`` is the smallest doc_id that links reach. Null, empty and blank texts have no
+    shingle, no link and reach only themselves. Repeated doc_ids are rows of their own; a null
+    doc_id is linked by its text but never names a component unless it is alone.
     """
-    return groups(documents, width, percent).select("doc_id", "n_shingles", "set_id", "component_id")
+    rows, sets = _found(documents, width, percent)
+    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("root").alias("root"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
+    classes = written(classes, "classes")
+    counts = classes.join(_link_counts(classes, sets, percent), "set_id", "left")
+    counts = counts.select("set_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = rows.join(written(counts, "counts"), "set_id", "left")
+    return rows.select("doc_id", "n_shingles", "set_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
 
 
 def groups(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """``linked`` with text_hash (which text of a repeated doc_id) and root (the group's smallest set id)."""
+    """``linked`` without n_links, with text_hash (which text of a repeated doc_id) and root (the group's smallest set id)."""
+    return _found(documents, width, percent)[0]
+
+
+def _found(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``groups``, and the sets (set_id, n, bits, members) that share a key with another."""
     d = texts(documents)
     summary = written(
         d.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
@@ -278,7 +334,7 @@ def groups(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
         links = links.union(written(_compare(pairs, sets, percent), "links"))
         links = stars(links, None if likeliest is None else 2)
         tested = tested.union(pairs)
-    return _named(summary, roots(links))
+    return _named(summary, roots(links)), sets
 
 
 def _named(summary: DataFrame, reached: DataFrame) -> DataFrame:

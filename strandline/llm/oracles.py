@@ -25,6 +25,9 @@ select s.doc_id, len(s.s) as n_shingles, min(t.doc_id) as component_id
 from sets s join reach on reach.a = s.r join sets t on t.r = reach.b group by s.r, s.doc_id, s.s
 """
 
+#: The same with the number of links of each row.
+JACCARD_LINKS = JACCARD.replace("as n_shingles,", "as n_shingles, (select count(*) from both_ways l where l.a = s.r) as n_links,")
+
 NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = f"""({NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 

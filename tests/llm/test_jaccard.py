@@ -47,6 +47,17 @@ def result(df):
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()), key=str)
 
 
+def brute_links(rows, percent=85, width=4):
+    """(doc_id, number of other rows that are linked) by every pair, sorted."""
+    sets = [shingle_set(t, width) for _, t in rows]
+    near = lambda s, t: bool(s and t) and 100 * len(s & t) >= percent * len(s | t)
+    return sorted(((d, sum(near(sets[i], s) for s in sets) - bool(sets[i])) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def links(df):
+    return sorted(((r["doc_id"], r["n_links"]) for r in df.collect()), key=str)
+
+
 def near_copies(seed, n=160):
     """Texts of all lengths with chains of edits, so that many pairs lie close to the threshold."""
     r = random.Random(seed)
@@ -76,6 +87,22 @@ def test_components_against_all_pairs(documents, seed, monkeypatch):
     assert result(jaccard.linked(documents(rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_links_against_all_pairs(documents, seed, monkeypatch):
+    """Every pair counts, also in components that fewer links connect; copies and repeated rows included."""
+    monkeypatch.setattr(jaccard, "COUNTED", 2 * seed)
+    monkeypatch.setattr(jaccard, "SHINGLES", 1 << 6 + seed)
+    rows = near_copies(seed)
+    rows += rows[::9] + [(None, t) for _, t in rows[::11]] + [(5, None), (5, " ")]
+    assert links(jaccard.linked(documents(rows))) == brute_links(rows)
+
+
+def test_three_similar_texts_have_three_links(documents):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*words, *["x", "y", "z"][:k]])) for k in range(3)]
+    assert links(jaccard.linked(documents(rows))) == [(0, 2), (1, 2), (2, 2)]
+
+
 def test_edge_rows(documents):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(4, None), (3, ""), (2, " \n"), (None, "a b c d e"), (9, "A B c d e"), (8, "a b\x0bc\x0cd\te"), (8, "other words of the same id"), (8, "a b c d e"), (7, "one"), (6, "ONE"), (20, "É b"), (21, "é b"), (11, long), (10, long + " x"), (None, "alone here")]
