@@ -138,6 +138,15 @@ def _(spark, path):
     return al.asof(left, right).drop("series_id")
 
 
+@query("B6_asof_event_types", q("""
+v as (select ts, value from events where event_type = 'view')""", body="""
+select e.event_id, e.event_type, e.ts, e.value, v.value as asof_value, v.ts as asof_ts from events e asof left join v on e.ts >= v.ts"""))
+def _(spark, path):
+    # every event, of whatever type, against the views
+    t = panels.event_ticks(spark, path).withColumnRenamed("series_id", "event_type").withColumn("series_id", F.lit("site"))
+    return al.asof(t, t.filter("event_type = 'view'").select("series_id", "ts", "value")).drop("series_id")
+
+
 @query("B7_dimension_lookup", """
 select o_orderkey, o_orderstatus,
        case o_orderstatus when 'F' then 'filled' when 'O' then 'open' else 'other' end as label,

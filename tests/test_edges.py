@@ -127,6 +127,16 @@ def test_buckets_are_monotone_and_small(spark, buckets, rows):
     assert [r["rn"] for r in numbered.orderBy("ts").collect()] == list(range(1, len(out) + 1))
 
 
+def test_asof_query_reads_every_event_type(spark, tmp_path):
+    from strandline.catalog import all_queries
+
+    rows = [(1, 1, "error", 1.0), (2, 2, "view", 5.0), (3, 3, "signup", 2.0), (4, 4, "click", 3.0), (5, 5, "view", 7.0), (6, 6, "purchase", 4.0), (7, 7, None, 6.0)]
+    rows = [(i, dt.datetime(2024, 1, 1, 0, m), t, v) for i, m, t, v in rows]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in all_queries()["B6_asof_event_types"](spark, str(tmp_path)).select("event_id", "event_type", "asof_value").collect())
+    assert got == [(1, "error", None), (2, "view", 5), (3, "signup", 5), (4, "click", 5), (5, "view", 7), (6, "purchase", 7), (7, None, 7)]
+
+
 def test_asof_takes_the_last_value_at_or_before(spark):
     left = spark.createDataFrame([("a", t) for t in (0, 5, 10, 99)], "series_id string, ts long")
     right = spark.createDataFrame([("a", 1, 1.0), ("a", 5, 2.0), ("a", 7, 3.0)], "series_id string, ts long, value double")
