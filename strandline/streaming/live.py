@@ -60,14 +60,16 @@ def stream_fold(ticks: DataFrame, make: Callable[[dict], object], inputs: Sequen
 
     Rows wait until the watermark has passed them and are then folded in time
     order, so a late row inside the lateness bound changes nothing; one beyond it
-    is dropped, because a recursion cannot be rewound.  State per key is the step
-    object and the waiting rows.
+    is dropped, because a recursion cannot be rewound.  Rows of one time are folded
+    in the order of their ``keep`` columns, then of their inputs (nulls last), whatever
+    order they came in.  State per key is the step object and the waiting rows.
     """
     keys, inputs, keep = list(keys), list(inputs), [k for k in keep if k not in keys]
     cols = list(dict.fromkeys(["ts", *inputs, *keep]))
     src = ticks.select(*keys, *cols).withWatermark("ts", lateness)
     fields = src.schema
     names = [p.strip().split(" ")[0] for p in outputs.split(",")]
+    tie = [cols.index(c) for c in dict.fromkeys([*keep, *inputs])]
     schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in [*keys, "ts", *keep]) + ", " + outputs
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -77,7 +79,7 @@ def stream_fold(ticks: DataFrame, make: Callable[[dict], object], inputs: Sequen
         horizon = state.getCurrentWatermarkMs()
         ready = [w for w in waiting if w[0].timestamp() * 1000 <= horizon]
         waiting = [w for w in waiting if w[0].timestamp() * 1000 > horizon]
-        ready.sort(key=lambda w: w[0])
+        ready.sort(key=lambda w: (w[0], [(True, 0) if pd.isna(w[i]) else (False, w[i]) for i in tie]))
         place = {c: i for i, c in enumerate(cols)}
         out = []
         for w in ready:

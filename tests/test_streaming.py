@@ -52,6 +52,21 @@ def test_out_of_order_rows_within_the_lateness_change_nothing(spark, files, tmp_
     assert got == want
 
 
+def test_rows_of_one_time_are_folded_in_the_order_of_their_ids(spark, tmp_path):
+    rows = [{"series_id": "a", "ts": T0.isoformat(), "value": float(v) if v != 3 else None, "event_id": v} for v in range(6)]
+    last = [{"series_id": "a", "ts": (T0 + dt.timedelta(days=1)).isoformat(), "value": 0.0, "event_id": 9}]
+    got = []
+    for n, some in enumerate((rows, rows[::-1])):
+        src = tmp_path / f"in{n}"
+        src.mkdir()
+        for k, part in enumerate((some, last)):
+            (src / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+            os.utime(src / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)
+        stream = lv.live_signal(source(spark, src), 2, "10 minutes")
+        got.append(sorted((r["event_id"], r["mean"]) for r in collect(spark, stream, tmp_path, f"out{n}")))
+    assert got == [[(1, 0.5), (2, 1.5), (4, 3.0), (5, 4.5)]] * 2
+
+
 def test_rows_beyond_the_watermark_are_dropped(spark, files, tmp_path):
     write(files, "0.json", [("a", m, 1) for m in range(100)])
     write(files, "1.json", [("a", 200, 1)])
