@@ -145,8 +145,11 @@ def _summaries(parts: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
 
 
 def _sets(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The sets themselves; a row that only shares its doc_id with the set's first row is left out."""
+    """The sets themselves, each once in a task."""
+    seen: set[int] = set()
     for part in parts:
+        fresh = [not (x in seen or seen.add(x)) for x in part.column("set_id").to_pylist()]
+        part = part.filter(pa.array(fresh, pa.bool_()))
         wanted = part.column("set_id").to_pylist()
         rows = [(x, len(h), bitmap(h).tobytes(), h.tobytes()) for (_, h), x in zip(shingles(part.column("text"), width), wanted, strict=True) if len(h) and _name(h) == x]
         x, n, bits, members = zip(*rows, strict=True) if rows else ((), (), (), ())
@@ -320,8 +323,7 @@ def _found(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     buckets = exploded.selectExpr("key", "set_id", "min(set_id) over (partition by key) as hub", "max(set_id) over (partition by key) as top")
     buckets = written(buckets.where("hub <> top").select("key", "set_id", "hub"), "buckets")
     wanted = buckets.select("set_id").distinct()
-    first = wanted.join(summary.groupBy("set_id").agg(F.min("doc_id").alias("first")), "set_id")
-    named = d.join(first, F.col("doc_id").eqNullSafe(F.col("first"))).select("set_id", "text").mapInArrow(partial(_sets, width=width), "set_id long, n long, bits binary, members binary")
+    named = _first_texts(d, summary, wanted).mapInArrow(partial(_sets, width=width), "set_id long, n long, bits binary, members binary")
     sets = written(named, "sets")
     shared = buckets.where("hub <> set_id").groupBy("hub", "set_id").agg(F.count("*").alias("n"))
     most = Window.partitionBy("set_id").orderBy(F.desc("n"), "hub")
@@ -337,6 +339,14 @@ def _found(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     return _named(summary, roots(links)), sets
 
 
+def _first_texts(d: DataFrame, summary: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, text) of each wanted set's first row: found by doc_id and text, as many rows may share or lack a doc_id."""
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"))).alias("x")
+    first = summary.where("set_id is not null").groupBy("set_id").agg(first).join(wanted, "set_id").select("set_id", "x.*")
+    keyed = d.select("text", F.isnull("doc_id").alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
+    return keyed.join(first, ["no_id", "id", "hash"]).select("set_id", "text")
+
+
 def _named(summary: DataFrame, reached: DataFrame) -> DataFrame:
     """Components by smallest doc_id: of the set's root, then of its documents."""
     rows = summary.select("doc_id", "text_hash", "n_shingles", "set_id").join(reached.select(F.col("v").alias("set_id"), "root"), "set_id", "left")

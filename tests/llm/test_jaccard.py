@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import catalog, jaccard
 from tests.conftest import SF
@@ -103,6 +104,16 @@ def test_three_similar_texts_have_three_links(documents):
     assert links(jaccard.linked(documents(rows))) == [(0, 2), (1, 2), (2, 2)]
 
 
+@pytest.mark.parametrize("doc", [None, 7])
+def test_a_set_is_fetched_by_its_own_row(documents, doc):
+    """Rows without a doc_id, or with one and the same, do not meet every set."""
+    texts = [f"word number {k} of many" for k in range(30)]
+    d = jaccard.texts(documents([(doc, t) for t in texts])).withColumn("text_hash", F.xxhash64("text"))
+    summary = d.withColumn("set_id", F.col("text_hash"))
+    rows = jaccard._first_texts(d, summary, summary.select("set_id")).collect()
+    assert len(rows) == 30 and {r["text"] for r in rows} == set(texts)
+
+
 def test_edge_rows(documents):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(4, None), (3, ""), (2, " \n"), (None, "a b c d e"), (9, "A B c d e"), (8, "a b\x0bc\x0cd\te"), (8, "other words of the same id"), (8, "a b c d e"), (7, "one"), (6, "ONE"), (20, "É b"), (21, "é b"), (11, long), (10, long + " x"), (None, "alone here")]
