@@ -14,7 +14,7 @@ from strandline.llm.store import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the models know; those without any letter go."""
+    """All documents but those without any letter: the models name a language for every other text, also for one they do not know."""
     answer = langid.predictor(langid.fitted(docs))(F.col("text").cast("string"))
     d = docs.select(F.struct("*").alias("row"), answer.alias("answer"))
     return d.where(F.col("answer.lang") != langid.UNKNOWN).select("row.*")
