@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import jaccard, kdtree, langid, oracles, packing, pieces, quality, secrets, shards, toxicity, vectors
+from strandline.llm import jaccard, kdtree, langid, merkle, oracles, packing, pieces, quality, secrets, shards, toxicity, vectors
 from strandline.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op8_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.sample_checked(table(spark, folder, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(merkle.proofs(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_shards": op2_token_shards,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op8_piece_sampling": op8_piece_sampling,
     "op9_quality": op9_quality,
     "op10_exact_top_k": op10_exact_top_k,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Only what SQL can express: the other operators are tested by brute force, round trip or accuracy.
@@ -79,6 +84,7 @@ ORACLES: dict[str, str] = {
     "op3_secret_scan": oracles.SECRETS,
     "op6_embedding_near_dedup": oracles.NEAR_VECTORS,
     "op10_exact_top_k": oracles.TOP_K,
+    "op13_merkle_manifest": oracles.MERKLE,
 }
 
 #: Further results of the operators above, each with its SQL.

@@ -87,3 +87,54 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from pairs
 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
 """
+
+#: CRC-32 of the decimal digits of a number: eight shifts for each digit.
+CRC_OF_ID = """xor(4294967295, list_reduce([cast(4294967295 as bigint)] || [cast(ord(c) as bigint) for c in string_split(cast(doc_id as varchar), '')],
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, step: xor(c >> 1, 3988292384 * (c & 1)))))"""
+
+
+def _written(field: str) -> str:
+    return f"coalesce(strlen(cast({field} as varchar)) || ':' || {field}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_written(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Nodes by level: runs of 16 until one is left, by source and then over the sources; every leaf walks up.
+MERKLE = f"""
+with recursive rows as (
+    select row_number() over () as r, doc_id, coalesce('=' || source, '') as tree, {_leaf("text")} as leaf,
+           case when {CRC_OF_ID} % 5 = 0 then {_leaf(f"translate(text, {LETTERS})")} else {_leaf("text")} end as changed
+    from documents
+), leaves as (
+    select *, row_number() over (partition by tree order by doc_id nulls first, leaf, r) - 1 as idx, count(*) over (partition by tree) as n from rows
+), nodes as (
+    select tree, 0 as level, cast(idx as bigint) as idx, cast(n as bigint) as n, leaf as hash from leaves
+    union all
+    select tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(hash, '' order by idx)) from nodes where n > 1 group by tree, level, idx // 16, n
+), subroots as (
+    select tree as name, level as height, hash, cast(row_number() over (order by tree) - 1 as bigint) as idx, count(*) over () as n from nodes where n = 1
+), tops as (
+    select 'top' as tree, 0 as level, idx, cast(n as bigint) as n, hash from subroots
+    union all
+    select tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(hash, '' order by idx)) from tops where n > 1 group by tree, level, idx // 16, n
+), all_nodes as (select * from nodes union all select * from tops),
+beside as (
+    select a.tree, a.level, a.idx, a.n, coalesce(string_agg(b.hash, '' order by b.idx) filter (b.idx < a.idx), '') as lefts,
+           coalesce(string_agg(b.hash, '' order by b.idx) filter (b.idx > a.idx), '') as rights
+    from all_nodes a join all_nodes b on a.tree = b.tree and a.level = b.level and a.idx // 16 = b.idx // 16 where a.n > 1 group by all
+), walk as (
+    select r, tree, 0 as level, cast(idx as bigint) as idx, '' as proof, changed as folded from leaves
+    union all
+    select w.r, case when s.name is null then w.tree else 'top' end, case when s.name is null then w.level + 1 else 0 end,
+           case when s.name is null then w.idx // 16 else s.idx end,
+           proof || coalesce(lefts || rights, ''), case when b.tree is null then folded else sha256(lefts || folded || rights) end
+    from walk w left join beside b on b.tree = w.tree and b.level = w.level and b.idx = w.idx
+    left join subroots s on b.tree is null and s.name = w.tree and w.tree <> 'top'
+    where b.tree is not null or s.name is not null
+), ends as (select r, arg_max(struct_pack(proof := proof, folded := folded), (tree = 'top', level)) as e from walk group by r),
+root as (select hash as root from tops where n = 1)
+select l.doc_id, l.leaf, s.hash as subroot, root, sha256(e.proof) as proof_sha256, e.folded as folded_root, e.folded = root as verified
+from leaves l join ends using (r) join subroots s on s.name = l.tree cross join root
+"""
