@@ -138,3 +138,24 @@ root as (select hash as root from tops where n = 1)
 select l.doc_id, l.leaf, s.hash as subroot, root, sha256(e.proof) as proof_sha256, e.folded as folded_root, e.folded = root as verified
 from leaves l join ends using (r) join subroots s on s.name = l.tree cross join root
 """
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED = f"""
+with d as (
+    select row_number() over () as r, doc_id, unnest(regexp_extract_all(translate(text, {LETTERS}), '{TERM}')) as term from documents where text is not null
+), counts as (select r, doc_id, term, count(*) as tf from d group by all),
+lengths as (select r, cast(sum(tf) as bigint) as n from counts group by r),
+total as (select count(*) as docs, cast(sum(n) as bigint) as terms from lengths),
+weights as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from counts, total group by term, docs),
+items as (select row_number() over () as i, item_id, text from (select distinct item_id, text from benchmark where text is not null)),
+asked as (select i, item_id, unnest(regexp_extract_all(translate(text, {LETTERS}), '{TERM}')) as term from items),
+scores as (
+    select i, item_id, doc_id, c.r, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)))) as bigint) as score
+    from asked join counts c using (term) join weights using (term) join lengths on lengths.r = c.r, total group by all
+)
+select item_id, cast(row_number() over w as integer) as "rank", doc_id, score
+from scores where score > 0
+window w as (partition by i order by score desc, doc_id nulls last)
+qualify row_number() over w <= 10
+"""
