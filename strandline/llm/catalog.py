@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import jaccard, kdtree, langid, lexical, merkle, oracles, packing, pieces, quality, secrets, shards, toxicity, vectors
+from strandline.llm import balance, jaccard, kdtree, langid, lexical, merkle, oracles, packing, pieces, quality, secrets, shards, toxicity, vectors
 from strandline.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op8_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.sample_checked(table(spark, folder, "documents"))
 
 
+def op11_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return balance.sharded(table(spark, folder, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op8_piece_sampling": op8_piece_sampling,
     "op9_quality": op9_quality,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_balanced_shards": op11_balanced_shards,
     "op12_ranked_search": op12_ranked_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
