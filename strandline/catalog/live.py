@@ -56,4 +56,4 @@ def _(spark, path):
     from strandline.operators.recursive import KERNEL, OnlineKernel
 
     made = run(spark, path, lambda t: lv.stream_fold(t, lambda k: OnlineKernel(), ["value"], KERNEL, keep=["event_id"]))
-    return made.select("series_id", "event_id", "forecast", "signal", "error")
+    return made.select("series_id", "event_id", "forecast", "signal", "error", "entropy")

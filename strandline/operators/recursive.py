@@ -349,6 +349,23 @@ def capital_rule(df: DataFrame, ret: str, fast: str, slow: str, keys=("series_id
     return ordered_fold(df, lambda k: CapitalRule(**params), [ret, fast, slow], "capital double, added double, taken double", keys)
 
 
+def template_entropy(x: list[float], m: int = 2, tolerance: float = 0.2) -> float | None:
+    """Sample entropy of a short history: a constant one gives 0, one without matches None."""
+    values = np.array(x)
+    sd = float(values.std())
+    if len(values) < 2 or sd <= 1e-8:
+        return 0.0
+    starts = len(values) - m
+    if starts < 2:
+        return None
+    templates = np.stack([values[k : k + starts] for k in range(m + 1)], axis=1)
+    gaps = np.abs(templates[:, None, :] - templates[None, :, :])
+    close = gaps < max(tolerance * sd, 1e-9)
+    pairs = np.triu(np.ones((starts, starts), dtype=bool), 1)
+    short, long = (int((close[:, :, :k].all(axis=2) & pairs).sum()) for k in (m, m + 1))
+    return -math.log(long / short) if long else None
+
+
 class OnlineKernel:
     """One-step forecast from constant, linear and quadratic kernels, trained by gradient steps with decay."""
 
@@ -379,10 +396,10 @@ class OnlineKernel:
         self.h2 = keep * self.h2 + self.rate * error * np.outer(old, old)
         self.predicted = float(self.h0 + self.h1 @ now + now @ self.h2 @ now)
         forecast = self.predicted * sd + mu
-        return (forecast, sgn(forecast), float(error))
+        return (forecast, sgn(forecast), float(error), template_entropy(self.x))
 
 
-KERNEL = "forecast double, signal double, error double"
+KERNEL = "forecast double, signal double, error double, entropy double"
 
 
 def online_kernel(df: DataFrame, ret: str, keys=("series_id",), **params) -> DataFrame:

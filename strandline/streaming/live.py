@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strandline.operators.fold import recent
+from strandline.streaming.fold_state import FoldProcessor
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -55,43 +55,29 @@ class RollingSignal:
         return (mean, 1.0 if x > mean else -1.0 if x < mean else 0.0)
 
 
-def stream_fold(ticks: DataFrame, make: Callable[[dict], object], inputs: Sequence[str], outputs: str, keys: Sequence[str] = ("series_id",), lateness: str = "1 hour", keep: Sequence[str] = ()) -> DataFrame:
+def stream_fold(ticks: DataFrame, make: Callable[[dict], object], inputs: Sequence[str], outputs: str, keys: Sequence[str] = ("series_id",), lateness: str = "1 hour", keep: Sequence[str] = (), bucket_ms: int = 3_600_000) -> DataFrame:
     """``fold.ordered_fold`` over a stream, with the same step classes.
 
     Rows wait until the watermark has passed them and are then folded in time
     order, so a late row inside the lateness bound changes nothing; one beyond it
     is dropped, because a recursion cannot be rewound.  Rows of one time are folded
     in the order of their ``keep`` columns, then of their inputs (nulls last), whatever
-    order they came in.  State per key is the step object and the waiting rows.
+    order they came in.  State per key is the step object and the waiting rows in buckets
+    of ``bucket_ms``, of which a task holds one at a time (``fold_state.FoldProcessor``).
+    Such state needs the RocksDB store, which is set if the session names another.
     """
+    spark = ticks.sparkSession
+    if spark.conf.get(STORE, None) != ROCKSDB:
+        spark.conf.set(STORE, ROCKSDB)
     keys, inputs, keep = list(keys), list(inputs), [k for k in keep if k not in keys]
     cols = list(dict.fromkeys(["ts", *inputs, *keep]))
     src = ticks.select(*keys, *cols).withWatermark("ts", lateness)
     fields = src.schema
     names = [p.strip().split(" ")[0] for p in outputs.split(",")]
-    tie = [cols.index(c) for c in dict.fromkeys([*keep, *inputs])]
     schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in [*keys, "ts", *keep]) + ", " + outputs
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        step, waiting = pickle.loads(state.get[0]) if state.exists else (make(dict(zip(keys, key))), [])
-        for pdf in batches:
-            waiting += list(pdf[cols].itertuples(index=False, name=None))
-        horizon = state.getCurrentWatermarkMs()
-        ready = [w for w in waiting if w[0].timestamp() * 1000 <= horizon]
-        waiting = [w for w in waiting if w[0].timestamp() * 1000 > horizon]
-        ready.sort(key=lambda w: (w[0], [(True, 0) if pd.isna(w[i]) else (False, w[i]) for i in tie]))
-        place = {c: i for i, c in enumerate(cols)}
-        out = []
-        for w in ready:
-            made = step.row(*[w[place[c]] for c in inputs])
-            if made is not None:
-                out.append((*key, w[0], *[w[place[c]] for c in keep], *made))
-        state.update((pickle.dumps((step, waiting)),))
-        if waiting:
-            state.setTimeoutTimestamp(max(int(min(w[0] for w in waiting).timestamp() * 1000), horizon + 1))
-        yield pd.DataFrame(out, columns=[*keys, "ts", *keep, *names])
-
-    return src.groupBy(*keys).applyInPandasWithState(advance, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+    at = cols.index
+    fold = FoldProcessor(make, keys, cols, [at(c) for c in inputs], [at(c) for c in keep], [at(c) for c in dict.fromkeys([*keep, *inputs])], names, bucket_ms)
+    return src.groupBy(*keys).transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
 
 def live_signal(ticks: DataFrame, n: int, lateness: str = "1 hour") -> DataFrame:
