@@ -81,6 +81,65 @@ def _(spark, path):
     return sw.walk_forward(rule_rows(spark, path, list(range(2, 52)), (1, 2)), 104, 26, 26, ["n", "delay"], metric="sharpe")
 
 
+#: The folds' parts as episodes: j counts the rows of a part from 1.
+PARTS = """
+u as (select *, count(*) over (partition by {keys}) as last, row_number() over (partition by {keys} order by i) - 1 as t from {rows}),
+p as (select u.*, f as fold, case when t - f * 26 < 104 then 'train' else 'test' end as part, case when t - f * 26 < 104 then t - f * 26 + 1 else t - f * 26 - 103 end as j
+  from u, generate_series(0, 20) g(f) where f * 26 <= t and t < f * 26 + 130 and f * 26 + 130 <= last)"""
+
+MACHINES = f"""
+w0 as (select x.series_id, x.ts, x.i, x.value, x.ret, case when {full("avg(ret)", "ret", 6)} is null then 0 when abs({full("avg(ret)", "ret", 6)}) < 0.002 then 0 else sign({full("avg(ret)", "ret", 6)})::int end as want from x),
+{PARTS.format(rows="w0", keys="series_id").strip()},
+g2(stop, take) as (values (0.02::double, 0.04::double), (0.02::double, 0.1::double), (0.05::double, 0.04::double), (0.05::double, 0.1::double)),
+e as (select series_id, fold, part, stop, take, 0::bigint as j, 0 as pos, 0.0::double as entry, 0.0::double as size, 10000.0::double as cap from (select distinct series_id, fold, part from p), g2
+ union all
+ select e.series_id, e.fold, e.part, e.stop, e.take, s.j, s.want, case when o.opened then s.value when s.want = 0 then 0 else e.entry end, case when o.opened then (e.cap + q.pnl) * 0.5 when s.want = 0 then 0 else e.size end,
+  e.cap + q.pnl - o.fee
+ from e join p s on s.series_id = e.series_id and s.fold = e.fold and s.part = e.part and s.j = e.j + 1,
+  lateral (select case when e.pos = 1 then s.value / e.entry - 1 when e.pos = -1 then e.entry / s.value - 1 end as gain,
+    coalesce((e.pos = 1 and s.value <= e.entry * (1 - e.stop)) or (e.pos = -1 and s.value >= e.entry * (1 + e.stop)), false) as lost,
+    coalesce((e.pos = 1 and s.value >= e.entry * (1 + e.take)) or (e.pos = -1 and s.value <= e.entry * (1 - e.take)), false) as won) w,
+  lateral (select case when e.pos = 0 then 0.0 when w.lost or w.won then e.size * w.gain else e.size * s.ret * e.pos end as pnl, case when w.lost or w.won then 0 else e.pos end as held) q,
+  lateral (select (s.want <> 0 and q.held <> s.want) as opened,
+    (case when w.lost or w.won then e.size * 0.0001 else 0 end + case when q.held <> 0 and s.want <> q.held then e.size * 0.0001 else 0 end + case when s.want <> 0 and q.held <> s.want then (e.cap + q.pnl) * 0.5 * 0.0001 else 0 end) as fee) o),
+d as (select series_id, fold, part, stop, take, arg_max(cap, j) / 10000 - 1 as total from e group by all),
+c as (select series_id, fold, stop, take, max(total) filter (part = 'train') as tr, max(total) filter (part = 'test') as te from d group by all),
+b as (select * from c qualify row_number() over (partition by series_id, fold order by round(tr, 12) desc, stop, take) = 1)"""
+
+
+@query("K4_positions", q(WEEKLY, rets("weekly"), X, MACHINES.strip(), body=f"select series_id, fold::int as fold, stop, take, {r('tr', 'train_score')}, {r('te', 'test_score')} from b", recursive=True))
+def _(spark, path):
+    p = win.rolling(weekly(spark, path), "ret", 6, ["mean"])
+    p = p.withColumn("signal", F.when(F.abs("mean") < 0.002, 0.0).otherwise(F.signum("mean")))
+    return sw.position_walk_forward(p, 104, 26, 26, {"stop": [0.02, 0.05], "take": [0.04, 0.1]})
+
+
+def _state(n):
+    mu, sd, mo = (full(e, "ret", n) for e in ("avg(ret)", "stddev_pop(ret)", "product(1 + ret)"))
+    return f"select series_id, ts, i, ret, {n} as n, {mo} - 1 as mo, {mu} as mu, {sd} as sd, {full('count(ret)', 'ret', 14)} is not null as ok from x"
+
+
+BELIEFS = f"""
+m as ({_state(7)} union all {_state(14)}),
+z as (select series_id, ts, i, ret, n, gamma, (mo > 0)::int as b0, (coalesce(mu / nullif(sd, 0), 0) > 0.05)::int as b1, (mu - gamma * sd > 0)::int as b2 from m, (values (0.25::double), (0.75::double)) v(gamma) where ok),
+y as (select *, b0 || b1 || b2 as state, (b0 + b1 + b2) / 3.0::double as ev from z),
+{PARTS.format(rows="y", keys="series_id, n, gamma").strip()},
+h as (select p.*, prior, entropy_limit, trade_limit from p, (values (0.3::double), (0.5::double)) a(prior), (values (0.6::double), (0.95::double)) c(entropy_limit), (values (0.4::double), (0.7::double)) d(trade_limit)),
+o as (select *, ln(prior / (1 - prior)) + sum(case when ev > 0 and ev < 1 then ln(ev / (1 - ev)) else 0 end) over (partition by series_id, fold, part, n, gamma, prior, entropy_limit, trade_limit, state order by j) as odds from h),
+pr as (select *, case when ev <= 0 then 0.0 when ev >= 1 then 1.0 else 1 / (1 + exp(-odds)) end as bel from o),
+en as (select *, case when bel > 0 and bel < 1 then -(bel * log2(bel) + (1 - bel) * log2(1 - bel)) else 0 end as ent from pr),
+si as (select *, case when ent < entropy_limit then case when bel > trade_limit then 1.0 else -1.0 end end as sig from en),
+st as (select *, ret * coalesce(last_value(sig ignore nulls) over (partition by series_id, fold, part, n, gamma, prior, entropy_limit, trade_limit order by j rows between unbounded preceding and 1 preceding), 0) as earned from si),
+c as (select series_id, fold, n, gamma, prior, entropy_limit, trade_limit, product(1 + earned) filter (part = 'train') - 1 as tr, product(1 + earned) filter (part = 'test') - 1 as te from st group by all),
+b as (select * from c qualify row_number() over (partition by series_id, fold order by round(tr, 12) desc, n, gamma, prior, entropy_limit, trade_limit) = 1)"""
+
+
+@query("K4_beliefs", q(WEEKLY, rets("weekly"), X, BELIEFS.strip(), body=f"select series_id, fold::int as fold, n, gamma, prior, entropy_limit, trade_limit, {r('tr', 'train_score')}, {r('te', 'test_score')} from b"))
+def _(spark, path):
+    axes = {"prior": [0.3, 0.5], "entropy_limit": [0.6, 0.95], "trade_limit": [0.4, 0.7]}
+    return sw.belief_walk_forward(weekly(spark, path), 104, 26, 26, [7, 14], [0.25, 0.75], axes, limits=(0.0, 0.05, 0.0))
+
+
 def _stitched(rule, expr):
     return q(WEEKLY, rets("weekly"), X, rule_sql(WN, (1, 2)), WF.strip(), """
 o as (select f.series_id, f.fold, f.ts, f.strategy, product(1 + f.strategy) over (partition by f.series_id, f.fold order by f.ts) as e from f join b on f.series_id = b.series_id and f.fold = b.fold and f.n = b.n and f.delay = b.delay where f.part = 'test'),

@@ -65,6 +65,80 @@ def ordered_fold(df: DataFrame, make: Callable[[dict], object], inputs: Sequence
     return src.mapInPandas(run, schema)
 
 
+class _Episode:
+    """One part of one fold: a fresh step and the running score of its returns."""
+
+    def __init__(self, fold: int, part: str, end: int, step: object):
+        self.fold, self.part, self.end, self.step = fold, part, end, step
+        self.n, self.sum, self.squares, self.growth = 0, 0.0, 0.0, 1.0
+
+    def row(self, values: list) -> None:
+        r = self.step.row(*values)
+        if r is not None:
+            self.n += 1
+            self.sum += r
+            self.squares += r * r
+            self.growth *= 1.0 + r
+
+    def score(self) -> tuple:
+        if self.n == 0:
+            return (self.fold, self.part, 0, None, None)
+        mean = self.sum / self.n
+        var = self.squares / self.n - mean * mean
+        # a variance within rounding of zero is that of constant returns
+        flat = var <= 1e-12 * self.squares / self.n
+        return (self.fold, self.part, self.n, self.growth - 1.0, None if flat else mean / var**0.5)
+
+
+def fold_episodes(df: DataFrame, make: Callable[[dict], object], inputs: Sequence[str], train: int, test: int, step: int, keys: Sequence[str] = ("series_id",), order: str = "ts") -> DataFrame:
+    """Scores of a stateful strategy that starts anew at the first row of every fold's parts.
+
+    ``make(key).row(*inputs)`` gives the return of one row (None: not counted).  Training parts
+    begin every ``step`` rows; the test part follows with a state of its own, so nothing held at
+    the end of training is carried over.  All parts of a key are run in one sorted pass: a row
+    goes to the (train + test) / step folds that cover it, and one row a finished part comes out:
+    keys, fold, part, rows, total_return, sharpe.  Parts that the series does not complete give
+    no row.
+    """
+    if min(train, test, step) < 1:
+        raise ValueError("train, test and step must be positive")
+    keys, inputs = list(keys), list(inputs)
+    src = df.select(*dict.fromkeys([*keys, order, *inputs])).repartition(*keys).sortWithinPartitions(*keys, order)
+    fields = src.schema
+    names = ["fold", "part", "rows", "total_return", "sharpe"]
+    schema = ", ".join(f"`{k}` {fields[k].dataType.simpleString()}" for k in keys) + ", fold int, part string, rows bigint, total_return double, sharpe double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, t, active = None, 0, []
+        for pdf in batches:
+            columns = [pdf[c].to_numpy(dtype=object).tolist() if pdf[c].dtype == object else pdf[c].tolist() for c in inputs]
+            out = []
+            for a, b in _runs(pdf[keys]):
+                key = tuple(pdf[k].iat[a] for k in keys)
+                if key != current:
+                    current, t, active = key, 0, []
+                named = dict(zip(keys, key))
+                for i in range(a, b):
+                    if t % step == 0:
+                        active.append(_Episode(t // step, "train", t + train, make(named)))
+                    if t >= train and (t - train) % step == 0:
+                        active.append(_Episode((t - train) // step, "test", t + test, make(named)))
+                    values = [c[i] for c in columns]
+                    t += 1
+                    ended = False
+                    for e in active:
+                        e.row(values)
+                        if e.end == t:
+                            out.append((*key, *e.score()))
+                            ended = True
+                    if ended:
+                        active = [e for e in active if e.end > t]
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, *names])
+
+    return src.mapInPandas(run, schema)
+
+
 def recent(history: list, n: int) -> list:
     """Keep the last n items of a growing list in place."""
     if len(history) > n:

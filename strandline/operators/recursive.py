@@ -275,6 +275,15 @@ class PositionMachine:
         return (self.position, action, pnl, fees, self.capital)
 
 
+class PositionReturns(PositionMachine):
+    """The same machine, giving each row's return on capital after cost."""
+
+    def row(self, price, ret, signal):
+        before = self.capital
+        made = super().row(price, ret, signal)
+        return None if made is None else self.capital / before - 1.0
+
+
 TRADES = "position int, action string, pnl double, cost double, capital double"
 
 
@@ -548,6 +557,36 @@ def adaptive_weights(df: DataFrame, actual: str, forecasts: str, models: int, ke
     return ordered_fold(df, lambda k: AdaptiveWeights(models, **params), [actual, forecasts], WEIGHTS, keys)
 
 
+class BeliefReturns:
+    """Return of a position that follows the belief in the current market state, learned from the start.
+
+    Every visit of a state adds the log odds of its evidence to the state's own; evidence of 0 or
+    1 settles the belief at once.  A belief of low entropy buys above ``trade_limit`` and sells
+    otherwise, any other keeps the position.  The position earns from the next row on.
+    """
+
+    def __init__(self, prior: float = 0.5, entropy_limit: float = 0.9, trade_limit: float = 0.5):
+        self.start, self.entropy_limit, self.trade_limit = math.log(prior / (1.0 - prior)), entropy_limit, trade_limit
+        self.odds: dict[str, float] = {}
+        self.position = 0.0
+
+    def row(self, ret, state, evidence):
+        if missing(ret) or state is None or missing(evidence):
+            return None
+        earned = self.position * ret
+        if 0.0 < evidence < 1.0:
+            odds = self.odds.get(state, self.start) + math.log(evidence / (1.0 - evidence))
+            self.odds[state] = odds
+            p = 1.0 / (1.0 + math.exp(-odds))
+        else:
+            p = evidence
+        q = 1.0 - p
+        entropy = -(p * math.log2(p) + q * math.log2(q)) if p > 0.0 and q > 0.0 else 0.0
+        if entropy < self.entropy_limit:
+            self.position = 1.0 if p > self.trade_limit else -1.0
+        return earned
+
+
 class RiskPosition:
     """Position from BUY / SELL / HOLD scaled by the covariance of entropy changes and wealth changes so far."""
 

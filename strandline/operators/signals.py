@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from strandline.frames import KEYS, expanding, ordered, stack_rows, trailing, whole
+from strandline.frames import KEYS, expanding, explode_rows, ordered, stack_rows, trailing, whole
 from strandline.functions.scalar import corr_from, div, norm_cdf
 from strandline.operators.window import stat
 
@@ -255,8 +255,12 @@ def binary_code(df: DataFrame, bits: Sequence[str] = CODE_BITS, below: Sequence[
     """
     from strandline.operators.transform import pack_bits
 
-    w = whole(keys) if full_sample else expanding(keys)
-    base = df.select("*", *[F.percentile(F.col(b), F.lit(0.5)).over(w).alias(f"_m_{b}") for b in bits])
+    from strandline.operators.ranked import expanding_quantiles
+
+    if full_sample:
+        base = df.select("*", *[F.percentile(F.col(b), F.lit(0.5)).over(whole(keys)).alias(f"_m_{b}") for b in bits])
+    else:
+        base = expanding_quantiles(df, {b: f"_m_{b}" for b in bits}, 0.5, keys)
     flags = [(F.col(b) < F.col(f"_m_{b}")) if b in below else (F.col(b) > F.col(f"_m_{b}")) for b in bits]
     return base.withColumn("code", pack_bits(flags)).select(*df.columns, "code")
 
@@ -275,6 +279,28 @@ def code_strategy(df: DataFrame, ret: str = "ret", extra_delay: int = 0, by_sign
     return base.withColumn("strategy", F.col(ret) * position)
 
 
+def state_rows(df: DataFrame, windows: Sequence[int], gammas: Sequence[float], limits: tuple[float, float, float] = (0.0, 0.0, 0.0), ret: str = "ret", keys=KEYS) -> DataFrame:
+    """Market state and evidence of every row, for each window and gamma.
+
+    State bits say whether momentum, mean over deviation, and mean less gamma deviations of the
+    last n returns exceed their limits; evidence is the share of set bits.  All windows share one
+    sort, and rows multiply afterwards.
+    """
+    x = F.col(ret)
+    base = df.filter(x.isNotNull())
+    cols = []
+    for n in windows:
+        w = trailing(n, keys)
+        cols += [stat("compound", x, w, n).alias(f"_mo{n}"), stat("mean", x, w, n).alias(f"_mu{n}"), F.stddev_pop(x).over(w).alias(f"_sd{n}")]
+    rows = stack_rows(base.select(*df.columns, *cols), df.columns, [{"n": n, "_mo": F.col(f"_mo{n}"), "_mu": F.col(f"_mu{n}"), "_sd": F.col(f"_sd{n}")} for n in windows])
+    rows = explode_rows(rows.filter(F.col("_mo").isNotNull()), [{"gamma": float(g)} for g in gammas])
+    score = F.coalesce(div(F.col("_mu"), F.col("_sd")), F.lit(0.0))
+    bits = [F.col("_mo") > limits[0], score > limits[1], F.col("_mu") - F.col("gamma") * F.col("_sd") > limits[2]]
+    rows = rows.select(*df.columns, "n", "gamma", *[b.cast("int").alias(f"_b{i}") for i, b in enumerate(bits)])
+    state = F.concat(*[F.col(f"_b{i}").cast("string") for i in range(3)])
+    return rows.withColumn("state", state).withColumn("evidence", (F.col("_b0") + F.col("_b1") + F.col("_b2")) / 3.0).drop("_b0", "_b1", "_b2")
+
+
 def belief_states(df: DataFrame, n: int, gamma: float = 1.0, limits: tuple[float, float, float] = (0.0, 0.0, 0.0), entropy_limit: float = 0.9, trade_limit: float = 0.5, prior: float = 0.5, ret: str = "ret", keys=KEYS) -> DataFrame:
     """Bayesian belief per market state, with a signal gated by its entropy.
 
@@ -284,13 +310,7 @@ def belief_states(df: DataFrame, n: int, gamma: float = 1.0, limits: tuple[float
     form of a running sum of log odds: no recursion over rows.  Certain evidence
     (0 or 1) is absorbing.
     """
-    x, w = F.col(ret), trailing(n, keys)
-    base = df.filter(x.isNotNull()).select("*", stat("compound", x, w, n).alias("_mo"), stat("mean", x, w, n).alias("_mu"), F.stddev_pop(x).over(w).alias("_sd"))
-    base = base.filter(F.col("_mo").isNotNull())
-    score = F.coalesce(div(F.col("_mu"), F.col("_sd")), F.lit(0.0))
-    bits = [F.col("_mo") > limits[0], score > limits[1], F.col("_mu") - gamma * F.col("_sd") > limits[2]]
-    base = base.select("*", *[b.cast("int").alias(f"_b{i}") for i, b in enumerate(bits)])
-    base = base.withColumn("state", F.concat(*[F.col(f"_b{i}").cast("string") for i in range(3)])).withColumn("evidence", (F.col("_b0") + F.col("_b1") + F.col("_b2")) / 3.0)
+    base = state_rows(df, [n], [gamma], limits, ret, keys).drop("n", "gamma")
     e = F.col("evidence")
     odds = F.when((e > 0) & (e < 1), F.log(e / (1.0 - e))).otherwise(0.0)
     ws = expanding((*keys, "state"))

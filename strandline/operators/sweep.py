@@ -13,8 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from strandline.frames import KEYS, expanding, ordered, stack_rows, trailing
+from strandline.frames import KEYS, expanding, explode_rows, ordered, stack_rows, trailing
 from strandline.functions.scalar import div
+from strandline.operators.fold import fold_episodes
+from strandline.operators.recursive import BeliefReturns, PositionReturns
 
 
 def grid(**axes: Sequence) -> list[dict]:
@@ -105,14 +107,52 @@ def walk_forward(df: DataFrame, train: int, test: int, step: int, params: Sequen
 
     Ties go to the smallest parameters.
     """
-    scores = fold_scores(df, train, test, step, params, strategy, keys)
+    return best_by_fold(fold_scores(df, train, test, step, params, strategy, keys), params, metric, keys)
+
+
+def best_by_fold(scores: DataFrame, params: Sequence[str], metric: str = "total_return", keys=KEYS) -> DataFrame:
+    """From scores by fold and part, the parameters with the best training score and their test score.
+
+    Folds whose test part is not complete are left out.
+    """
     value = lambda part: F.max(F.when(F.col("part") == part, F.col(metric)))
-    both = scores.groupBy(*keys, *params, "fold").agg(value("train").alias("train_score"), value("test").alias("test_score"))
+    tested = F.max((F.col("part") == "test").cast("int"))
+    both = scores.groupBy(*keys, *params, "fold").agg(value("train").alias("train_score"), value("test").alias("test_score"), tested.alias("_tested"))
     order = F.struct(F.round("train_score", 12).alias("s"), *[(-F.col(p)).alias(p) for p in params], F.col("train_score").alias("tr"), F.col("test_score").alias("te"))
-    best = both.filter(F.col("train_score").isNotNull()).groupBy(*keys, "fold").agg(F.max(order).alias("b"))
+    best = both.filter(F.col("train_score").isNotNull() & (F.col("_tested") == 1)).groupBy(*keys, "fold").agg(F.max(order).alias("b"))
     return best.select(*keys, "fold", *[(-F.col(f"b.{p}")).alias(p) for p in params], F.col("b.tr").alias("train_score"), F.col("b.te").alias("test_score"))
 
 
+def position_walk_forward(df: DataFrame, train: int, test: int, step: int, axes: dict[str, Sequence[float]], metric: str = "total_return", price: str = "value", ret: str = "ret", signal: str = "signal", keys=KEYS, **fixed) -> DataFrame:
+    """Walk-forward choice of stop, take and size of the position machine, started flat in every part.
+
+    ``axes`` names the parameters that are searched, ``fixed`` the others.
+    """
+    rows = explode_rows(df.select(*keys, "ts", price, ret, signal).filter(F.col(ret).isNotNull()), grid(**axes))
+    make = lambda k: PositionReturns(**fixed, **{a: float(k[a]) for a in axes})
+    scores = fold_episodes(rows, make, [price, ret, signal], train, test, step, [*keys, *axes])
+    return best_by_fold(scores, list(axes), metric, keys)
+
+
+def belief_walk_forward(df: DataFrame, train: int, test: int, step: int, windows: Sequence[int], gammas: Sequence[float], axes: dict[str, Sequence[float]], limits: tuple[float, float, float] = (0.0, 0.0, 0.0), metric: str = "total_return", ret: str = "ret", keys=KEYS) -> DataFrame:
+    """Walk-forward choice for beliefs by market state, learned anew in every part.
+
+    ``windows`` and ``gammas`` shape the states, which need no memory and may look back beyond the
+    part's first row; ``axes`` are prior, entropy_limit and trade_limit.  Every combination covers
+    the rows that the longest window covers.
+    """
+    from strandline.operators.signals import state_rows
+
+    whole = F.count(ret).over(trailing(max(windows), keys)) == max(windows)
+    base = df.filter(F.col(ret).isNotNull()).withColumn("_ok", whole)
+    rows = state_rows(base, windows, gammas, limits, ret, keys).filter("_ok").select(*keys, "ts", ret, "n", "gamma", "state", "evidence")
+    rows = explode_rows(rows, grid(**axes))
+    make = lambda k: BeliefReturns(**{a: float(k[a]) for a in axes})
+    params = ["n", "gamma", *axes]
+    scores = fold_episodes(rows, make, [ret, "state", "evidence"], train, test, step, [*keys, *params])
+    return best_by_fold(scores, params, metric, keys)
+
+
 def out_of_sample(df: DataFrame, choice: DataFrame, train: int, test: int, step: int, params: Sequence[str], strategy: str = "strategy", keys=KEYS) -> DataFrame:
     """Strategy rows of each fold's test part under its chosen parameters."""
     rows = df.filter(F.col(strategy).isNotNull())

@@ -43,11 +43,11 @@ def rolling(df: DataFrame, col: str, n: int, stats: Sequence[str], keys=KEYS, de
 
 
 def expanding_stats(df: DataFrame, col: str, keys=KEYS, quantile: float | None = None) -> DataFrame:
+    from strandline.operators.ranked import expanding_quantiles
+
     w = expanding(keys)
-    out = [F.avg(col).over(w).alias("mean"), F.sum(col).over(w).alias("sum")]
-    if quantile is not None:
-        out.append(F.percentile(col, F.lit(quantile)).over(w).alias("quantile"))
-    return df.select("*", *out)
+    out = df.select("*", F.avg(col).over(w).alias("mean"), F.sum(col).over(w).alias("sum"))
+    return out if quantile is None else expanding_quantiles(out, {col: "quantile"}, quantile, keys)
 
 
 def momentum(df: DataFrame, n: int, ret: str = "ret", keys=KEYS) -> DataFrame:
