@@ -52,6 +52,8 @@ COUNTED, SHINGLES = 128, 1 << 20
 BITS = (64, 1 << 16)
 #: Likeliest partners that a set offers in each block before all its pairs are compared.
 LIKELIEST = 2
+#: Largest keys under which a set does so.
+OFFERED = 2
 
 
 class Tiles:
@@ -192,12 +194,31 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(partial(_exact, percent=percent), "a long, b long")
 
 
+def _earlier(keys: pa.ChunkedArray, key: int) -> np.ndarray:
+    """Which of the keys below ``key`` each set has, a row of zeros and ones for each set."""
+    keys = keys.combine_chunks()
+    owner = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
+    value = keys.flatten().to_numpy()
+    below = value < key
+    known, place = np.unique(value[below], return_inverse=True)
+    owner = owner[below]
+    # keys of one set alone tell nothing about pairs
+    held = np.bincount(place, minlength=len(known)) > 1
+    column = np.cumsum(held) - 1
+    some = held[place]
+    out = np.zeros((len(keys), int(held.sum())), np.float32)
+    out[owner[some], column[place[some]]] = 1.0
+    return out
+
+
 def _tile_pairs(key, rows: pa.Table, percent: int, likeliest: int | None) -> pa.Table:
     """Pairs of different components from one pair of blocks that the bitmaps do not rule out.
 
-    With ``likeliest`` only so many for each set: those of the largest bounds.
+    With ``likeliest`` only so many for each set: those of the largest bounds. If the rows hold
+    the sets' keys, every pair comes out under the smallest common key and under no other.
     """
     rows = rows.sort_by("set_id")
+    earlier = _earlier(rows.column("keys"), key[0].as_py()) if "keys" in rows.column_names else None
     ids, root, n, side = (rows.column(c).to_numpy() for c in ("set_id", "root", "n", "side"))
     same = key[1].as_py() == key[2].as_py()
     raw = [np.frombuffer(x, np.uint64) for x in rows.column("bits").to_pylist()]
@@ -211,6 +232,8 @@ def _tile_pairs(key, rows: pa.Table, percent: int, likeliest: int | None) -> pa.
         bound = most_common(bits[some, None], n[some, None], bits[None, right], n[None, right])
         fit = similar(bound, n[some, None], n[None, right], percent)
         fit &= (root[some, None] != root[None, right]) & ((some[:, None] < right[None]) if same else True)
+        if earlier is not None:
+            fit &= earlier[some] @ earlier[right].T == 0
         if likeliest is not None:
             bound = np.where(fit, bound, -1)
             fit = np.zeros_like(fit)
@@ -229,6 +252,24 @@ def _tile_pairs(key, rows: pa.Table, percent: int, likeliest: int | None) -> pa.
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def _tile_sets(key, rows: pa.Table, percent: int) -> pa.Table:
+    """The sets that have a possible partner in one pair of blocks, each once, with the key."""
+    pairs = _tile_pairs(key, rows, percent, None)
+    found = np.unique(np.concatenate([pairs.column(c).to_numpy() for c in ("a", "b")]))
+    return pa.table({"key": np.full(len(found), key[0].as_py(), np.int64), "set_id": found})
+
+
+def _dealt(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of each key for all pairs of the key's blocks."""
+    held = held.withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)"))
+    held = held.withColumn("block", F.expr("pmod(xxhash64(set_id), blocks)").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = held.select("key", "set_id", "root", "block", other).select(
+        "key", "set_id", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side")
+    )
+    return dealt.join(sets, "set_id")
+
+
 def _open_pairs(buckets: DataFrame, reached: DataFrame, sets: DataFrame, percent: int, likeliest: int | None) -> DataFrame:
     """Possible links between components that share a key."""
     held = buckets.select("key", "set_id").join(reached.select(F.col("v").alias("set_id"), "root"), "set_id", "left")
@@ -238,14 +279,18 @@ def _open_pairs(buckets: DataFrame, reached: DataFrame, sets: DataFrame, percent
     few = held.where(F.col("size") <= LISTED)
     left, right = (few.select("key", F.col("set_id").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
     listed = left.join(right, "key").where("a < b and a_root <> b_root").select("a", "b")
-    held = held.where(F.col("size") > LISTED).withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) as int)"))
-    held = held.withColumn("block", F.expr("pmod(xxhash64(set_id), blocks)").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = held.select("key", "set_id", "root", "block", other).select(
-        "key", "set_id", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side")
-    )
-    dealt = dealt.join(sets.select("set_id", "n", "bits"), "set_id")
-    found = dealt.groupBy("key", "i", "j").applyInArrow(lambda key, rows: _tile_pairs(key, rows, percent, likeliest), "a long, b long")
+    held, bits = held.where(F.col("size") > LISTED), sets.select("set_id", "n", "bits")
+    if likeliest is not None:
+        largest = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("size"), "key"))
+        held = held.withColumn("k", largest).where(F.col("k") <= OFFERED)
+        found = _dealt(held, bits).groupBy("key", "i", "j").applyInArrow(lambda key, rows: _tile_pairs(key, rows, percent, likeliest), "a long, b long")
+    else:
+        # first under which keys a set has a possible partner at all: only those sets go on, with these keys
+        hit = _dealt(held, bits).groupBy("key", "i", "j").applyInArrow(lambda key, rows: _tile_sets(key, rows, percent), "key long, set_id long")
+        hit = written(hit.distinct(), "hits")
+        own = hit.groupBy("set_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        some = held.join(hit, ["key", "set_id"], "left_semi")
+        found = _dealt(some, bits.join(own, "set_id")).groupBy("key", "i", "j").applyInArrow(lambda key, rows: _tile_pairs(key, rows, percent, None), "a long, b long")
     return listed.union(found).distinct()
 
 
