@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from strandline.llm.linear import calibrated, fit, sigmoid
 from strandline.llm.samples import held_out
-from strandline.llm.words import slices
+from strandline.llm.words import give_back, slices
 
 #: Labelled rows of each language that the models are fitted on: a bound, not a share.
 SAMPLE = 250
@@ -167,6 +167,7 @@ def predictor(model: Model):
 
     def predict(texts: pa.Array) -> pa.Array:
         lang, score = model.predict(texts)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
 
     return F.arrow_udf(predict, ANSWER)

@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strandline.llm.linear import fit, sigmoid
 from strandline.llm.samples import by_label, class_weights, held_out
-from strandline.llm.words import LOWER, hashes, mix, slices, spans
+from strandline.llm.words import LOWER, give_back, hashes, mix, slices, spans
 
 #: Labelled rows for each combination of labels, folds, and most features of a category.
 SAMPLE = 1200
@@ -57,11 +57,10 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield row, np.concatenate(found), np.concatenate(owner)
 
 
-def presence(texts: pa.Array, known: np.ndarray) -> np.ndarray:
-    """Which of the sorted features ``known`` each text holds (0 or 1), a row for each text."""
-    out = np.zeros((len(texts), len(known)), np.float32)
+def held(texts: pa.Array, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, text counted from it, place in the sorted features ``known``), each pair once."""
     if not len(known):
-        return out
+        return
     may = np.zeros(1 << 20, bool)
     may[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
     for row, found, owner in features(texts):
@@ -69,7 +68,15 @@ def presence(texts: pa.Array, known: np.ndarray) -> np.ndarray:
         found, owner = found[keep], owner[keep]
         at = np.minimum(np.searchsorted(known, found), len(known) - 1)
         hit = known[at] == found
-        out[row + owner[hit], at[hit]] = 1.0
+        pairs = np.unique(owner[hit] * len(known) + at[hit])
+        yield row, pairs // len(known), pairs % len(known)
+
+
+def presence(texts: pa.Array, known: np.ndarray) -> np.ndarray:
+    """Which of the sorted features ``known`` each text holds (0 or 1), a row for each text; for few texts."""
+    out = np.zeros((len(texts), len(known)), np.float32)
+    for row, doc, at in held(texts, known):
+        out[row + doc, at] = 1.0
     return out
 
 
@@ -107,11 +114,17 @@ class Chain:
     def predict(self, texts: pa.Array) -> np.ndarray:
         """Probabilities, a column for each category."""
         every = np.unique(np.concatenate([*self.known, np.zeros(0, np.uint64)]))
-        held = presence(texts, every)
-        odds = np.zeros((len(texts), 0))
-        for known, w, b in zip(self.known, self.weights, self.bias, strict=True):
-            x = np.concatenate((held[:, np.searchsorted(every, known)], odds), 1)
-            odds = np.concatenate((odds, (x @ w + b)[:, None]), 1)
+        tables = np.zeros((len(self.names), len(every)))
+        for table, known, w in zip(tables, self.known, self.weights, strict=True):
+            table[np.searchsorted(every, known)] = w[: len(known)]
+        odds = np.tile(np.array(self.bias, float), (len(texts), 1))
+        # added up run by run: no table of texts and features
+        for row, doc, at in held(texts, every):
+            last = int(doc[-1]) + 1 if len(doc) else 0
+            for k, table in enumerate(tables):
+                odds[row : row + last, k] += np.bincount(doc, weights=table[at], minlength=last)
+        for k, (known, w) in enumerate(zip(self.known, self.weights, strict=True)):
+            odds[:, k] += odds[:, :k] @ w[len(known) :]
         return sigmoid(odds)
 
 
@@ -169,6 +182,7 @@ def predictor(chain: Chain):
 
     def predict(texts: pa.Array) -> pa.Array:
         p = chain.predict(texts)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(p[:, k], pa.float64()) for k in range(len(chain.names))], names=chain.names)
 
     return F.arrow_udf(predict, StructType([StructField(n, DoubleType()) for n in chain.names]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def give_back() -> None:
+    """Drop tables that are quickly made again and return freed memory to the system.
+
+    Worker processes live on between tasks and stages, beside others on the same machine.
+    """
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a GNU extension
+    if trim is not None:
+        trim(0)
+
+
 def slices(array: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of texts of about ``limit`` bytes; null is empty.
 
