@@ -194,15 +194,11 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(partial(_exact, percent=percent), "a long, b long")
 
 
-def _earlier(keys: pa.ChunkedArray, key: int) -> np.ndarray:
-    """Which of the keys below ``key`` each set has, a row of zeros and ones for each set."""
+def _earlier(keys: pa.ChunkedArray) -> np.ndarray:
+    """Which of the keys that several sets have each set has, a row of zeros and ones for each set."""
     keys = keys.combine_chunks()
     owner = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
-    value = keys.flatten().to_numpy()
-    below = value < key
-    known, place = np.unique(value[below], return_inverse=True)
-    owner = owner[below]
-    # keys of one set alone tell nothing about pairs
+    known, place = np.unique(keys.flatten().to_numpy(), return_inverse=True)
     held = np.bincount(place, minlength=len(known)) > 1
     column = np.cumsum(held) - 1
     some = held[place]
@@ -215,10 +211,10 @@ def _tile_pairs(key, rows: pa.Table, percent: int, likeliest: int | None) -> pa.
     """Pairs of different components from one pair of blocks that the bitmaps do not rule out.
 
     With ``likeliest`` only so many for each set: those of the largest bounds. If the rows hold
-    the sets' keys, every pair comes out under the smallest common key and under no other.
+    the sets' smaller keys, a pair comes out under its smallest common key and under no other.
     """
     rows = rows.sort_by("set_id")
-    earlier = _earlier(rows.column("keys"), key[0].as_py()) if "keys" in rows.column_names else None
+    earlier = _earlier(rows.column("keys")) if "keys" in rows.column_names else None
     ids, root, n, side = (rows.column(c).to_numpy() for c in ("set_id", "root", "n", "side"))
     same = key[1].as_py() == key[2].as_py()
     raw = [np.frombuffer(x, np.uint64) for x in rows.column("bits").to_pylist()]
@@ -290,7 +286,8 @@ def _open_pairs(buckets: DataFrame, reached: DataFrame, sets: DataFrame, percent
         hit = written(hit.distinct(), "hits")
         own = hit.groupBy("set_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
         some = held.join(hit, ["key", "set_id"], "left_semi")
-        found = _dealt(some, bits.join(own, "set_id")).groupBy("key", "i", "j").applyInArrow(lambda key, rows: _tile_pairs(key, rows, percent, None), "a long, b long")
+        dealt = _dealt(some, bits.join(own, "set_id")).withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
+        found = dealt.groupBy("key", "i", "j").applyInArrow(lambda key, rows: _tile_pairs(key, rows, percent, None), "a long, b long")
     return listed.union(found).distinct()
 
 
