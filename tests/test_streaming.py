@@ -107,3 +107,17 @@ def test_windowed_and_session_bars(spark, files, tmp_path):
     assert bars == {at(0): 2, at(10): 1, at(40): 2}
     sessions = {r["start"]: r["volume"] for r in collect(spark, lv.session_bars(source(spark, files), "15 minutes", "1 minute"), tmp_path, "s")}
     assert sessions == {at(0): 3, at(40): 2}
+
+
+def test_a_backlog_of_one_key_in_one_file_with_ties_and_a_restart(spark, files, tmp_path):
+    """Many hours wait in one batch; rows of one time, and a bucket cut by the watermark, come out as in batch."""
+    minutes = [(i * 7) % 600 for i in range(400)]
+    write(files, "0.json", [("a", m, i % 9) for i, m in enumerate(minutes)])
+    make = lambda: lv.stream_fold(source(spark, files), lambda k: rc.Ewma(3.0), ["value"], "ewma double", lateness="90 minutes", keep=["event_id"], bucket_ms=1_800_000)
+    lv.drain(make(), str(tmp_path / "o"), str(tmp_path / "ck"))
+    write(files, "1.json", [("a", 5000, 0)])
+    lv.drain(make(), str(tmp_path / "o"), str(tmp_path / "ck"))
+    got = sorted((r["ts"], r["event_id"], round(r["ewma"], 9)) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    batch = spark.createDataFrame([("a", T0 + dt.timedelta(minutes=m), float(i % 9), i) for i, m in enumerate(minutes)], "series_id string, ts timestamp, value double, event_id long")
+    made = ordered_fold(batch, lambda k: rc.Ewma(3.0), ["value"], "ewma double", keep=["event_id"], tie=["event_id"])
+    assert got == sorted((r["ts"], r["event_id"], round(r["ewma"], 9)) for r in made.collect())
