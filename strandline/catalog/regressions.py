@@ -113,6 +113,21 @@ def _(spark, path):
     return t.select("series_id", F.round("tau", 6).alias("tau"), "mse", F.round(F.col("coef")[0], 6).alias("own"))
 
 
+@query("H5_threshold_scan", q(WEEKLY, rets("weekly"), L2, """
+s as (select series_id, ret as y, r1 as o, v1 as x from l where ret is not null and r1 is not null and v1 is not null),
+c as (select series_id, x, count(*) as k, sum(count(*)) over (partition by series_id order by x) as upto, sum(count(*)) over (partition by series_id) as n from s group by 1, 2),
+tt as (select series_id, x as tau from c where (upto - 1) * 10 >= n - 1 and (upto - k) * 10 <= 9 * (n - 1)),
+g as (select s.series_id, tau, x < tau as i, count(*) as n, avg(x) as mx, avg(y) as my, avg(o) as mo, var_pop(x) as sxx, covar_pop(x, y) as sxy, covar_pop(x, o) as sxo, var_pop(y) as syy, var_pop(o) as soo, covar_pop(y, o) as syo from s join tt using (series_id) group by 1, 2, 3),
+h as (select series_id, tau, sum(n) as n, sum(n * (syy - sxy * sxy / sxx)) as yy, sum(n * (soo - sxo * sxo / sxx)) as oo, sum(n * (syo - sxy * sxo / sxx)) as yo from g group by 1, 2 having min(sxx) > 0 and count(*) = 2),
+b as (select *, yo / oo as own, count(*) over (partition by series_id) as tried from h qualify row_number() over (partition by series_id order by yy - yo * yo / oo, tau) = 1),
+e as (select b.*, i, (sxy - own * sxo) / sxx as slope, my - own * mo - (sxy - own * sxo) / sxx * mx as level from b join g using (series_id, tau)),
+f as (select series_id, tau, any_value((yy - yo * yo / oo) / (n - 5)) as mse, any_value(own) as own, max(case when not i then level end) as lr, max(case when i then level end) as ll, max(case when not i then slope end) as sr, max(case when i then slope end) as sl, any_value(n) as n, any_value(tried) as tried from (select e.* exclude (n), b.n from e join b using (series_id, tau)) group by 1, 2)""", body=f"""
+select series_id, {r("tau", "tau")}, {r("mse", "mse", 9)}, n::bigint as n, {r("lr", "intercept")}, {r("own", "own")}, {r("sr", "slope")}, {r("ll - lr", "below")}, {r("sl - sr", "slope_below")}, tried from f"""), digits=9)
+def _(spark, path):
+    t = rg.threshold_scan(_lagged(spark, path), "ret", "r1", "v1")
+    return t.select("series_id", "mse", "n", "tried", *[F.round(c, 6).alias(c) for c in ("tau", "intercept", "own", "slope", "below", "slope_below")])
+
+
 @query("H6_ardl_long_run")
 def _(spark, path):
     p = weekly(spark, path).withColumn("lv", F.log(F.col("volume").cast("double")))

@@ -8,6 +8,7 @@ from strandline.catalog.crosscorr import weekly
 from strandline.catalog.registry import query
 from strandline.functions.codes import CODE_ACTIONS
 from strandline.catalog.sqlparts import DAILY, WEEKLY, full, q, r, rets
+from strandline.frames import trailing
 from strandline.operators import align as al
 from strandline.operators import signals as sg
 from strandline.operators import window as win
@@ -240,6 +241,45 @@ def _(spark, path):
     return ev.select("event_id", state.alias("state"))
 
 
+def _cdf(z):
+    """The approximation that the column function uses."""
+    u = f"(abs({z}) / sqrt(2))"
+    t = f"(1 / (1 + 0.3275911 * {u}))"
+    half = f"0.5 * (1 - ((((1.061405429 * {t} - 1.453152027) * {t} + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t} * exp(-{u} * {u}))"
+    return f"case when {z} >= 0 then 0.5 + {half} else 0.5 - {half} end"
+
+
+def _given(p):
+    """Conditional entropy of a feature of belief p given the state's belief."""
+    parts = (f"({p} * now)", f"({p} * (1 - now))", f"({1 - p} * now)")
+    return "(" + " + ".join(f"case when {v} > 0 then {v} * log2({v} / now) else 0 end" for v in parts) + ")"
+
+
+WEIGHED = f"""
+k as (select series_id, ts, count(ret) over w as n, product(1 + ret) over w - 1 as mo, stddev_pop(ret) over w as sd from rets where ret is not null window w as (partition by series_id order by ts rows between 9 preceding and current row)),
+z as (select *, row_number() over (partition by series_id order by ts) as i, (sd - 0.14) / 0.04 as z1, (mo - 0.015) / 0.15 as z2 from k where n = 10),
+s as (select series_id, ts, i, case when z1 < -0.5 then 0 when z1 > 0.5 then 2 else 1 end as a, case when z2 < -0.5 then 0 when z2 > 0.5 then 2 else 1 end as b, {_cdf("z1")} as c1, {_cdf("z2")} as c2 from z),
+f as (
+select series_id, 0::bigint as i, [null, null, null, null, null, null, null, null, null]::double[] as bel, 0.5::double as w1, 0.5::double as w2, null::double as ev, null::double as now from s group by 1
+union all
+select series_id, i, bel, case when w1 + w2 > 0 then w1 / (w1 + w2) else 0.0 end, case when w1 + w2 > 0 then w2 / (w1 + w2) else 0.0 end, ev, now from (
+ select series_id, i, bel, greatest(0, 1 - {_given(0.4)} / h) as w1, greatest(0, 1 - {_given(0.2)} / h) as w2, ev, now from (
+  select *, -list_sum(list_transform(bel, lambda p: case when p > 0 then p * log2(p) else 0.0 end)) - case when i > 1 then 0.4 * log2(0.4) + 0.2 * log2(0.2) else 0.0 end as h from (
+   select series_id, i, ev, now, list_transform(range(1, 10), lambda j: case when j = spot then now else bel[j] end) as bel from (
+    select *, was * ev / (was * ev + (1 - was) * (1 - ev)) as now from (
+     select s.series_id, s.i, f.bel, 3 * a + b + 1 as spot, coalesce(f.bel[3 * a + b + 1], 0.5) as was, case when w1 + w2 > 0 then (w1 * c1 + w2 * c2) / (w1 + w2) else 0.5 end as ev
+     from f join s on s.series_id = f.series_id and s.i = f.i + 1)))))),
+o as (select s.ts, s.a, s.b, f.*, case when now > 0 and now < 1 then -(now * log2(now) + (1 - now) * log2(1 - now)) else 0 end as h from f join s using (series_id, i))"""
+
+
+@query("J20_relevance_weights", q(WEEKLY, rets("weekly"), WEIGHED.strip(), body=f"""
+select series_id, ts, a || '_' || b as state, {r("ev", "evidence")}, {r("now", "belief")}, {r("h", "entropy")}, {r("w1", "weight_deviation")}, {r("w2", "weight_momentum")}, case when round(h, 9) < 0.6 then case when now > 0.7 then 'BUY' else 'SELL' end else 'HOLD' end as signal from o""", recursive=True))
+def _(spark, path):
+    p = win.rolling(weekly(spark, path).filter("ret is not null"), "ret", 10, ["compound"]).withColumn("sd", F.when(F.col("compound").isNotNull(), F.stddev_pop("ret").over(trailing(10))))
+    features = {"momentum": (F.col("compound"), 0.015, 0.15), "deviation": (F.col("sd"), 0.14, 0.04)}
+    return sg.weighted_beliefs(p, features, priors={"deviation": 0.4, "momentum": 0.2}, entropy_limit=0.6)
+
+
 J24 = f"""
 x as (select a.series_id, a.ts, b.ret, min(b.ret) over g as lo, max(b.ret) over g as hi, count(b.ret) over g as k from rets a join rets b on a.series_id = b.series_id and b.rn between a.rn - 29 and a.rn window g as (partition by a.series_id, a.ts)),
 c as (select series_id, ts, least(floor((ret - lo) * 10 / (hi - lo)), 9) as bin, count(*) as n from x where k = 30 group by 1, 2, 3),

@@ -188,6 +188,15 @@ def _(spark, path):
     return sw.block_bootstrap(weekly(spark, path), (2, 4, 6), 14, 200)
 
 
+@query("K7_moving_blocks", q(WEEKLY, rets("weekly"), X, """
+z as (select series_id, count(*) as n from x group by 1),
+d as (select series_id, n, rep, b, ('0x' || substr(md5(series_id || '|' || rep || '|' || b || '|7'), 1, 8))::bigint % greatest(1, n - 14 + 1) as s from z, generate_series(1, 100) t(rep), lateral (select unnest(generate_series(0, ceil(n / 14.0)::bigint - 1)) as b)),
+e as (select series_id, n, rep, unnest(generate_series(s + 1, s + least(14, n - b * 14))) as i from d)""", body=f"""
+select series_id, rep::int as replicate, count(*) as n, {r("avg(ret)", "mean")}, {r("stddev_samp(ret)", "deviation")}, {r("product(1 + ret)", "wealth")} from e join x using (series_id, i) group by 1, 2"""))
+def _(spark, path):
+    return sw.moving_blocks(weekly(spark, path), 14, 100)
+
+
 @query("K8_blend_sweep", q(WEEKLY, kin_sql(), f"""
 m as (select series_id, ts, {full("avg(value)", "value", 30)} as mu, lead(value, 2) over {B} as y from weekly),
 l as (select kf.series_id, lam, y - ((1 - lam) * f + lam * mu) as e from kf join m using (series_id, ts), (values (0.0::double), (0.1::double), (0.25::double), (0.5::double), (1.0::double)) v(lam) where mu is not null and y is not null and f is not null),

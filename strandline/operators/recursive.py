@@ -7,6 +7,7 @@ values arrive as NaN or None and leave the state unchanged.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
@@ -23,6 +24,11 @@ def missing(x) -> bool:
     return x is None or x != x
 
 
+def surprise(p: float) -> float:
+    """The part of an entropy in bits that a probability adds."""
+    return -p * math.log2(p) if p > 0.0 else 0.0
+
+
 class Ewma:
     """s_t = a x_t + (1 - a) s_{t-1} with a = 2 / (span + 1), started at the first value."""
 
@@ -587,6 +593,46 @@ class BeliefReturns:
         return earned
 
 
+class WeightedBeliefs:
+    """Belief in each market state from evidence that weighs features by their relevance so far.
+
+    Evidence is the weighted mean of the features' probabilities, one half if no feature weighs.
+    Bayes' rule moves the belief in the row's state.  A feature then weighs by the share of the
+    joint entropy of all beliefs that its conditional entropy given the state leaves, in no case
+    less than nothing, and weights add up to one.  Features enter the joint entropy after the first
+    row.  With a belief of zero the conditional entropy has no value, and weights stay.
+    """
+
+    def __init__(self, features: Sequence[float], prior: float = 0.5):
+        self.features, self.prior = list(features), prior
+        self.weights = [1.0 / len(self.features)] * len(self.features)
+        self.beliefs: dict[str, float] = {}
+        self.joint, self.first = 0.0, True
+
+    def _conditional(self, p: float, state: float) -> float:
+        parts = (p * state, p * (1.0 - state), (1.0 - p) * state)
+        return sum(v * math.log2(v / state) for v in parts if v > 0.0)
+
+    def row(self, state, *probabilities):
+        if state is None or any(missing(p) for p in probabilities):
+            return None
+        total = sum(self.weights)
+        evidence = sum(w * p for w, p in zip(self.weights, probabilities)) / total if total > 0.0 else 0.5
+        was = self.beliefs.get(state, self.prior)
+        both = was * evidence
+        whole = both + (1.0 - was) * (1.0 - evidence)
+        now = both / whole if whole > 0.0 else was
+        self.joint += surprise(now) - (surprise(was) if state in self.beliefs else 0.0)
+        self.beliefs[state] = now
+        if self.joint > 0.0 and now > 0.0:
+            shares = [max(0.0, 1.0 - self._conditional(p, now) / self.joint) for p in self.features]
+            total = sum(shares)
+            self.weights = [s / total for s in shares] if total > 0.0 else shares
+        if self.first:
+            self.joint, self.first = self.joint + sum(surprise(p) for p in self.features), False
+        return (evidence, now, surprise(now) + surprise(1.0 - now), *self.weights)
+
+
 class RiskPosition:
     """Position from BUY / SELL / HOLD scaled by the covariance of entropy changes and wealth changes so far."""
 

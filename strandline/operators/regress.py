@@ -163,6 +163,70 @@ def threshold_search(df: DataFrame, y: str, own: str, x: str, quantiles: Sequenc
     return best.select(*keys, F.col("b.tau").alias("tau"), F.col("b.mse").alias("mse"), F.col("b.intercept").alias("intercept"), F.col("b.coef").alias("coef"), F.col("b.n").alias("n"))
 
 
+def threshold_scan(df: DataFrame, y: str, own: str, x: str, trim: float = 0.1, buckets: int = 512, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Regress y on own lag, x, I(x < tau) and their product, with tau any observed x between two quantiles.
+
+    Every value of x from the ``trim`` to the 1 - ``trim`` quantile is tried exactly.  Rows of one x
+    become one row of sums; running sums in order of x are the moments left of each candidate and
+    the key's totals less them those right of it, so a candidate costs one row, not a pass.  Each
+    side fits its own line; the coefficient of the own lag is what both sides share.  The smallest
+    tau wins ties.  Each key is cut into ``buckets`` ranges of x of similar size: windows stay inside a
+    range and start from the totals of the ranges before it.
+    """
+    from strandline.operators.align import bounded_broadcast
+    from strandline.operators.quantiles import cut_points, place
+
+    base = df.filter(F.col(y).isNotNull() & F.col(own).isNotNull() & F.col(x).isNotNull())
+    base = base.select(*keys, *[F.col(c).cast("double").alias(a) for c, a in ((y, "_y"), (own, "_o"), (x, "_x"))])
+    means = base.groupBy(*keys).agg(F.avg("_y").alias("_my"), F.avg("_o").alias("_mo"), F.avg("_x").alias("_mx"))
+    # moments about the key's means: differences of running sums keep their digits
+    d = {v: F.col(f"_{v}") - F.col(f"_m{v}") for v in "yox"}
+    names = ["n", "y", "o", "x", "xx", "xy", "xo", "yy", "oo", "yo"]
+    value = lambda name: F.lit(1.0) if name == "n" else d[name] if len(name) == 1 else d[name[0]] * d[name[1]]
+    mids = ["_my", "_mo", "_mx"]
+    points = base.join(bounded_broadcast(means), list(keys)).groupBy(*keys, *mids, "_x").agg(*[F.sum(value(c)).alias(f"_s_{c}") for c in names])
+    totals = points.groupBy(*keys).agg(cut_points("_x", buckets).alias("_s"), *[F.sum(f"_s_{c}").alias(f"_t_{c}") for c in names])
+    placed = place(points, F.col("_x"), totals, keys, buckets, "_part").drop("_s")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(*keys, "_part").agg(*[F.sum(f"_s_{c}").alias(f"_b_{c}") for c in names])
+    parts = parts.select(*keys, "_part", *[F.coalesce(F.sum(f"_b_{c}").over(before), F.lit(0.0)).alias(f"_b_{c}") for c in names])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(parts.hint("shuffle_hash"), [*keys, "_part"])
+    ranked = ranked.select("*", *[(F.col(f"_b_{c}") + F.sum(f"_s_{c}").over(inside)).alias(f"_c_{c}") for c in names])
+    sides = ranked.select(
+        *keys, F.col("_x").alias("tau"), *mids, F.col("_t_n").alias("_n"), F.col("_c_n").alias("_upto"),
+        *[(F.col(f"_c_{c}") - F.col(f"_s_{c}")).alias(f"_l_{c}") for c in names], *[(F.col(f"_t_{c}") - F.col(f"_c_{c}") + F.col(f"_s_{c}")).alias(f"_r_{c}") for c in names],
+    )
+    # between the quantiles, by rank: some row at or above the lower one, some at or below the upper one
+    low, high = F.ceil(trim * (F.col("_n") - 1) - 1e-9), F.floor((1.0 - trim) * (F.col("_n") - 1) + 1e-9)
+    sides = sides.filter((F.col("_upto") - 1 >= low) & (F.col("_l_n") <= high) & (F.col("_l_n") > 0))
+
+    def about(side: str, a: str, b: str) -> Column:
+        """Centred sum of products of one side."""
+        return F.col(f"_{side}_{a}{b}") - F.col(f"_{side}_{a}") * F.col(f"_{side}_{b}") / F.col(f"_{side}_n")
+
+    for side in "lr":
+        sides = sides.withColumns({f"_{side}{a}{b}": about(side, a, b) for a, b in ("xx", "xy", "xo", "yy", "oo", "yo")})
+    flat = lambda side: F.col(f"_{side}xx") > 1e-12 * F.col(f"_{side}_xx")
+    sides = sides.filter(flat("l") & flat("r"))
+    rest = lambda a, b: sum((F.col(f"_{s}{a}{b}") - F.col(f"_{s}x{a}") * F.col(f"_{s}x{b}") / F.col(f"_{s}xx") for s in "lr"), F.lit(0.0))
+    fits = sides.withColumn("_yy", rest("y", "y")).withColumn("_oo", rest("o", "o")).withColumn("_yo", rest("y", "o"))
+    fits = fits.withColumn("_own", div(F.col("_yo"), F.col("_oo"))).withColumn("_rss", F.col("_yy") - F.col("_own") * F.col("_yo")).filter(F.col("_own").isNotNull() & (F.col("_n") > 5))
+    slope, level = {}, {}
+    for s in "lr":
+        slope[s] = (F.col(f"_{s}xy") - F.col("_own") * F.col(f"_{s}xo")) / F.col(f"_{s}xx")
+        centre = lambda v: F.col(f"_m{v}") + F.col(f"_{s}_{v}") / F.col(f"_{s}_n")  # noqa: B023, E731
+        level[s] = centre("y") - slope[s] * centre("x") - F.col("_own") * centre("o")
+    fits = fits.select(
+        *keys, "tau", "_rss", F.col("_n").cast("long").alias("n"), level["r"].alias("intercept"), F.col("_own").alias("own"), slope["r"].alias("slope"),
+        (level["l"] - level["r"]).alias("below"), (slope["l"] - slope["r"]).alias("slope_below"),
+    )
+    fields = ["n", "intercept", "own", "slope", "below", "slope_below"]
+    size = F.greatest(F.lit(0.0), F.col("_rss"))
+    best = fits.groupBy(*keys).agg(F.min(F.struct(size.alias("rss"), "tau", *fields)).alias("b"), F.count("*").alias("tried"))
+    return best.select(*keys, F.col("b.tau").alias("tau"), (F.col("b.rss") / (F.col("b.n") - 5)).alias("mse"), *[F.col(f"b.{f}").alias(f) for f in fields], "tried")
+
+
 def sequential_elimination(df: DataFrame, y: str, xs: Sequence[str], cutoffs: Sequence[float], keys: Sequence[str] = KEYS, always: Sequence[str] = ()) -> DataFrame:
     """Refit after dropping regressors whose |t| lies below each successive cutoff.
 

@@ -324,22 +324,52 @@ def belief_states(df: DataFrame, n: int, gamma: float = 1.0, limits: tuple[float
     return base.withColumn("signal", signal).select(*df.columns, "state", "evidence", "belief", "entropy", "signal")
 
 
-def proposition_evidence(features: dict[str, tuple[Column, float, float]], weights: dict[str, float] | None = None, k: float = 1.0) -> tuple[Column, Column]:
-    """State label (0/1/2 per feature around mean +- k sd) and weighted normal-probability evidence.
-
-    ``features`` maps a name to (column, mean, sd).
-    """
-    weights = weights or {f: 1.0 / len(features) for f in features}
-    digits, total = [], F.lit(0.0)
+def _propositions(features: dict[str, tuple[Column, float, float]], k: float) -> tuple[Column, dict[str, Column]]:
+    """State label over the features in order of their names, and each feature's normal probability."""
+    digits, probabilities = [], {}
     for name in sorted(features):
         c, mu, sd = features[name]
         if sd == 0:
             digits.append(F.when(c < mu, "0").otherwise("2"))
-            total = total + weights[name] * 0.5
+            probabilities[name] = F.lit(0.5)
         else:
             digits.append(F.when(c < mu - k * sd, "0").when(c > mu + k * sd, "2").otherwise("1"))
-            total = total + weights[name] * norm_cdf((c - mu) / sd)
-    return F.concat_ws("_", *digits), total / sum(weights.values())
+            probabilities[name] = norm_cdf((c - mu) / sd)
+    return F.concat_ws("_", *digits), probabilities
+
+
+def proposition_evidence(features: dict[str, tuple[Column, float, float]], weights: dict[str, float] | None = None, k: float = 1.0) -> tuple[Column, Column]:
+    """State label (0/1/2 per feature around mean +- k sd) and weighted normal-probability evidence.
+
+    ``features`` maps a name to (column, mean, sd).
+    """
+    weights = weights or {f: 1.0 / len(features) for f in features}
+    state, probabilities = _propositions(features, k)
+    total = sum((weights[name] * p for name, p in probabilities.items()), F.lit(0.0))
+    return state, total / sum(weights.values())
+
+
+def weighted_beliefs(df: DataFrame, features: dict[str, tuple[Column, float, float]], priors: dict[str, float] | None = None, prior: float = 0.5, k: float = 0.5, entropy_limit: float = 0.2, trade_limit: float = 0.7, keys=KEYS) -> DataFrame:
+    """Beliefs by market state whose evidence weighs features by their relevance, as an ordered fold.
+
+    Adds state, evidence, belief, entropy, signal and ``weight_<feature>``, the weights after the
+    row.  ``priors`` are the beliefs in the features themselves, by default ``prior``; rows without
+    a value of every feature give no row and teach nothing.
+    """
+    from strandline.operators.fold import ordered_fold
+    from strandline.operators.recursive import WeightedBeliefs
+
+    names = sorted(features)
+    state, probabilities = _propositions(features, k)
+    known = F.lit(True)
+    for name in names:
+        known = known & features[name][0].isNotNull()
+    rows = df.filter(known).select(*df.columns, state.alias("state"), *[p.alias(f"_p_{name}") for name, p in probabilities.items()])
+    own = [float((priors or {}).get(name, prior)) for name in names]
+    outputs = ", ".join(f"{c} double" for c in ["evidence", "belief", "entropy", *[f"weight_{name}" for name in names]])
+    made = ordered_fold(rows, lambda key: WeightedBeliefs(own, prior), ["state", *[f"_p_{name}" for name in names]], outputs, keys, keep=["state"])
+    signal = F.when(F.col("entropy") < entropy_limit, F.when(F.col("belief") > trade_limit, "BUY").otherwise("SELL")).otherwise("HOLD")
+    return made.withColumn("signal", signal)
 
 
 def anomaly_and_breaker(df: DataFrame, n: int, bins: int = 10, z: float = 3.0, entropy_limit: float = 1.5, drawdown_limit: float = 0.15, kurtosis_limit: float = 3.0, ret: str = "ret", keys=KEYS) -> DataFrame:

@@ -1,7 +1,8 @@
 """Periodograms, averaged segments, coherence and frequency-domain filters.
 
-Transforms are sums over (row, frequency): frequencies are exploded next to a
-partial aggregate, or summed inside one window's array.
+The transform of a series is factored: two aggregates, each over a part of the row
+number.  Short segments explode their frequencies next to a partial aggregate, windows
+sum them inside one array.
 """
 
 from __future__ import annotations
@@ -18,18 +19,82 @@ from strandline.functions.scalar import div, literal_array, weighted_sum
 TAU = 2.0 * math.pi
 
 
-def periodogram(df: DataFrame, col: str, keys=KEYS) -> DataFrame:
-    """|sum x e^{-2 pi i k t / n}|^2 / n of the demeaned series for k = 0 .. n/2."""
+def _transform(rows: DataFrame, keys: Sequence[str], sign: int, last: Column) -> DataFrame:
+    """Complex sums of (_re, _im) times e^{sign 2 pi i k _t / (_a _b)} for k = 0 .. last, in two aggregates.
+
+    With _t = _b u + v and k = p + _a q, the sum over u knows only p and the sum over v needs only
+    its _a results: each row meets _a frequencies, each result of the first aggregate _b more.
+    """
+    sizes = ["_a", "_b"]
+    n = F.col("_a") * F.col("_b")
+
+    def turned(step: Column, period: Column) -> tuple[Column, Column]:
+        # steps reduce modulo the period as integers first: angles stay small and exact
+        angle = sign * TAU * (step % period) / period
+        c, s = F.cos(angle), F.sin(angle)
+        return F.sum(F.col("_re") * c - F.col("_im") * s).alias("_re"), F.sum(F.col("_re") * s + F.col("_im") * c).alias("_im")
+
+    u, v = F.floor(F.col("_t") / F.col("_b")), F.col("_t") % F.col("_b")
+    first = rows.select(*keys, *sizes, u.alias("_u"), v.alias("_v"), "_re", "_im", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_a") - 1)).alias("_p"))
+    inner = first.groupBy(*keys, *sizes, "_v", "_p").agg(*turned(F.col("_p") * F.col("_u"), F.col("_a")))
+    tops = F.floor((last - F.col("_p")) / F.col("_a"))
+    second = inner.filter(F.col("_p") <= last).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), tops)))
+    second = second.withColumn("_k", F.col("_p") + F.col("_a") * F.col("_q"))
+    return second.groupBy(*keys, *sizes, "_k").agg(*turned(F.col("_v") * F.col("_k"), n))
+
+
+def _chirped(base: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The transform at a length without a good factor: a convolution with a chirp at a square length.
+
+    k t = (k^2 + t^2 - (k - t)^2) / 2 turns the sum into a convolution, and a length of s^2 >= 2 n - 1
+    splits into s times s.  The turn of each result is left out: it does not change its power.
+    """
+    side = F.ceil(F.sqrt(2 * F.col("_n") - 1))
+
+    def turn(t: Column, sign: int) -> tuple[Column, Column]:
+        angle = sign * (TAU / 2.0) * ((t * t) % (2 * F.col("_n"))) / F.col("_n")
+        return F.cos(angle), F.sin(angle)
+
+    padded = base.withColumn("_a", side).withColumn("_b", side)
+    c, s = turn(F.col("_t"), -1)
+    end = F.col("_a") * F.col("_b") - 1
+    x = _transform(padded.select(*keys, "_n", "_a", "_b", "_t", (F.col("_x") * c).alias("_re"), (F.col("_x") * s).alias("_im")), [*keys, "_n"], -1, end)
+    lengths = padded.select("_n", "_a", "_b").distinct().withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), end)))
+    back = F.least(F.col("_t"), F.col("_a") * F.col("_b") - F.col("_t"))
+    c, s = turn(back, 1)
+    inside = back < F.col("_n")
+    chirp = lengths.select("_n", "_a", "_b", "_t", F.when(inside, c).otherwise(0.0).alias("_re"), F.when(inside, s).otherwise(0.0).alias("_im"))
+    h = _transform(chirp, ["_n"], -1, end).select("_n", "_k", F.col("_re").alias("_hr"), F.col("_im").alias("_hi"))
+    both = x.join(h, ["_n", "_k"])
+    m = F.col("_a") * F.col("_b")
+    product = both.select(
+        *keys, "_n", "_a", "_b", F.col("_k").alias("_t"),
+        ((F.col("_re") * F.col("_hr") - F.col("_im") * F.col("_hi")) / m).alias("_re"), ((F.col("_re") * F.col("_hi") + F.col("_im") * F.col("_hr")) / m).alias("_im"),
+    )
+    return _transform(product, [*keys, "_n"], 1, F.floor(F.col("_n") / 2))
+
+
+def periodogram(df: DataFrame, col: str, keys=KEYS, chirp_from: float = 16.0) -> DataFrame:
+    """|sum x e^{-2 pi i k t / n}|^2 / n of the demeaned series for k = 0 .. n/2.
+
+    A length n = a b with a the largest factor up to its root goes through two aggregates, in which a
+    row meets about a + b / 2 frequencies.  Where that exceeds ``chirp_from`` roots of n (n prime, or
+    nearly so), the transform becomes a convolution at a square length of about 2 n.
+    """
     x = F.col(col)
     every = whole(keys)
     base = df.filter(x.isNotNull()).select(
-        *keys, (F.row_number().over(ordered(keys)) - 1).alias("_t"), F.count("*").over(every).alias("_n"), (x - F.avg(x).over(every)).alias("_x")
+        *keys, (F.row_number().over(ordered(keys)) - 1).cast("long").alias("_t"), F.count("*").over(every).alias("_n"), (x - F.avg(x).over(every)).alias("_x")
     )
-    rows = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / 2).cast("int"))))
-    # reduce k t modulo n as integers first: angles stay small and exact
-    angle = TAU * ((F.col("k") * F.col("_t")) % F.col("_n")) / F.col("_n")
-    s = rows.groupBy(*keys, "k").agg(F.sum(F.col("_x") * F.cos(angle)).alias("_re"), F.sum(F.col("_x") * F.sin(angle)).alias("_im"), F.max("_n").alias("n"))
-    return s.select(*keys, "k", (F.col("k") / F.col("n")).alias("frequency"), ((F.pow("_re", 2) + F.pow("_im", 2)) / F.col("n")).alias("power"))
+    n, root = F.col("_n"), F.sqrt("_n")
+    factor = F.array_max(F.filter(F.sequence(F.lit(1).cast("long"), F.floor(root)), lambda d: n % d == 0))
+    planned = base.withColumn("_a", factor).withColumn("_b", F.floor(n / F.col("_a")))
+    planned = planned.withColumn("_chirp", F.col("_a") + F.col("_b") / 2 > chirp_from * root)
+    direct = planned.filter(~F.col("_chirp")).select(*keys, "_n", "_a", "_b", "_t", F.col("_x").alias("_re"), F.lit(0.0).alias("_im"))
+    half = F.floor(n / 2)
+    sums = [_transform(direct, [*keys, "_n"], -1, half), _chirped(planned.filter("_chirp").select(*keys, "_n", "_t", "_x"), keys)]
+    s = sums[0].unionByName(sums[1])
+    return s.select(*keys, F.col("_k").alias("k"), (F.col("_k") / n).alias("frequency"), ((F.pow("_re", 2) + F.pow("_im", 2)) / n).alias("power"))
 
 
 def _segment_spectra(df: DataFrame, cols: Sequence[str], length: int, keys: Sequence[str]) -> DataFrame:

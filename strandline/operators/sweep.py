@@ -211,6 +211,40 @@ def block_bootstrap(df: DataFrame, windows: Sequence[int], length: int, replicat
     )
 
 
+def moving_blocks(df: DataFrame, length: int, replicates: int, ret: str = "ret", seed: int = 7, keys=KEYS) -> DataFrame:
+    """Mean, deviation and wealth of resamples of whole length, made of random blocks of consecutive rows.
+
+    A replicate of n returns is ceil(n / length) blocks, the last one cut to the rows that are left.
+    Its rows are never made: running totals of the returns, their squares and log growth are joined
+    at both ends of each block, so a replicate costs two rows a block.  Starts come from an md5 of
+    (keys, replicate, block, seed) and repeat after lost tasks.  A series shorter than a block gives
+    itself.  A return of -1 ends with nothing; below it growth keeps its sign.
+    """
+    from strandline.operators.segment import number_rows, running
+
+    r = F.col(ret)
+    base = number_rows(df.filter(r.isNotNull()).select(*keys, "ts", r.cast("double").alias("_r")), keys)
+    growth = 1.0 + F.col("_r")
+    totals = {
+        "_sum": F.col("_r"), "_squares": F.col("_r") * F.col("_r"), "_log": F.when(growth != 0, F.log(F.abs(growth))).otherwise(0.0),
+        "_zero": F.when(growth == 0, 1.0).otherwise(0.0), "_minus": F.when(growth < 0, 1.0).otherwise(0.0),
+    }
+    path = running(base, {k: (v, "sum") for k, v in totals.items()}, keys=keys).select(*keys, "rn", *totals)
+    size = base.groupBy(*keys).agg(F.count("*").alias("_n"))
+    draws = size.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).repartition(*keys, "replicate")
+    draws = draws.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / length) - 1)))
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("replicate").cast("string"), F.col("_block").cast("string"), F.lit(str(seed)))
+    start = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1).cast("long"), F.col("_n") - length + 1)
+    draws = draws.withColumn("_from", start).withColumn("_to", F.col("_from") + F.least(F.lit(length).cast("long"), F.col("_n") - F.col("_block") * length))
+    ends = F.array(F.struct(F.col("_from").alias("rn"), F.lit(-1.0).alias("sign")), F.struct(F.col("_to").alias("rn"), F.lit(1.0).alias("sign")))
+    marks = draws.select(*keys, "replicate", "_n", F.explode(ends).alias("_e")).select(*keys, "replicate", "_n", F.col("_e.rn").cast("long").alias("rn"), F.col("_e.sign").alias("_sign")).filter("rn > 0")
+    s = marks.join(path, [*keys, "rn"]).groupBy(*keys, "replicate").agg(F.max("_n").alias("n"), *[F.sum(F.col("_sign") * F.col(k)).alias(k) for k in totals])
+    mean = F.col("_sum") / F.col("n")
+    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") - F.col("n") * mean * mean) / (F.col("n") - 1)))
+    wealth = F.when(F.round("_zero") > 0, 0.0).otherwise(F.exp("_log") * F.when(F.round("_minus") % 2 == 1, -1.0).otherwise(1.0))
+    return s.select(*keys, "replicate", "n", mean.alias("mean"), spread.alias("deviation"), wealth.alias("wealth"))
+
+
 def blend_sweep(df: DataFrame, col: str, h: int, lambdas: Sequence[float], mean_window: int = 30, keys=KEYS) -> DataFrame:
     """MAE and RMSE of the mean-reverting blend for every lambda; the path is computed once."""
     from strandline.frames import explode_rows

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.frames import explode_rows
-from strandline.operators import forecast, ml, recursive as rc, regress as rg, signals as sg, sweep, window as win
+from strandline.operators import forecast, ml, recursive as rc, regress as rg, signals as sg, spectral, sweep, window as win
 from strandline.operators.quantiles import exact_quantiles
 from strandline.sources import panels
 from tests.conftest import column
@@ -339,3 +339,74 @@ def test_elastic_net_without_penalty_is_least_squares(rets):
     out = ml.elastic_net(p, "ret", names, F.col("ts") < F.lit(cut)).orderBy("ts").collect()
     b = ols(np.array(RET[:69]), [lagged(RET, 1)[:69], lagged(RET, 2)[:69]])[0]
     assert out[0]["forecast"] == pytest.approx(b[0] + b[1] * RET[68] + b[2] * RET[67], abs=1e-6)
+
+
+@pytest.mark.parametrize("chirp_from", [16.0, 0.0])
+def test_periodogram_at_prime_and_composite_lengths(spark, chirp_from):
+    series = {str(n): RNG.normal(size=n) + 3 for n in (1, 2, 12, 97, 120)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "series_id string, ts int, value double")
+    got = {(g.series_id, g.k): g for g in spectral.periodogram(df, "value", chirp_from=chirp_from).collect()}
+    assert sorted(got) == sorted((k, j) for k, x in series.items() for j in range(len(x) // 2 + 1))
+    for name, x in series.items():
+        n = len(x)
+        for j in range(n // 2 + 1):
+            want = abs(sum((v - x.mean()) * np.exp(-2j * np.pi * j * t / n) for t, v in enumerate(x))) ** 2 / n
+            assert got[name, j].power == pytest.approx(want, abs=1e-9) and got[name, j].frequency == pytest.approx(j / n)
+
+
+def test_threshold_scan_tries_every_observed_value(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for key, n in (("a", 90), ("b", 60), ("c", 4)):
+        x, o = np.round(r.normal(size=n), 1), r.normal(size=n)  # ties in x
+        y = 0.3 * o + np.where(x < 0.25, 1.0 + 0.5 * x, -0.5 * x) + 0.2 * r.normal(size=n)
+        rows += [(key, i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(y, o, x))]
+    df = spark.createDataFrame([*rows, ("a", 999, None, 1.0, 2.0)], "series_id string, ts int, y double, o double, x double")
+    got = {g.series_id: g for g in rg.threshold_scan(df, "y", "o", "x", buckets=8).collect()}
+    assert sorted(got) == ["a", "b"]
+    for key in got:
+        y, o, x = (np.array([row[i] for row in rows if row[0] == key]) for i in (2, 3, 4))
+        best = None
+        for tau in np.unique(x):
+            if np.quantile(x, 0.1) <= tau <= np.quantile(x, 0.9):
+                below = (x < tau).astype(float)
+                b, rss, n, _, _ = ols(y, [o, x, below, below * x])
+                if best is None or rss < best[0] - 1e-12:
+                    best = (rss, tau, b)
+        g, (rss, tau, b) = got[key], best
+        assert g.tau == tau and g.mse == pytest.approx(rss / (len(y) - 5), rel=1e-9)
+        assert [g.intercept, g.own, g.slope, g.below, g.slope_below] == pytest.approx(b.tolist(), rel=1e-7, abs=1e-9)
+
+
+def test_moving_blocks_against_rows(spark):
+    import hashlib
+
+    series = {"a": RNG.normal(0, 0.1, 25), "short": np.array([0.1, -0.2, 0.05]), "broke": np.array([0.1, -1.0, 0.2, -1.5, 0.3, 0.1, 0.2])}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)] + [("a", 99, None)], "series_id string, ts int, ret double")
+    got = {(g.series_id, g.replicate): g for g in sweep.moving_blocks(df, 4, 6).collect()}
+    assert len(got) == 18
+    for (key, rep), g in got.items():
+        x, sample = series[key], []
+        for block in range(-(-len(x) // 4)):
+            start = int(hashlib.md5(f"{key}|{rep}|{block}|7".encode()).hexdigest()[:8], 16) % max(1, len(x) - 3)
+            sample += x[start : start + 4].tolist()
+        sample = np.array(sample[: len(x)])
+        assert g.n == len(x) and g.mean == pytest.approx(sample.mean()) and g.deviation == pytest.approx(sample.std(ddof=1))
+        assert g.wealth == pytest.approx(np.prod(1 + sample), abs=1e-12)
+
+
+def test_relevance_weights_follow_conditional_entropy():
+    step = rc.WeightedBeliefs([0.4, 0.2])
+    evidence, belief, entropy, *weights = step.row("1_1", 0.8, 0.6)
+    assert evidence == pytest.approx(0.7) and belief == pytest.approx(0.7)
+    h = -0.7 * math.log2(0.7)  # features are not in the joint entropy of the first row
+
+    def given(p, s):
+        return sum(v * math.log2(v / s) for v in (p * s, p * (1 - s), (1 - p) * s))
+
+    shares = [max(0.0, (h - given(p, 0.7)) / h) for p in (0.4, 0.2)]
+    assert weights == pytest.approx([s / sum(shares) for s in shares])
+    second = step.row("0_1", 0.1, 0.3)
+    assert second[0] == pytest.approx(0.1 * weights[0] + 0.3 * weights[1]) and step.row(None, 0.1, 0.2) is None
+    assert sum(step.weights) == pytest.approx(1.0) and set(step.beliefs) == {"1_1", "0_1"}
+    assert rc.WeightedBeliefs([0.5, 0.5]).row("s", 1.0, 1.0)[1] == 1.0
