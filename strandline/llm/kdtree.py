@@ -11,7 +11,9 @@ the others, and inside a shard it rises as leaves are read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import partial
 
 import numpy as np
@@ -29,16 +31,19 @@ LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Valid vectors as packed doubles floor(256 x), and whether they are small enough for exact doubles."""
+    """Valid vectors as packed doubles, and whether they are small enough for exact doubles.
+
+    Small ones hold floor(256 x), the others x itself: 256 x may leave the range of doubles.
+    """
     for part in parts:
         rows = []
         for i, v in zip(part.column("vec_id").to_pylist(), part.column("embedding").to_pylist(), strict=True):
             if v is None or any(c is None for c in v):
                 continue
             x = np.array(v, np.float64)
-            if np.isfinite(x).all() and np.isfinite(x * 256).all():
-                x = np.floor(x * 256)
-                rows.append((i, x.tobytes(), bool((np.abs(x) < EXACT).all())))
+            if np.isfinite(x).all():
+                small = bool((np.abs(x) < EXACT / 256).all())
+                rows.append((i, (np.floor(x * 256) if small else x).tobytes(), small))
         i, x, small = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.record_batch([pa.array(i, pa.int64()), pa.array(x, pa.binary()), pa.array(small, pa.bool_())], names=["vec_id", "vector", "small"])
 
@@ -83,13 +88,14 @@ class Tree:
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
 
-def search(tree: Tree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, top: int) -> tuple[list, int]:
+def search(tree: Tree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, top: int, copies: np.ndarray | None = None) -> tuple[list, int]:
     """((query number, score, id) of the best rows at or above each query's floor, leaves read).
 
+    ``copies`` counts the equal rows that each vector stands for; each of them is a find of its own.
     Ties at the kth score go to the smaller id, so nodes whose bound equals it are read too.
     """
     out, read = [], 0
-    own = ids[tree.order]
+    own, many = ids[tree.order], np.ones(len(ids), int) if copies is None else copies[tree.order]
     bounds = tree.bounds(q)
     for k in range(len(q)):
         best: list[tuple[float, int]] = []  # smallest first: (score, -id)
@@ -107,42 +113,62 @@ def search(tree: Tree, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor:
             score = tree.rows[a:b] @ q[k]
             for r in np.flatnonzero((score >= kth) & (own[a:b] != q_ids[k])):
                 entry = (float(score[r]), -int(own[a + r]))
-                if entry in best:
-                    continue  # another vector of the same id
-                if len(best) < top:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
+                for _ in range(min(top, int(many[a + r]))):
+                    if len(best) < top:
+                        heapq.heappush(best, entry)
+                    elif entry > best[0]:
+                        heapq.heapreplace(best, entry)
                 if len(best) == top:
                     kth = max(kth, best[0][0])
         out += [(k, int(s), -i) for s, i in best]
     return out, read
 
 
-def _slow(ids: list[int], raw: list[bytes], q: bytes, q_id: int, top: int) -> list[tuple[int, int]]:
+def _integers(raw: bytes, small: bool) -> list[int]:
+    """The components floor(256 x) as integers of any size."""
+    return [int(c) if small else math.floor(256 * Fraction(c)) for c in np.frombuffer(raw).tolist()]
+
+
+def _slow(ids: list[int], copies: list[int], vectors: list[list[int]], q: list[int], q_id: int, top: int) -> list[tuple[int, int]]:
     """Scores too large for exact doubles, in Python integers; beyond 64 bits they stop at the border."""
-    x = [int(c) for c in np.frombuffer(q)]
-    scores = {(min(MOST, max(LEAST, sum(a * int(b) for a, b in zip(x, np.frombuffer(r), strict=False)))), -i) for i, r in zip(ids, raw, strict=True) if i != q_id}
-    return [(s, -i) for s, i in heapq.nlargest(top, scores)]
+    scores = ((min(MOST, max(LEAST, sum(a * b for a, b in zip(q, v, strict=False)))), -i, n) for i, n, v in zip(ids, copies, vectors, strict=True) if i != q_id)
+    found = ((s, i) for s, i, n in scores for _ in range(min(top, n)))
+    return [(s, -i) for s, i in heapq.nlargest(top, found)]
 
 
 RESULT = "query_id long, score long, vec_id long"
 
 
 def _search(shard: pa.Table, queries: pa.Table, top: int) -> pa.Table:
-    found: list[tuple[int, int, int]] = []
+    """The best rows of one shard for one block of queries.
+
+    Small vectors go through the tree.  Only pairs with a large vector on either side are scored
+    in integers: large queries against the whole shard, small ones against its large rows.
+    """
+    found: list[tuple[int, int, int]] = []  # number of the query, score, id
+    q_ids = queries.column("query_id").to_numpy()
     if len(shard) and len(queries):
-        ids, raw, small = shard.column("vec_id").to_numpy(), shard.column("vector").to_pylist(), shard.column("small").to_numpy(zero_copy_only=False)
-        q_ids, q_raw, q_small = queries.column("query_id").to_numpy(), queries.column("asked").to_pylist(), queries.column("light").to_numpy(zero_copy_only=False)
-        floor = queries.column("floor").to_numpy()
-        if small.all() and q_small.all():
-            dim = max(len(r) // 8 for r in [*raw, *q_raw])
-            got, _ = search(Tree(_matrix(raw, dim)), ids, _matrix(q_raw, dim), q_ids, floor, top)
-            found = [(int(q_ids[k]), s, i) for k, s, i in got]
-        else:
-            found = [(int(k), s, i) for k, q in zip(q_ids, q_raw, strict=True) for s, i in _slow(ids.tolist(), raw, q, int(k), top)]
-    q, s, i = zip(*found, strict=True) if found else ((), (), ())
-    return pa.table({"query_id": pa.array(q, pa.int64()), "score": pa.array(s, pa.int64()), "vec_id": pa.array(i, pa.int64())})
+        ids, raw, copies = shard.column("vec_id").to_numpy(), shard.column("vector").to_pylist(), shard.column("copies").to_numpy()
+        small, light = (t.column(c).to_numpy(zero_copy_only=False) for t, c in ((shard, "small"), (queries, "light")))
+        q_raw, floor, asks = queries.column("asked").to_pylist(), queries.column("floor").to_numpy(), queries.column("asks").to_numpy()
+        at, asked = np.flatnonzero(small), np.flatnonzero(light)
+        if len(at) and len(asked):
+            rows, points = [raw[i] for i in at], [q_raw[k] for k in asked]
+            dim = max(len(r) // 8 for r in [*rows, *points])
+            got, _ = search(Tree(_matrix(rows, dim)), ids[at], _matrix(points, dim), q_ids[asked], floor[asked], top, copies[at])
+            found = [(int(asked[k]), s, i) for k, s, i in got]
+        large = np.flatnonzero(~small)
+        every = np.arange(len(ids)) if len(asked) < len(q_ids) else large
+        whole = {i: _integers(raw[i], small[i]) for i in every.tolist()}
+        for k in range(len(q_ids)):
+            over = large if light[k] else every
+            if len(over):
+                q = _integers(q_raw[k], light[k])
+                found += [(k, s, i) for s, i in _slow(ids[over].tolist(), copies[over].tolist(), [whole[i] for i in over.tolist()], q, int(q_ids[k]), top)]
+        # each of a query's equal rows asks for itself
+        found = [f for f in found for _ in range(min(top, int(asks[f[0]])))]
+    k, s, i = zip(*found, strict=True) if found else ((), (), ())
+    return pa.table({"query_id": pa.array([int(q_ids[j]) for j in k], pa.int64()), "score": pa.array(s, pa.int64()), "vec_id": pa.array(i, pa.int64())})
 
 
 def top_k(embeddings: DataFrame, top: int = TOP, every: int = 50) -> DataFrame:
@@ -150,19 +176,21 @@ def top_k(embeddings: DataFrame, top: int = TOP, every: int = 50) -> DataFrame:
 
     Score: inner product of the integer vectors; ties to the smaller vec_id; all candidates, if
     fewer. A query's own vec_id is no candidate. Vectors that are null or hold null or
-    non-finite components, and rows without vec_id, take no part; equal rows count once, and a
-    vec_id with several vectors competes and asks with each of them (its rows are ranked
-    together). Shorter vectors are filled with zeros. An empty table gives no rows.
+    non-finite components, and rows without vec_id, take no part. Every other row is a candidate
+    with a rank of its own, equal rows too: they are searched once, with their number. Where rows
+    share a query's vec_id, each of them asks and all their finds are ranked together. Shorter
+    vectors are filled with zeros, scores stop at the borders of 64 bits. An empty table gives no rows.
 
     Rows are dealt to shards by hash of vec_id and queries to blocks, both in proportion to the
     table; each (shard, block) pair is one task's group.
     """
     d = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
-    rows = written(d.mapInArrow(_whole, "vec_id long, vector binary, small boolean").distinct(), "integers")
+    whole = d.mapInArrow(_whole, "vec_id long, vector binary, small boolean")
+    rows = written(whole.groupBy("vec_id", "vector", "small").agg(F.count("*").alias("copies")), "integers")
     n, asked = rows.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // QUERIES))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), F.col("small").alias("light"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), F.col("small").alias("light"), F.col("copies").alias("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(asked: DataFrame, shard: F.Column) -> DataFrame:
         """Each query in the shards that ``shard`` lists."""
@@ -180,5 +208,5 @@ def top_k(embeddings: DataFrame, top: int = TOP, every: int = 50) -> DataFrame:
     kth = first.where(F.col("rank") == top).select("query_id", F.col("score").cast("double").alias("kth"))
     rest = queries.join(kth, "query_id", "left").withColumn("floor", F.coalesce("kth", F.lit(least))).drop("kth")
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("block") % shards)
-    found = first.select("query_id", "score", "vec_id").union(ask(rest, others)).distinct()
+    found = first.select("query_id", "score", "vec_id").union(ask(rest, others))
     return ranked(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -9,13 +10,10 @@ from tests.conftest import SF
 
 
 def brute(rows, top=5, every=50):
-    good = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v):
-            good.setdefault((i, tuple(v)), [math.floor(256 * c) for c in v])
+    good = [(i, [math.floor(256 * Fraction(c)) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
     out = []
     for q in sorted({i for i, _ in good if i % every == 0}):
-        found = {(-min((1 << 63) - 1, max(-(1 << 63), sum(a * b for a, b in zip(x, y)))), j) for (i, _), x in good.items() if i == q for (j, _), y in good.items() if j != q}
+        found = [(-min((1 << 63) - 1, max(-(1 << 63), sum(a * b for a, b in zip(x, y)))), j) for i, x in good if i == q for j, y in good if j != q]
         out += [(q, k + 1, j, -s) for k, (s, j) in enumerate(sorted(found)[:top])]
     return out
 
@@ -43,11 +41,25 @@ def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (50, [1.0]), (100, [nan, 1.0]), (150, None), (200, []), (1, [inf]), (2, [None, 1.0]), (3, [0.5, 0.5, 9.0]), (3, [0.5, 0.5, 9.0]), (4, [2.0, 1.0]), (0, [5.0, -1.0]), (None, [1.0, 1.0]), (250, [1.0, 1.0])]
     assert result(kdtree.top_k(table(spark, rows))) == brute(rows)
-    big = [(0, [1e9, -1e9]), (1, [1e9, 1.0]), (2, [1e30, 0.0]), (3, [0.001, 0.5]), (50, [1.0, 1.0])]
+    big = [(0, [1e9, -1e9]), (1, [1e9, 1.0]), (2, [1e30, 0.0]), (3, [0.001, 0.5]), (50, [1.0, 1.0]), (4, [1e308, 1.0]), (100, [-1e308, 0.5])]
     assert result(kdtree.top_k(table(spark, big))) == brute(big)
     assert kdtree.top_k(table(spark, [])).count() == 0
 
 
+def test_repeated_rows_hold_their_ranks(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD", 30)
+    monkeypatch.setattr(kdtree, "LEAF", 4)
+    r = np.random.default_rng(5)
+    x = (r.integers(-3, 4, size=(120, 3)) / 256).tolist()
+    rows = list(enumerate(x))
+    rows += [rows[50], rows[50], rows[7], *[rows[9]] * 8, (7, x[8]), (3, [5000.0, 1.0, -1.0]), (3, [5000.0, 1.0, -1.0])]
+    assert result(kdtree.top_k(table(spark, rows))) == brute(rows)
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", [list(row) for row in rows])
+    assert sorted(con.execute(catalog.ORACLES["op10_exact_top_k"]).fetchall()) == brute(rows)
+
+
 def test_boxes_are_tight_and_prune():
     r = np.random.default_rng(0)
     x = np.floor(256 * (r.normal(size=(40, 8))[r.integers(0, 40, 4000)] + 0.02 * r.normal(size=(4000, 8))))
