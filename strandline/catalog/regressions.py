@@ -95,6 +95,21 @@ def _(spark, path):
     return b.select("series_id", "order", "mdl")
 
 
+@query("H4_three_orders", q(WEEKLY, rets("weekly"), f"""
+l as (select series_id, ts, ret as y, lag(ret, 1) over {B} as a, lag(ret, 2) over {B} as b, lag(ret, 3) over {B} as c from rets),
+m as (select series_id, count(*) as n, var_pop(y) as yy, var_pop(a) as aa, var_pop(b) as bb, var_pop(c) as cc, covar_pop(a, b) as ab, covar_pop(a, c) as ac, covar_pop(b, c) as bc, covar_pop(a, y) as ay, covar_pop(b, y) as vy, covar_pop(c, y) as cy from l where y is not null and a is not null and b is not null and c is not null group by 1),
+u as (select series_id, n, yy - ay * ay / aa as yy, bb - ab * ab / aa as bb, cc - ac * ac / aa as cc, bc - ab * ac / aa as bc, vy - ab * ay / aa as vy, cy - ac * ay / aa as cy from m),
+v as (select series_id, n, yy as one, yy - vy * vy / bb as two, cc - bc * bc / bb as cc, cy - bc * vy / bb as cy from u),
+f as (select series_id, n, 1 as p, one as s2 from v union all select series_id, n, 2, two from v union all select series_id, n, 3, two - cy * cy / cc from v),
+ic as (select *, n * (ln(2 * pi()) + ln(s2) + 1) as ll2 from f)""", body=f"""
+select series_id, p as "order", n, {r("2 * (p + 1) + ll2", "aic")}, {r("ln(n) * (p + 1) + ll2", "bic")}, {r("2 * ln(ln(n)) * (p + 1) + ll2", "hqic")}, {r("n * ln(s2) + p * ln(n)", "mdl")},
+       row_number() over (partition by series_id order by round(ln(n) * (p + 1) + ll2, 9), p) = 1 as chosen from ic"""))
+def _(spark, path):
+    t = rg.ar_orders(weekly(spark, path), "ret", 3)
+    b = rg.best_order(t, "bic").select("series_id", F.col("order").alias("best"))
+    return t.join(b, "series_id").select("series_id", "order", "n", "aic", "bic", "hqic", "mdl", (F.col("order") == F.col("best")).alias("chosen"))
+
+
 @query("H4_many_orders")
 def _(spark, path):
     return rg.ar_orders(weekly(spark, path), "ret", 6).drop("coef")

@@ -40,6 +40,13 @@ def _(spark, path):
     return files.coalesce_columns(ev.withColumnRenamed("value", "Close"), ["Adj Close", "Close", "Price"], "price").select("event_id", "price")
 
 
+@query("A3_candidate_order", """
+select event_id, round(coalesce(case when event_id % 3 = 0 then value * 0.5 end, case when event_id % 2 = 0 then value + 1 end, value), 6) as price from events""")
+def _(spark, path):
+    ev = panels.table(spark, path, "events").withColumn("Adj Close", F.when(F.col("event_id") % 3 == 0, F.col("value") * 0.5)).withColumn("Price", F.when(F.col("event_id") % 2 == 0, F.col("value") + 1))
+    return files.coalesce_columns(ev.withColumnRenamed("value", "Close"), ["Adj Close", "Missing", "Price", "Close"], "price").select("event_id", "price")
+
+
 @query("A5_reshape_wide", q(WEEKLY, body="""
 select ts, round(max(value) filter (series_id = 'A'), 6) as "A", round(max(value) filter (series_id = 'N'), 6) as "N",
        round(max(value) filter (series_id = 'R'), 6) as "R" from weekly group by ts"""))
@@ -114,6 +121,15 @@ def _(spark, path):
     return al.align_by_period(starts, ends, "month", ["series_id"])
 
 
+@query("B5_two_panels", q(MONTHLY, """
+s as (select cast(date_trunc('month', l_shipdate) as date) as period, sum(cast(l_quantity as decimal(18,2)))::double as shipped, count(*) as lines from lineitem group by 1)""", body="""
+select m.series_id, m.period, round(m.value, 6) as level, s.shipped, s.lines from (select series_id, ts as period, value from monthly) m join s using (period)"""))
+def _(spark, path):
+    ends = panels.table(spark, path, "lineitem").groupBy(F.last_day(F.to_date("l_shipdate")).alias("ts")).agg(panels.exact_sum(F.col("l_quantity")).alias("shipped"), F.count("*").alias("lines"))
+    starts = panels.orders_monthly(spark, path).select("series_id", "ts", F.col("value").alias("level"))
+    return al.align_by_period(starts, ends, "month")
+
+
 @query("B6_trailing_range_join", q(WEEKLY, """
 quarters as (select distinct series_id, cast(date_trunc('quarter', ts) + interval 3 month - interval 1 day as date) as ts from weekly),
 hits as (select qr.series_id, qr.ts, w.value, row_number() over (partition by qr.series_id, qr.ts order by w.ts desc) as n
@@ -228,4 +244,4 @@ def _(spark, path):
 select event_id, row_number() over (partition by event_type order by ts) as rn from events""")
 def _(spark, path):
     t = panels.event_ticks(spark, path)
-    return sg.number_rows(t).select("event_id", "rn")
+    return sg.number_rows(t, tie=["event_id"]).select("event_id", "rn")

@@ -30,7 +30,7 @@ def _(spark, path):
 @query("E1_rolling_ticks_segmented", "select event_id, " + ", ".join(
     r(full(f"{f}(value)", "value", 20, part="event_type"), n) for f, n in [("avg", "mean"), ("stddev_samp", "std"), ("max", "max")]) + " from events")
 def _(spark, path):
-    t = sg.number_rows(panels.event_ticks(spark, path))
+    t = sg.number_rows(panels.event_ticks(spark, path), tie=["event_id"]).withColumn("ts", F.col("rn"))
     p = win.rolling(sg.segmented(t, before=19, rows=500), "value", 20, ["mean", "std", "max"], keys=SEG_KEYS)
     return sg.drop_halo(p).select("event_id", "mean", "std", "max")
 
@@ -99,7 +99,7 @@ def _(spark, path):
 select event_id, round(sum(value) over w, 6) as total, round(exp(sum(ln(1 + value / 100000)) over w), 6) as wealth, max(value) over w as peak
 from events window w as (partition by event_type order by ts)""")
 def _(spark, path):
-    t = sg.number_rows(panels.event_ticks(spark, path))
+    t = sg.number_rows(panels.event_ticks(spark, path), tie=["event_id"])
     v = F.col("value")
     t = sg.running(t, {"total": (v, "sum"), "wealth": (1.0 + v / 100000.0, "product"), "peak": (v, "max")}, rows=500)
     return t.select("event_id", "total", "wealth", "peak")
