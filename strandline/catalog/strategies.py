@@ -263,11 +263,11 @@ f as (
 select series_id, 0::bigint as i, [null, null, null, null, null, null, null, null, null]::double[] as bel, 0.5::double as w1, 0.5::double as w2, null::double as ev, null::double as now from s group by 1
 union all
 select series_id, i, bel, case when w1 + w2 > 0 then w1 / (w1 + w2) else 0.0 end, case when w1 + w2 > 0 then w2 / (w1 + w2) else 0.0 end, ev, now from (
- select series_id, i, bel, greatest(0, 1 - {_given(0.4)} / h) as w1, greatest(0, 1 - {_given(0.2)} / h) as w2, ev, now from (
+ select series_id, i, bel, case when h > 0 and now > 0 then greatest(0, 1 - {_given(0.4)} / h) else w1 end as w1, case when h > 0 and now > 0 then greatest(0, 1 - {_given(0.2)} / h) else w2 end as w2, ev, now from (
   select *, -list_sum(list_transform(bel, lambda p: case when p > 0 then p * log2(p) else 0.0 end)) - case when i > 1 then 0.4 * log2(0.4) + 0.2 * log2(0.2) else 0.0 end as h from (
-   select series_id, i, ev, now, list_transform(range(1, 10), lambda j: case when j = spot then now else bel[j] end) as bel from (
+   select series_id, i, w1, w2, ev, now, list_transform(range(1, 10), lambda j: case when j = spot then now else bel[j] end) as bel from (
     select *, was * ev / (was * ev + (1 - was) * (1 - ev)) as now from (
-     select s.series_id, s.i, f.bel, 3 * a + b + 1 as spot, coalesce(f.bel[3 * a + b + 1], 0.5) as was, case when w1 + w2 > 0 then (w1 * c1 + w2 * c2) / (w1 + w2) else 0.5 end as ev
+     select s.series_id, s.i, f.bel, w1, w2, 3 * a + b + 1 as spot, coalesce(f.bel[3 * a + b + 1], 0.5) as was, case when w1 + w2 > 0 then (w1 * c1 + w2 * c2) / (w1 + w2) else 0.5 end as ev
      from f join s on s.series_id = f.series_id and s.i = f.i + 1)))))),
 o as (select s.ts, s.a, s.b, f.*, case when now > 0 and now < 1 then -(now * log2(now) + (1 - now) * log2(1 - now)) else 0 end as h from f join s using (series_id, i))"""
 
