@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from strandline.catalog.crosscorr import pairs_sql, week_pairs, weekly
 from strandline.catalog.registry import query
 from strandline.catalog.sqlparts import MONTHLY, WEEKLY, full, q, r, rets
-from strandline.frames import ordered
+from strandline.frames import ordered, stack_rows
 from strandline.operators import align as al
 from strandline.operators import forecast as fc
 from strandline.operators import ml
+from strandline.operators import nowcast as nc
 from strandline.operators import regress as rg
 from strandline.operators import transform as tr
 from strandline.operators import evaluate as ev
@@ -182,6 +183,49 @@ def _(spark, path):
     return out.select("series_id", "ts", "ret", "forecast")
 
 
+def _quarters(spark, path, series, lags):
+    """Quarterly growth of orders with its own lag and the newest weekly price changes known at the quarter's end."""
+    end = F.date_sub(F.add_months(F.date_trunc("quarter", "ts").cast("date"), 3), 1)
+    target = panels.orders_monthly(spark, path).groupBy("series_id", end.alias("ts")).agg(panels.exact_sum(F.col("value")).alias("value"))
+    target = tr.shift(panels.returns(target), "ret", 1, out="before")
+    weeks = weekly(spark, path).withColumn("ts", F.date_add("ts", 6))  # known when the week is over
+    found = nc.recent_values(weeks, target.select("ts").distinct(), series, "ret", 91, 10, lags)
+    names = [c for c in found.columns if c != "ts"]
+    return target.join(found, "ts").dropna(subset=["ret", "before", *names]), [*names, "before"]
+
+
+def _against_benchmark(rows, net):
+    """Accuracy of the net and of the AR(1) benchmark over the same quarters."""
+    both = net.join(nc.ar_benchmark(rows, "ret").select("series_id", "ts", "benchmark"), ["series_id", "ts"])
+    models = stack_rows(both, ["series_id", "actual"], [{"model": "nowcast", "forecast": F.col("forecast")}, {"model": "ar1", "forecast": F.col("benchmark")}])
+    return ev.forecast_accuracy(models, ["series_id", "model"])
+
+
+@query("H10_nowcast_least_squares", q(WEEKLY, rets("weekly"), MONTHLY, f"""
+qs as (select series_id, (date_trunc('quarter', ts) + interval 3 month - interval 1 day)::date as ts, sum(value) as value from monthly group by 1, 2)""", rets("qs", "qr"), f"""
+ends as (select distinct ts as e from qs),
+w as (select e, count(ret) as k, arg_max(ret, ts) filter (ret is not null) as x from ends left join rets on series_id = 'R' and ts + 6 between e - 91 and e group by 1),
+x as (select e as ts, last_value(case when k >= 10 then x end ignore nulls) over (order by e) as x from w),
+rows_ as (select * from (select series_id, ts, ret as y, lag(ret) over {B} as o from qr) join x using (ts) where y is not null and o is not null and x is not null),
+a as (select *, lag(y) over {B} as py from rows_),
+c as (select *, count(*) over w as n, avg(y) over w as my, avg(x) over w as mx, avg(o) over w as mo, var_pop(x) over w as sxx, var_pop(o) over w as soo, covar_pop(x, o) over w as sxo, covar_pop(x, y) over w as sxy, covar_pop(o, y) over w as soy,
+  regr_slope(y, py) over w as ab, regr_intercept(y, py) over w as aa from a window w as (partition by series_id order by ts rows between unbounded preceding and 1 preceding)),
+b as (select *, sxx * soo - sxo * sxo as det from c where n >= 10),
+f as (select series_id, y, my + (sxy * soo - soy * sxo) / det * (x - mx) + (soy * sxx - sxy * sxo) / det * (o - mo) as nowcast, aa + ab * py as ar1 from b),
+m as (select series_id, 'nowcast' as model, y, nowcast as p from f union all select series_id, 'ar1', y, ar1 from f)""", body=f"""
+select series_id, model, count(*) as n, {r("avg(abs(y - p))", "mae")}, {r("avg((y - p) * (y - p))", "mse")}, {r("sqrt(avg((y - p) * (y - p)))", "rmse")}, {r("100 * avg(abs((y - p) / nullif(y, 0)))", "mape", 4)},
+ {r("1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))", "r2")}, {r("avg((sign(y) = sign(p))::int)", "sign_accuracy")} from m group by 1, 2"""))
+def _(spark, path):
+    rows, names = _quarters(spark, path, ["R"], 1)
+    return _against_benchmark(rows, nc.expanding_net(rows, "ret", names, 10)).withColumn("mape", F.round("mape", 4))
+
+
+@query("H10_nowcast")
+def _(spark, path):
+    rows, names = _quarters(spark, path, ["A", "N", "R"], 8)
+    return _against_benchmark(rows, nc.expanding_net(rows, "ret", names, 10, [0.1, 0.05, 0.02], 0.5))
+
+
 def _direction(spark, path):
     p, names = ml.lag_features(panels.returns(panels.supplier_monthly(spark, path)), "ret", [1, 2, 3])
     for n in names:
