@@ -14,6 +14,7 @@ from strandline.operators import align as al
 from strandline.operators import forecast as fc
 from strandline.operators import ml
 from strandline.operators import nowcast as nc
+from strandline.operators import refit as rf
 from strandline.operators import regress as rg
 from strandline.operators import transform as tr
 from strandline.operators import evaluate as ev
@@ -251,6 +252,27 @@ def _(spark, path):
     return out.select("series_id", "ts", "label", "predicted", "probability")
 
 
+def _refitted(spark, path):
+    p, names = ml.lag_features(weekly(spark, path), "ret", [1, 2, 3, 4, 5])
+    return rf.expanding_sign_network(p, "ret", names)
+
+
+@query("H12_expanding_refit")
+def _(spark, path):
+    n = _refitted(spark, path)
+    return n.select("series_id", "ts", "ret", "answer", "signal", (F.col("signal") * F.col("ret")).alias("trade"))
+
+
+@query("H12_refit_schedule", q(WEEKLY, rets("weekly"), f"""
+l as (select * from rets qualify lag(ret, 5) over {B} is not null),
+c as (select series_id, ts, sign(ret)::double as label, (row_number() over {B} - 1)::int as n, avg(sign(ret)) over (partition by series_id order by ts rows between unbounded preceding and 1 preceding) as base from l)""", body=f"""
+select series_id, ts, label, {r("base", "base")}, ((n - 126) // 126 + 1)::int as refits, (126 + (n - 126) // 126 * 126)::bigint as trained, true as ruled from c where n >= 126"""))
+def _(spark, path):
+    n = _refitted(spark, path)
+    ruled = F.col("answer").between(-1, 1) & (F.col("signal") == F.when(F.col("answer") < F.col("base"), -1.0).otherwise(1.0))
+    return n.select("series_id", "ts", "label", "base", "refits", "trained", ruled.alias("ruled"))
+
+
 @query("H13_principal_components")
 def _(spark, path):
     return ml.principal_components(panels.vectors(spark, path), "x", 3)
