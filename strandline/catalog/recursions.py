@@ -24,7 +24,23 @@ def _(spark, path):
     return rc.ewma(weekly(spark, path).dropna(subset=["ret"]), "ret", 4.0)
 
 
-@query("H21_adaptive_mean")
+def _corrected(m, total, hits, hit_sum, last):
+    """Mean of m values plus the correction by their slope on the hits, as SQL."""
+    v, c = f"({hits} * (1 - {hits} / {m}))", f"({hit_sum} - {hits} / {m} * {total})"
+    return f"case when w.k <= 38 or {v} <= 0 or {c} = 0 then {total} / {m} else {total} / {m} + pow(case when {c} > 0 then e.gamma else 1 / e.gamma end, ln(w.k)) * 2 * abs({c}) / {v} * ({last} - {hits} / {m}) end"
+
+
+ADAPT = f"""
+w as (select series_id, ts, i, ret, i - 1 as k, sum(ret) over (partition by series_id order by i rows between 36 preceding and 1 preceding) as sr, sum(ret) over (partition by series_id order by i rows between unbounded preceding and 1 preceding) as se,
+  list(ret) over (partition by series_id order by i rows between 36 preceding and 1 preceding) as xs from x),
+e as (select series_id, gamma::double as gamma, ts, i, list_transform(range(36), lambda z: 0.0::double) as h, 0.0::double as cnt, 0.0::double as hs, 0.0::double as last, 0.0::double as mr, 0.0::double as fr, 0.0::double as me, 0.0::double as fe
+   from w, (values (0.5), (0.9)) g(gamma) where i = 36
+  union all select series_id, gamma, ts, i, list_append(h[2:], (ret - fr > 0)::int::double), cnt + (ret - fe > 0)::int, hs + (ret - fe > 0)::int * ret, (ret - fe > 0)::int::double, sr / 36, fr, se / k, fe
+   from (select w.*, e.gamma, e.h, e.cnt, e.hs, {_corrected("36", "w.sr", "list_sum(e.h)", "list_inner_product(w.xs, e.h)", "e.h[36]")} as fr, {_corrected("w.k", "w.se", "e.cnt", "e.hs", "e.last")} as fe
+     from e join w on w.series_id = e.series_id and w.i = e.i + 1))"""
+
+
+@query("H21_adaptive_mean", q(WEEKLY, rets("weekly"), X, ADAPT.strip(), body=f"select series_id, gamma, ts, {r('mr', 'mean_rolling')}, {r('fr', 'adaptive_rolling')}, {r('me', 'mean_expanding')}, {r('fe', 'adaptive_expanding')} from e where i > 36", recursive=True))
 def _(spark, path):
     p = explode_rows(weekly(spark, path).select("series_id", "ts", "ret"), grid(gamma=[0.5, 0.9]))
     return rc.adaptive_mean(p, "ret", 36)
