@@ -169,7 +169,20 @@ def _(spark, path):
     return rc.ledger(p, "value", "act", "amount")
 
 
-@query("J22_capital_rule")
+CAPITAL = """
+p as (select series_id, ts, ret, coalesce(fast, 0) as fast, coalesce(slow, 0) as slow, row_number() over (partition by series_id order by ts) as i from
+  (select *, {fast} as fast, {slow} as slow from rets) where ret is not null),
+e as (select series_id, ts, i, fast, slow, 1000.0::double as k, 0.0::double as added, 0.0::double as taken, [1000.0::double] as wealth from p where i = 1
+  union all select p.series_id, p.ts, p.i, p.fast, p.slow, z.k, z.added, t.taken, list_append(e.wealth[-4:], z.k)
+   from e join p on p.series_id = e.series_id and p.i = e.i + 1,
+   lateral (select case when len(e.wealth) > 4 and e.wealth[-1] / e.wealth[-4] - 1 >= 0.06 and e.k > 0 then 0.25 * e.k else 0.0 end as taken) t,
+   lateral (select case when (e.fast < -0.03 or e.slow < -0.1) and e.k - t.taken > 1000 then 0.5 * (e.k - t.taken - 1000) else 0.0 end as added,
+     case when (e.fast < -0.03 or e.slow < -0.1) and e.k - t.taken > 1000 then (e.k - t.taken + 0.5 * (e.k - t.taken - 1000)) * (1 + p.ret)
+          when not (e.fast < -0.03 or e.slow < -0.1) and e.fast > 0.03 and e.slow > 0.1 and e.k - t.taken > 1000 then (e.k - t.taken) * (1 - 0.5 * p.ret)
+          else (e.k - t.taken) * (1 + p.ret) end as k) z)""".replace("{fast}", full("product(1 + ret)", "ret", 4) + " - 1").replace("{slow}", full("product(1 + ret)", "ret", 12) + " - 1")
+
+
+@query("J22_capital_rule", q(WEEKLY, rets("weekly"), CAPITAL.strip(), body=f"select series_id, ts, {r('k', 'capital')}, {r('added', 'added')}, {r('taken', 'taken')} from e", recursive=True))
 def _(spark, path):
     p = weekly(spark, path)
     p = win.momentum(win.momentum(p, 4).withColumnRenamed("momentum", "fast"), 12).withColumnRenamed("momentum", "slow")
@@ -181,7 +194,22 @@ def _(spark, path):
     return rc.online_kernel(weekly(spark, path), "ret")
 
 
-@query("L3_adaptive_weights")
+COMBINE = f"""
+f as (select *, lag(ret) over (partition by series_id order by i) as f1, {full("avg(ret)", "ret", 6, 1, order="i")} as f2 from x),
+a as (select *, avg(pow(ret - f1, 2)) over w as a1, avg(pow(ret - f2, 2)) over w as a2, avg(pow(ret, 2)) over w as a3 from f window w as (partition by series_id order by i rows between 19 preceding and current row)),
+m as (select *, list_avg(list_filter([a1, a2, a3], lambda z: z is not null)) as am from a),
+g as (select *, 1 / (1 + coalesce(a1, am) / (am + 1e-10)) as g1, 1 / (1 + coalesce(a2, am) / (am + 1e-10)) as g2, 1 / (1 + a3 / (am + 1e-10)) as g3 from m),
+e as (select distinct series_id, null::date as ts, 0::bigint as i, 1 / 3::double as w1, 1 / 3::double as w2, 1 / 3::double as w3, []::double[] as own, 0.0::double as combined, 0.0::double as u1, 0.0::double as u2, 0.0::double as u3 from x
+  union all select g.series_id, g.ts, g.i, case when n.s > 0 then least(greatest(n.n1 / n.s, 0), 1) else 1 / 3 end, case when n.s > 0 then least(greatest(n.n2 / n.s, 0), 1) else 1 / 3 end, case when n.s > 0 then least(greatest(n.n3 / n.s, 0), 1) else 1 / 3 end, o.own, c.combined, e.w1, e.w2, e.w3
+   from e join g on g.series_id = e.series_id and g.i = e.i + 1,
+   lateral (select case when f1 is null then 0 else e.w1 end + case when f2 is null then 0 else e.w2 end + e.w3 as total) t,
+   lateral (select case when t.total > 0 then (coalesce(e.w1 * f1, 0) + coalesce(e.w2 * f2, 0)) / t.total else (coalesce(f1, 0) + coalesce(f2, 0)) / (1 + (f1 is not null)::int + (f2 is not null)::int) end as combined) c,
+   lateral (select list_append(e.own[-19:], pow(ret - c.combined, 2)) as own) o,
+   lateral (select case when len(o.own) >= 2 then 5 * (1 - exp(-list_avg(o.own))) else 0 end as step) p,
+   lateral (select e.w1 + p.step * (g1 - (g1 + g2 + g3) / 3) as n1, e.w2 + p.step * (g2 - (g1 + g2 + g3) / 3) as n2, e.w3 + p.step * (g3 - (g1 + g2 + g3) / 3) as n3, e.w1 + e.w2 + e.w3 as s) n)"""
+
+
+@query("L3_adaptive_weights", q(WEEKLY, rets("weekly"), X, COMBINE.strip(), body=f"select series_id, ts, {r('combined', 'combined')}, {r('u1', 'w0')}, {r('u2', 'w1')}, {r('u3', 'w2')} from e where i > 0", recursive=True))
 def _(spark, path):
     from strandline.frames import trailing
 
