@@ -86,7 +86,34 @@ def _(spark, path):
     return rc.probability_updating(weekly(spark, path), "ret", 8, 0.45)
 
 
-@query("J18_adaptive_probability")
+def _means_and_losses(n):
+    """Expanding and n-row means and loss shares of the rows before, as SQL."""
+    past, recent = "(partition by series_id order by i rows between unbounded preceding and 1 preceding)", f"(partition by series_id order by i rows between {n} preceding and 1 preceding)"
+    return f"""select series_id, {n} as n, ts, i, ret, i - 1 as k, (lag(ret) over (partition by series_id order by i) <= 0)::int::double as loss,
+  sum(ret) over {past} as me, sum(ret) over {recent} as mr, (sum((ret <= 0)::int) over {past})::double / (i - 1) as pe, (sum((ret <= 0)::int) over {recent})::double / {n} as pr from x"""
+
+
+LEARNED = f"""
+v as ({" union all ".join(f"select * from ({_means_and_losses(n)}) where i >= {n}" for n in (5, 10, 20))}),
+s as (select series_id, n, i, k, loss, 'e' as kind, pe as share from v union all select series_id, n, i, k, loss, 'r', pr from v),
+l as (select series_id, n, kind, i, 0.5::double as adt, 0.5::double as std, 0.1::double as gamma, null::double as last, 0.0::double as a, 0.0::double as b, 0.0::double as c from s where i = n
+  union all select s.series_id, s.n, s.kind, s.i, z.adt, s.share + g.gamma * m.es, g.gamma, m.es, m.a, m.b, m.c
+   from l join s on s.series_id = l.series_id and s.n = l.n and s.kind = l.kind and s.i = l.i + 1,
+   lateral (select s.loss - l.adt as er) r,
+   lateral (select case when s.share + r.er * r.er > 0 then r.er * r.er / (s.share + r.er * r.er) else 1 end as alpha) p,
+   lateral (select p.alpha * p.alpha / (2 * p.alpha * p.alpha - 2 * p.alpha + 1) as alpha2) w,
+   lateral (select w.alpha2 * s.share + (1 - w.alpha2) * r.er * r.er as adt) z,
+   lateral (select s.loss - l.std as es, l.a + coalesce((s.loss - l.std) * l.last, 0) as a, l.b + coalesce((s.loss - s.share) * l.last, 0) as b, l.c + coalesce(l.last * l.last, 0) as c) m,
+   lateral (select case when s.k > 10 then (m.a - m.b) / case when m.c <> 0 then m.c else s.k - 1 end else l.gamma end as gamma) g),
+j as (select v.*, e.adt as ea, e.std as es, r.adt as ra, r.std as rs from v join l e on e.series_id = v.series_id and e.n = v.n and e.i = v.i and e.kind = 'e' join l r on r.series_id = v.series_id and r.n = v.n and r.i = v.i and r.kind = 'r' where v.i > v.n)"""
+SIGNS = ", ".join(
+    [r("ret * sign(me)", "me"), r("ret * sign(mr)", "mr")]
+    + [r(f"ret * sign({by}(1 - 2 * {p}))", f"{side}_{name}{tail}") for name, pair in (("avg", ("pe", "pr")), ("adt", ("ea", "ra")), ("std", ("es", "rs")))
+       for side, m, p in (("pe", "me", pair[0]), ("pr", "mr", pair[1])) for tail, by in (("", ""), ("_b", f"{m} * "))]
+)
+
+
+@query("J18_adaptive_probability", q(WEEKLY, rets("weekly"), X, LEARNED.strip(), body=f"select series_id, n, ts, {SIGNS} from j", recursive=True))
 def _(spark, path):
     p = explode_rows(weekly(spark, path).select("series_id", "ts", "ret"), grid(n=[5, 10, 20]))
     return rc.adaptive_probability(p, "ret")
