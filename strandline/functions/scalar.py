@@ -12,6 +12,13 @@ def div(a, b) -> Column:
     return F.try_divide(a.cast("double") if isinstance(a, Column) else F.lit(float(a)), b)
 
 
+def ieee_div(a: Column, b: Column) -> Column:
+    """a / b with a signed infinity, or NaN for 0 / 0, when b is zero; null only if one of them is."""
+    a = a.cast("double")
+    by_zero = F.when(a > 0, F.lit(math.inf)).when(a < 0, F.lit(-math.inf)).otherwise(a * F.lit(math.nan))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 def corr_from(x: Column, y: Column, over=None) -> Column:
     """Pearson correlation over pairs with both values; null when either is constant."""
     both = x.isNotNull() & y.isNotNull()

@@ -34,6 +34,16 @@ def test_zero_base_gives_null_growth(panel):
     assert column(panels.returns(panel({"a": [1, 0, 5]})), "ret") == [None, -1, None]
 
 
+def test_a_low_of_zero_gives_an_infinite_reach(spark):
+    """As in the SQL of D13_range_volume_booster, where doubles divide by zero."""
+    bars = [(5.0, 0.0, 2), (3.0, 1.0, 4), (2.0, 0.0, 4), (0.0, 0.0, 2), (None, 2.0, 2)]
+    rows = [("a", dt.date(2020, 1, 1 + i), *bar) for i, bar in enumerate(bars)]
+    df = spark.createDataFrame(rows, "series_id string, ts date, high double, low double, volume long")
+    made = transform.range_volume_booster(df)
+    assert [str(x) for x in column(made, "reach")] == ["None", "inf", "1.0", "nan", "None"]
+    assert [str(x) for x in column(made, "booster")] == ["None", "inf", "1.0", "nan", "None"]
+
+
 def test_total_loss(panel):
     p = panel({"a": [0.1, -0.2, -1.0, 0.5, 0.3]}).withColumnRenamed("value", "ret")
     perf = evaluate.performance_trading(p, 252).collect()[0]
