@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,7 +40,11 @@ def session_bars(ticks: DataFrame, gap: str, lateness: str = "1 hour") -> DataFr
 
 
 class RollingSignal:
-    """Sign of the value against the mean of the last n values, from a ring buffer."""
+    """Sign of the value against the mean of the last n values, from a ring buffer.
+
+    The sign is that of the difference rounded to nine digits: a value that equals the mean gives
+    0, whatever the last bits of the mean.
+    """
 
     def __init__(self, n: int):
         self.n, self.x = n, []
@@ -51,8 +56,9 @@ class RollingSignal:
         self.x.append(float(x))
         if len(self.x) < self.n:
             return None
-        mean = sum(self.x) / self.n
-        return (mean, 1.0 if x > mean else -1.0 if x < mean else 0.0)
+        mean = math.fsum(self.x) / self.n
+        above = round(x - mean, 9)
+        return (mean, 1.0 if above > 0 else -1.0 if above < 0 else 0.0)
 
 
 def stream_fold(ticks: DataFrame, make: Callable[[dict], object], inputs: Sequence[str], outputs: str, keys: Sequence[str] = ("series_id",), lateness: str = "1 hour", keep: Sequence[str] = (), bucket_ms: int = 3_600_000) -> DataFrame:

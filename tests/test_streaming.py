@@ -87,6 +87,15 @@ def test_live_signal_equals_batch_rolling(spark, files, tmp_path):
     assert got == want
 
 
+def test_a_value_equal_to_the_mean_gives_no_signal():
+    """As in the SQL of L1_live_signal: the last bits of a mean of equal values are no signal."""
+    step = lv.RollingSignal(20)
+    made = [step.row(x) for x in [58.37] * 40 + [29.44] * 20]
+    assert made[:19] == [None] * 19
+    assert [m[1] for m in made[19:40]] == [0.0] * 21
+    assert [m[1] for m in made[40:]] == [-1.0] * 19 + [0.0]
+
+
 def test_restart_continues_from_the_checkpoint(spark, files, tmp_path):
     make = lambda: lv.stream_fold(source(spark, files), lambda k: rc.OnlineKernel(memory=3), ["value"], rc.KERNEL, lateness="1 minute")
     write(files, "0.json", [("a", m, m % 5) for m in range(20)])
