@@ -381,6 +381,26 @@ def template_entropy(x: list[float], m: int = 2, tolerance: float = 0.2) -> floa
     return -math.log(long / short) if long else None
 
 
+def template_entropies(windows: np.ndarray, m: int = 2, tolerance: float = 0.2) -> np.ndarray:
+    """``template_entropy`` of each row, NaN for None."""
+    sd = windows.std(axis=1)
+    starts = windows.shape[1] - m
+    out = np.full(len(windows), np.nan)
+    if starts >= 2:
+        limit = np.maximum(tolerance * sd, 1e-9)
+        short, long = np.zeros(len(windows), int), np.zeros(len(windows), int)
+        for i in range(starts):
+            for j in range(i + 1, starts):
+                close = [np.abs(windows[:, i + k] - windows[:, j + k]) < limit for k in range(m + 1)]
+                alike = np.logical_and.reduce(close[:m])
+                short += alike
+                long += alike & close[m]
+        for a, b in np.unique(np.stack((short, long))[:, long > 0], axis=1).T.tolist():
+            out[(short == a) & (long == b)] = -math.log(b / a)
+    out[(sd <= 1e-8) | (windows.shape[1] < 2)] = 0.0
+    return out
+
+
 class OnlineKernel:
     """One-step forecast from constant, linear and quadratic kernels, trained by gradient steps with decay."""
 
@@ -413,6 +433,49 @@ class OnlineKernel:
         forecast = self.predicted * sd + mu
         return (forecast, sgn(forecast), float(error), template_entropy(self.x))
 
+    def rows(self, r: np.ndarray, most: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
+        """``row`` over many values: places of those that give a result, and the results' columns.
+
+        All that does not depend on the last forecast is taken for ``most`` values at once; what
+        remains for each is the update of the kernels. A null entropy is NaN.
+        """
+        r = np.asarray(r, dtype=float)
+        at = np.flatnonzero(~np.isnan(r))
+        ready = at[max(0, self.m - len(self.x)) :]
+        made = [self._block(r[at[k : k + most]]) for k in range(0, len(at), most)]
+        return ready, [np.concatenate(c) for c in zip(*made, strict=True)] if len(ready) else []
+
+    def _block(self, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        m, x = self.m, np.concatenate((self.x, r))
+        self.x = x[-m:].tolist()
+        n = max(0, len(x) - m)
+        if not n:
+            return (np.zeros(0),) * 4
+        windows = np.lib.stride_tricks.sliding_window_view(x, m)
+        now, old = np.ascontiguousarray(windows[1:]), np.ascontiguousarray(windows[:-1])
+        entropy = template_entropies(now)
+        mu, sd = np.zeros(n), np.ones(n)
+        if self.normalise:
+            mu, sd = now.mean(axis=1), now.std(axis=1)
+            sd[sd == 0] = 1e-6
+            now, old = (now - mu[:, None]) / sd[:, None], (old - mu[:, None]) / sd[:, None]
+        terms = np.concatenate((np.ones((n, 1)), old, (old[:, :, None] * old[:, None, :]).reshape(n, m * m)), axis=1)
+        weights = np.concatenate(([self.h0], self.h1, self.h2.ravel()))
+        linear, square = weights[1 : m + 1], weights[m + 1 :].reshape(m, m)
+        predicted, keep, rate = self.predicted, 1.0 - self.rate * self.decay, self.rate
+        errors, forecasts = [], []
+        for target, values, term in zip(now[:, -1].tolist(), now, terms):
+            error = target - predicted
+            weights *= keep
+            term *= rate * error
+            weights += term
+            predicted = float(weights[0] + linear @ values + values @ square @ values)
+            errors.append(error)
+            forecasts.append(predicted)
+        self.h0, self.h1, self.h2, self.predicted = float(weights[0]), linear.copy(), square.copy(), predicted
+        forecast = np.array(forecasts) * sd + mu
+        return forecast, np.where(forecast > 0, 1.0, np.where(forecast < 0, -1.0, 0.0)), np.array(errors), entropy
+
 
 KERNEL = "forecast double, signal double, error double, entropy double"
 

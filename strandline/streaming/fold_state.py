@@ -11,19 +11,33 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def _micros(t: pd.Timestamp) -> int:
-    return t.value // 1000
+#: Results from which on a frame is handed over: one for every bucket would cost more than the fold.
+FRAME = 10_000
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """One column from several chunks, without turning whole numbers of one into doubles of another."""
+    return np.concatenate(parts if len({p.dtype for p in parts}) == 1 else [p.astype(object) for p in parts])
+
+
+def _ranks(column: np.ndarray) -> np.ndarray:
+    """Ranks of the values, nulls last."""
+    codes = pd.factorize(column, sort=True)[0]
+    return np.where(codes < 0, len(codes), codes)
 
 
 class FoldProcessor(StatefulProcessor):
     """Folds the rows of a key in time order with ``make(key).row(*inputs)``.
 
-    ``columns`` are the waiting row's columns, time first; ``tie`` the places that order rows of
-    one time.  State: ``rows`` maps (bucket, chunk) to a chunk of rows, ``index`` holds for each
+    A step that has ``rows(*columns)`` gets a bucket's rows as arrays instead and returns the
+    places of those that give a result, and the results' columns.  ``columns`` are the waiting
+    row's columns, time first; ``tie`` the places that order rows of one time.  State: ``rows``
+    maps (bucket, chunk) to the arrays of a chunk, times in microseconds, ``index`` holds for each
     bucket its number of chunks and earliest time, ``step`` the learner.
     """
 
@@ -48,36 +62,62 @@ class FoldProcessor(StatefulProcessor):
             first = min(earliest for _, earliest in buckets.values())
             self.handle.registerTimer(-(-first // 1000))
 
-    def _append(self, buckets: dict, bucket: int, rows: list[tuple], earliest: int) -> None:
+    def _append(self, buckets: dict, bucket: int, waiting: list[np.ndarray]) -> None:
+        earliest = int(waiting[0].min())
         chunks, before = buckets.get(bucket, (0, earliest))
-        self.rows.updateValue((bucket, chunks), (pickle.dumps(rows),))
+        self.rows.updateValue((bucket, chunks), (pickle.dumps(waiting),))
         buckets[bucket] = (chunks + 1, min(before, earliest))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         buckets = self._buckets()
         for pdf in rows:
-            times = pdf[self.columns[0]].map(_micros)
-            for bucket, some in pdf[self.columns].groupby(times // self.width, sort=False):
-                waiting = list(some.itertuples(index=False, name=None))
-                self._append(buckets, int(bucket), waiting, int(times[some.index].min()))
+            if not len(pdf):
+                continue
+            columns = [pdf[c].to_numpy() for c in self.columns]
+            columns[0] = columns[0].astype("datetime64[us]").astype(np.int64)
+            bucket = columns[0] // self.width
+            order = np.argsort(bucket, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                self._append(buckets, int(bucket[some[0]]), [c[some] for c in columns])
         self.index.update((pickle.dumps(buckets),))
         self._wake(buckets)
         return iter([])
 
-    def _order(self, row: tuple) -> tuple:
-        return (row[0], [(True, 0) if pd.isna(row[i]) else (False, row[i]) for i in self.tie])
-
-    def _due(self, buckets: dict, bucket: int, horizon: int) -> list[tuple]:
+    def _due(self, buckets: dict, bucket: int, horizon: int) -> list[np.ndarray]:
         """Rows of the bucket up to the horizon, in order; later ones go back as one chunk."""
         chunks, _ = buckets.pop(bucket)
-        waiting: list[tuple] = []
+        parts = []
         for c in range(chunks):
-            waiting += pickle.loads(self.rows.getValue((bucket, c))[0])
+            parts.append(pickle.loads(self.rows.getValue((bucket, c))[0]))
             self.rows.removeKey((bucket, c))
-        later = [w for w in waiting if _micros(w[0]) > horizon]
-        if later:
-            self._append(buckets, bucket, later, min(_micros(w[0]) for w in later))
-        return sorted((w for w in waiting if _micros(w[0]) <= horizon), key=self._order)
+        waiting = [_joined(list(column)) for column in zip(*parts, strict=True)]
+        later = waiting[0] > horizon
+        if later.any():
+            self._append(buckets, bucket, [c[later] for c in waiting])
+            waiting = [c[~later] for c in waiting]
+        order = np.argsort(waiting[0], kind="stable")
+        if (np.diff(waiting[0][order]) == 0).any():
+            order = np.lexsort([*[_ranks(waiting[i]) for i in self.tie[::-1]], waiting[0]])
+        return [c[order] for c in waiting]
+
+    def _folded(self, step: object, columns: list[np.ndarray]) -> tuple[Sequence[int], list]:
+        """Places of the rows that give a result, and the results' columns."""
+        many = getattr(step, "rows", None)
+        if many is not None:
+            return many(*columns)
+        at, made = [], []
+        for i, values in enumerate(zip(*[pd.Series(c).tolist() for c in columns], strict=True)):
+            result = step.row(*values)
+            if result is not None:
+                at.append(i)
+                made.append(result)
+        return at, [pd.Series(c).to_numpy() for c in zip(*made, strict=True)]
+
+    def _frame(self, key, parts: list[list[np.ndarray]]) -> pd.DataFrame:
+        """Results of several buckets: keys, time, kept columns, outputs."""
+        times, *columns = (_joined(list(column)) for column in zip(*parts, strict=True))
+        out = dict(zip(self.keys, key, strict=True)) | {"ts": times.astype("datetime64[us]")}
+        return pd.DataFrame(out | dict(zip([*[self.columns[i] for i in self.keep], *self.names], columns, strict=True)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         horizon = timerValues.getCurrentWatermarkInMs() * 1000
@@ -86,14 +126,18 @@ class FoldProcessor(StatefulProcessor):
         if not due:
             return
         step = pickle.loads(self.step.get()[0]) if self.step.exists() else self.make(dict(zip(self.keys, key, strict=True)))
+        parts, size = [], 0
         for bucket in due:
-            out = []
-            for w in self._due(buckets, bucket, horizon):
-                made = step.row(*[w[i] for i in self.inputs])
-                if made is not None:
-                    out.append((*key, w[0], *[w[i] for i in self.keep], *made))
-            if out:
-                yield pd.DataFrame(out, columns=[*self.keys, "ts", *[self.columns[i] for i in self.keep], *self.names])
+            waiting = self._due(buckets, bucket, horizon)
+            at, made = self._folded(step, [waiting[i] for i in self.inputs])
+            if len(at):
+                parts.append([waiting[0][at], *[waiting[i][at] for i in self.keep], *made])
+                size += len(at)
+            if size >= FRAME:
+                yield self._frame(key, parts)
+                parts, size = [], 0
+        if parts:
+            yield self._frame(key, parts)
         self.step.update((pickle.dumps(step),))
         self.index.update((pickle.dumps(buckets),))
         self._wake(buckets)

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,35 @@ def test_a_value_equal_to_the_mean_gives_no_signal():
     assert [m[1] for m in made[40:]] == [-1.0] * 19 + [0.0]
 
 
+def test_many_values_at_once_give_what_single_ones_give():
+    """Kernel and entropy in blocks, across cuts, missing values and constant stretches."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.exponential(50, 700), 2)
+    x[[3, 90, 91]] = np.nan
+    x[300:307] = x[300]
+    for memory in (2, 5):
+        one, many = rc.OnlineKernel(memory=memory), rc.OnlineKernel(memory=memory)
+        want = {i: made for i, v in enumerate(x.tolist()) if (made := one.row(v)) is not None}
+        got = {}
+        for a, b in ((0, 1), (1, 4), (4, 4), (4, 200), (200, 700)):
+            at, columns = many.rows(x[a:b], most=64)
+            got |= {a + int(i): made for i, *made in zip(at, *columns, strict=True)} if len(at) else {}
+        assert list(got) == list(want)
+        assert np.array_equal(np.array([*got.values()], float), np.array([*want.values()], float), equal_nan=True)
+
+
+def test_ids_beyond_doubles_and_missing_ones_keep_their_order(spark, files, tmp_path):
+    """Waiting rows of one time lie in two chunks, one of them with a null id (nulls last)."""
+    big = 1 << 60
+    at = lambda m: (T0 + dt.timedelta(minutes=m)).isoformat()
+    for k, rows in enumerate(([(0, big + 1, 2.0)], [(0, None, 9.0)], [(0, big, 1.0)], [(500, 0, 0.0)])):
+        (files / f"{k}.json").write_text("\n".join(json.dumps({"series_id": "a", "ts": at(m), "value": v, "event_id": i}) for m, i, v in rows))
+        os.utime(files / f"{k}.json", (1_700_000_000 + 10 * k,) * 2)
+    stream = lv.stream_fold(source(spark, files), lambda k: lv.RollingSignal(1), ["value"], "mean double, signal double", lateness="1 hour", keep=["event_id", "value"])
+    got = collect(spark, stream, tmp_path)
+    assert sorted((r["event_id"] or 0, r["mean"]) for r in got) == [(0, 9.0), (big, 1.0), (big + 1, 2.0)]
+
+
 def test_restart_continues_from_the_checkpoint(spark, files, tmp_path):
     make = lambda: lv.stream_fold(source(spark, files), lambda k: rc.OnlineKernel(memory=3), ["value"], rc.KERNEL, lateness="1 minute")
     write(files, "0.json", [("a", m, m % 5) for m in range(20)])
