@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandline.llm.components import roots, stars
 from strandline.llm.store import texts, written
-from strandline.llm.words import mix, shingles
+from strandline.llm.words import give_back, in_slices, mix, shingles
 
 #: Hubs (smallest set of a key) that a set is compared with first: those of most of its keys.
 HUBS = 3
@@ -129,7 +129,7 @@ def _name(h: np.ndarray) -> int:
 def _summaries(parts: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, n_shingles, set_id, keys); keys only with the first copy that this task meets."""
     tiles, seen = Tiles(percent), set()
-    for part in parts:
+    for part in in_slices(parts):
         sizes, names, lengths, flat = [], [], [], []
         for _, h in shingles(part.column("text"), width):
             name = _name(h) if len(h) else None
@@ -149,7 +149,7 @@ def _summaries(parts: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
 def _sets(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The sets themselves, each once in a task."""
     seen: set[int] = set()
-    for part in parts:
+    for part in in_slices(parts):
         fresh = [not (x in seen or seen.add(x)) for x in part.column("set_id").to_pylist()]
         part = part.filter(pa.array(fresh, pa.bool_()))
         wanted = part.column("set_id").to_pylist()
@@ -161,7 +161,7 @@ def _sets(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatc
 
 def _bounded(parts: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps do not rule them out."""
-    for part in parts:
+    for part in in_slices(parts):
         keep = []
         for n, x, m, y in zip(*(part.column(c).to_pylist() for c in ("a_n", "a_bits", "b_n", "b_bits")), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -171,7 +171,7 @@ def _bounded(parts: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def _exact(parts: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for part in parts:
+    for part in in_slices(parts):
         keep = []
         for x, y in zip(part.column("a_members").to_pylist(), part.column("b_members").to_pylist(), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -245,6 +245,9 @@ def _tile_pairs(key, rows: pa.Table, percent: int, likeliest: int | None) -> pa.
         a.append(ids[some[i]])
         b.append(ids[right[j]])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    if len(ids) >= BLOCK // 2:
+        del raw, bits, rows
+        give_back()
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 

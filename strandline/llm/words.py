@@ -51,6 +51,18 @@ def give_back() -> None:
         trim(0)
 
 
+def in_slices(parts: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in short runs of rows; memory is given back after each batch and at the end.
+
+    What a step makes of a run is then small, however many rows a batch has.
+    """
+    for part in parts:
+        for k in range(0, part.num_rows, rows):
+            yield part.slice(k, rows)
+        del part
+        give_back()
+
+
 def slices(array: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of texts of about ``limit`` bytes; null is empty.
 

@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import catalog, jaccard
+from strandline.llm import catalog, jaccard, words
 from tests.conftest import SF
 
 
@@ -17,6 +18,18 @@ def shingle_set(text, width=4):
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
+def test_large_batches_are_taken_in_short_runs(monkeypatch):
+    """What a step holds at once follows from the run, not from the batch; freed memory goes back."""
+    given = []
+    monkeypatch.setattr(words, "give_back", lambda: given.append(1))
+    members = [np.arange(i % 5, i % 5 + 20, dtype=np.uint64).tobytes() for i in range(5000)]
+    ids = pa.array(range(5000), pa.int64())
+    batch = pa.record_batch([ids, ids, pa.array(members), pa.array([members[0]] * 5000)], names=["a", "b", "a_members", "b_members"])
+    made = list(jaccard._exact(iter([batch, batch]), percent=85))
+    assert max(m.num_rows for m in made) <= 1024 and len(given) == 2
+    assert [x for m in made for x in m.column("a").to_pylist()] == [i for i in range(5000) if i % 5 < 2] * 2
+
+
 def brute(rows, percent=85, width=4):
     """Every pair compared; (doc_id, n_shingles, component_id) sorted."""
     sets = [shingle_set(t, width) for _, t in rows]
