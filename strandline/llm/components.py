@@ -11,23 +11,21 @@ from strandline.llm.store import written
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang the neighbours of each vertex on the smallest of them (larger or smaller ones only)."""
-    both = edges.select(F.col("a").alias("v"), F.col("b").alias("w"))
-    if large:
-        both = both.union(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
+    # both ends from one look at the links: a union would plan all that made them once for each end
+    both = edges.selectExpr("inline(array(struct(a as v, b as w), struct(b as v, a as w)))") if large else edges.selectExpr("a as v", "b as w")
     least = both.groupBy("v").agg(F.min("w").alias("least"))
     least = least.select("v", F.least("v", "least").alias("least"))
     around = both.join(least, "v")
     if large:
         out = around.where("w > v").select(F.col("w").alias("a"), F.col("least").alias("b"))
     else:
-        out = around.select(F.col("w").alias("a"), F.col("least").alias("b")).union(around.select(F.col("v").alias("a"), F.col("least").alias("b")))
+        out = around.select(F.explode(F.array("w", "v")).alias("a"), F.col("least").alias("b"))
     return out.where("a <> b")
 
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every vertex hangs on one other that hangs on none: only a yes or no reaches the driver."""
-    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down"))
-    ends = ends.union(edges.select(F.col("b"), F.lit(0), F.lit(1)))
+    ends = edges.selectExpr("inline(array(struct(a as v, 1 as up, 0 as down), struct(b as v, 0 as up, 1 as down)))")
     return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
@@ -46,7 +44,7 @@ def stars(links: DataFrame, rounds: int | None = None) -> DataFrame:
 
 def roots(edges: DataFrame) -> DataFrame:
     """(v, root) from ``stars``: vertices of one root are connected."""
-    reached = edges.select(F.col("a").alias("v"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")))
+    reached = edges.select(F.explode(F.array("a", "b")).alias("v"), F.col("b").alias("root"))
     return reached.groupBy("v").agg(F.min("root").alias("root"))
 
 

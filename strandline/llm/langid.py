@@ -141,7 +141,7 @@ def train(texts: pa.Array, langs: list[str]) -> Model:
         tasks += [((a, b), (lang == a) | (lang == b), lang == a) for a, b in itertools.combinations(languages[f], 2)]
     weights, bias, slope, offset = np.zeros((SIZE, len(tasks))), np.zeros(len(tasks)), np.ones(len(tasks)), np.zeros(len(tasks))
     for k, (_, rows, y) in enumerate(tasks):
-        z, y = x[rows], y[rows].astype(float)
+        z, y = x if rows.all() else x[rows], y[rows].astype(float)
         share = np.clip(y.mean(), 0.01, 0.99)
         weights[:, k], bias[k] = fit(z, y, "hinge", l2=1e-2, rounds=120, weight=np.where(y > 0, 0.5 / share, 0.5 / (1 - share)))
         slope[k], offset[k] = calibrated(z @ weights[:, k] + bias[k], y)
@@ -174,7 +174,9 @@ def predictor(model: Model):
 
 
 def fitted(documents: DataFrame, rows: int = SAMPLE) -> Model:
-    return train(*labelled_sample(documents, rows))
+    model = train(*labelled_sample(documents, rows))
+    give_back()
+    return model
 
 
 def identify(documents: DataFrame, rows: int = SAMPLE) -> DataFrame:

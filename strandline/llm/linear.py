@@ -21,7 +21,9 @@ def fit(x: np.ndarray, y: np.ndarray, loss: str, l2: float = 1e-3, rounds: int =
     if not n or share in (0.0, 1.0):
         return np.zeros(x.shape[1]), float(np.log((share * n + 0.5) / ((1 - share) * n + 0.5)))
     mean, scale = x.mean(0), x.std(0) + 1e-3 * x.std() + 1e-12
-    z = ((x - mean) / scale).astype(np.float32)
+    z = x - mean
+    z /= scale
+    z = z.astype(np.float32, copy=False)
     weight = (np.ones(n) if weight is None else weight).astype(np.float32)
     weight = weight / weight.mean()
     v = np.ones(z.shape[1], np.float32)

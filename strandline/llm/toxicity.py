@@ -174,7 +174,10 @@ def fitted(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Chain
     got = by_label(documents, labels, ["quality", "toxic"], rows)
     y = np.stack([1 - np.array(got.column("quality").to_pylist() or [], int), np.array(got.column("toxic").to_pylist() or [], int)], 1)
     weight = np.array(class_weights(got, labels, ["quality", "toxic"]) or [], float)
-    return train(got.column("text").combine_chunks(), y, ["low_quality", "toxic"], weight)
+    chain = train(got.column("text").combine_chunks(), y, ["low_quality", "toxic"], weight)
+    del got
+    give_back()
+    return chain
 
 
 def predictor(chain: Chain):

@@ -36,3 +36,13 @@ def test_roots(spark, name, links):
     assert got == plain(links)
     some = {r["v"]: r["root"] for r in roots(stars(df, 1)).collect()}
     assert set(some) == set(got) and all(got[root] == got[v] and root <= v for v, root in some.items())
+
+
+def test_a_round_looks_at_its_links_four_times(spark):
+    """Each star step takes the smallest neighbour and joins it back; more looks swell the driver's plans."""
+    from strandline.llm.components import _star
+
+    edges = spark.createDataFrame([(2, 1), (3, 2), (5, 4)], "a long, b long")
+    round_ = _star(_star(edges, True), False)
+    assert round_._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4
+    assert sorted(map(tuple, round_.distinct().collect())) == [(2, 1), (3, 1), (5, 4)]
